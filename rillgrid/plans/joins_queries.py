@@ -164,7 +164,7 @@ def _(r):
           CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS road, o_custkey % 25 AS district FROM orders),
         lots AS (SELECT hh_id AS lot, x, y FROM book WHERE hh_id % 2 = 0), roads AS (SELECT hh_id AS road, x + 1 AS x, y FROM book WHERE hh_id % 3 = 0),
         districts AS (SELECT dong AS district, min(x) AS x, min(y) AS y FROM book WHERE dong < 20 GROUP BY 1)
-        SELECT precision, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM (SELECT a.id,
+        SELECT precision, count(*) AS n, CAST(coalesce(sum(x), 0) AS BIGINT) AS sx, CAST(coalesce(sum(y), 0) AS BIGINT) AS sy FROM (SELECT a.id,
           CASE WHEN l.lot IS NOT NULL THEN 'lot' WHEN r.road IS NOT NULL THEN 'road' WHEN d.district IS NOT NULL THEN 'district' ELSE 'unknown' END AS precision,
           coalesce(l.x, r.x, d.x) AS x, coalesce(l.y, r.y, d.y) AS y
           FROM a LEFT JOIN lots l ON l.lot = a.lot LEFT JOIN roads r ON r.road = a.road LEFT JOIN districts d ON d.district = a.district) GROUP BY 1""",
@@ -181,7 +181,7 @@ def _(r):
         ("district", book.where("dong < 20").groupBy(F.col("dong").alias("district")).agg(F.min("x").alias("x"), F.min("y").alias("y"))),
     ]
     found = spatial.gazetteer_lookup(wanted, levels, ["id"])
-    return found.groupBy("precision").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    return found.groupBy("precision").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("sx"), F.coalesce(F.sum("y"), F.lit(0)).alias("sy"))
 
 
 _MONTHS = """WITH r AS (SELECT last_day(ts) AS month_end, sum(mm) AS rain FROM rain_years GROUP BY 1),
@@ -190,11 +190,11 @@ _MONTHS = """WITH r AS (SELECT last_day(ts) AS month_end, sum(mm) AS rain FROM r
 
 @query(
     "jn13_time_join_monthly",
-    f"""{_MONTHS} SELECT CAST(coalesce(r.month_end, c.month_end) AS DATE) AS month_end, {R('coalesce(rain, 0)')} AS rain, coalesce(complaints, 0) AS complaints
+    f"""{_MONTHS} SELECT CAST(CAST(coalesce(r.month_end, c.month_end) AS DATE) AS VARCHAR) AS month_end, {R('coalesce(rain, 0)')} AS rain, coalesce(complaints, 0) AS complaints
         FROM r FULL OUTER JOIN c ON r.month_end = c.month_end""",
 )
 def _(r):
-    return rain.monthly_pair(r.rain_years, r.table("orders"), "ts", "mm", "o_orderdate")
+    return rain.monthly_pair(r.rain_years, r.table("orders"), "ts", "mm", "o_orderdate").withColumn("month_end", F.col("month_end").cast("string"))
 
 
 @query(

@@ -12,15 +12,15 @@ from rillgrid.plans.registry import R, query
 @query(
     "ag9_monthly_sum",
     f"""WITH s AS (SELECT last_day(unnest(generate_series((SELECT date_trunc('month', min(ts)) FROM rain_years), (SELECT max(ts) FROM rain_years), INTERVAL 1 MONTH))) AS month_end)
-        SELECT CAST(s.month_end AS DATE) AS month_end, {R('coalesce(sum(r.mm), 0)')} AS total FROM s LEFT JOIN rain_years r ON last_day(r.ts) = s.month_end GROUP BY 1""",
+        SELECT CAST(CAST(s.month_end AS DATE) AS VARCHAR) AS month_end, {R('coalesce(sum(r.mm), 0)')} AS total FROM s LEFT JOIN rain_years r ON last_day(r.ts) = s.month_end GROUP BY 1""",
 )
 def _(r):
-    return rain.monthly_totals(r.rain_years, "ts", "mm")
+    return rain.monthly_totals(r.rain_years, "ts", "mm").withColumn("month_end", F.col("month_end").cast("string"))
 
 
-@query("ag9_monthly_count", "SELECT CAST(last_day(o_orderdate) AS DATE) AS month_end, count(*) AS total FROM orders GROUP BY 1")
+@query("ag9_monthly_count", "SELECT CAST(CAST(last_day(o_orderdate) AS DATE) AS VARCHAR) AS month_end, count(*) AS total FROM orders GROUP BY 1")
 def _(r):
-    return rain.monthly_totals(r.table("orders"), "o_orderdate")
+    return rain.monthly_totals(r.table("orders"), "o_orderdate").withColumn("month_end", F.col("month_end").cast("string"))
 
 
 @query("ag10_monthly_mean_rain", f"SELECT CAST(month(ts) AS INTEGER) AS month, {R('avg(mm)')} AS mean_mm FROM rain_years GROUP BY 1")

@@ -1 +1,92 @@
+"""Terrain on the pixel views."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rillgrid.operators import terrain
+from rillgrid.plans.registry import R, query
+
+TILE = 64
+
+_SLOPE = """SELECT row, col, sqrt(gx * gx + gy * gy) AS tan_slope FROM (SELECT row, col,
+  (coalesce(e, z) - coalesce(w, z)) / CASE WHEN e IS NOT NULL AND w IS NOT NULL THEN 20.0 ELSE 10.0 END AS gx,
+  (coalesce(s, z) - coalesce(n, z)) / CASE WHEN s IS NOT NULL AND n IS NOT NULL THEN 20.0 ELSE 10.0 END AS gy FROM (
+    SELECT d.row, d.col, d.z, w.z AS w, e.z AS e, n.z AS n, s.z AS s FROM dem d
+    LEFT JOIN dem w ON w.row = d.row AND w.col = d.col - 1 LEFT JOIN dem e ON e.row = d.row AND e.col = d.col + 1
+    LEFT JOIN dem n ON n.row = d.row - 1 AND n.col = d.col LEFT JOIN dem s ON s.row = d.row + 1 AND s.col = d.col))"""
+
+
+def _down(table: str) -> str:
+    """Steepest descending neighbour of each pixel."""
+    return f"""SELECT row, col, nr, nc FROM (SELECT d.row, d.col, o.row AS nr, o.col AS nc, row_number() OVER (PARTITION BY d.row, d.col
+        ORDER BY (d.z - o.z) / CASE WHEN o.row <> d.row AND o.col <> d.col THEN sqrt(2.0) ELSE 1.0 END DESC, o.row, o.col) AS rn
+        FROM {table} d JOIN (SELECT unnest(range(-1, 2)) AS dr) a ON true JOIN (SELECT unnest(range(-1, 2)) AS dc) b ON true
+        JOIN {table} o ON o.row = d.row + a.dr AND o.col = d.col + b.dc WHERE d.z > o.z) WHERE rn = 1"""
+
+
+def _upstream(table: str) -> str:
+    return f"""down AS MATERIALIZED ({_down(table)}),
+      walk AS (SELECT row, col, row AS ar, col AS ac FROM {table} UNION ALL
+        SELECT w.row, w.col, d.nr, d.nc FROM walk w JOIN down d ON d.row = w.ar AND d.col = w.ac),
+      up AS MATERIALIZED (SELECT ar AS row, ac AS col, count(*) AS upstream FROM walk GROUP BY 1, 2)"""
+
+
+@query("tr1_slope", f"WITH s AS ({_SLOPE}) SELECT col // 3 AS i, row // 3 AS j, {R('avg(degrees(atan(tan_slope)))')} AS slope FROM s GROUP BY 1, 2")
+def _(r):
+    return terrain.zonal_mean(terrain.slope_degrees(r.dem, 10.0, TILE), "slope", 3, "slope")
+
+
+@query(
+    "tr2_relative_elevation",
+    f"""WITH a AS (SELECT row, col, z, sum(z) OVER w AS s, count(z) OVER w AS n FROM rough_dem WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+        f AS (SELECT row, col, z, sum(s) OVER v / sum(n) OVER v AS focal FROM a WINDOW v AS (PARTITION BY col ORDER BY row RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+        SELECT col // 3 AS i, row // 3 AS j, {R('avg(z) - avg(focal)')} AS relative FROM f GROUP BY 1, 2""",
+)
+def _(r):
+    return terrain.relative_elevation(r.rough_dem, 5, 3, TILE)
+
+
+@query("tr3_fill_sinks")
+def _(r):
+    return terrain.fill_sinks(r.rough_dem, TILE)
+
+
+@query("tr4_flow_direction", f"SELECT row, col, nr AS down_row, nc AS down_col FROM ({_down('rough_dem')})")
+def _(r):
+    return terrain.flow_direction(r.rough_dem, tile=TILE).where("down_row is not null").select("row", "col", "down_row", "down_col")
+
+
+@query("tr5_flow_accumulation", f"WITH RECURSIVE {_upstream('dem')} SELECT row, col, upstream FROM up")
+def _(r):
+    flow = terrain.flow_direction(r.dem, tile=TILE)
+    up = terrain.flow_accumulation(flow)
+    return flow.join(up, "id").select("row", "col", "upstream")
+
+
+@query("tr5_flow_accumulation_rough", f"WITH RECURSIVE {_upstream('rough_dem')} SELECT row, col, upstream FROM up")
+def _(r):
+    flow = terrain.flow_direction(r.rough_dem, tile=TILE)
+    return flow.join(terrain.flow_accumulation(flow), "id").select("row", "col", "upstream")
+
+
+@query(
+    "tr6_wetness",
+    f"""WITH RECURSIVE {_upstream('dem')}, s AS ({_SLOPE}) SELECT s.row, s.col, {R('ln(upstream * 100.0 / greatest(tan_slope, 0.001))')} AS twi
+        FROM s JOIN up ON up.row = s.row AND up.col = s.col""",
+)
+def _(r):
+    return terrain.wetness(r.dem, 10.0, tile=TILE).select("row", "col", "twi")
+
+
+@query(
+    "tr7_height_above_channel",
+    f"""WITH RECURSIVE {_upstream('dem')}, ch AS MATERIALIZED (SELECT row, col FROM up WHERE upstream >= 30),
+      path AS (SELECT d.row, d.col, d.row AS ar, d.col AS ac FROM dem d UNION ALL
+        SELECT p.row, p.col, n.nr, n.nc FROM path p JOIN down n ON n.row = p.ar AND n.col = p.ac
+        LEFT JOIN ch ON ch.row = p.ar AND ch.col = p.ac WHERE ch.row IS NULL)
+      SELECT d.row, d.col, {R('d.z - b.z')} AS hand FROM dem d LEFT JOIN (SELECT p.row, p.col, o.z FROM path p JOIN ch ON ch.row = p.ar AND ch.col = p.ac
+        JOIN dem o ON o.row = p.ar AND o.col = p.ac) b ON b.row = d.row AND b.col = d.col""",
+)
+def _(r):
+    return terrain.height_above_channel(r.dem, 30, TILE)
