@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL = 100  # metres
@@ -108,36 +108,54 @@ def _total(terms) -> Column:
     return out
 
 
-def from_lonlat(lon, lat, epsg: int) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees to grid ``(x, y)``."""
+def _project(df: DataFrame, lon: str, lat: str, epsg: int, x: str, y: str) -> DataFrame:
+    """Longitude and latitude in degrees to a grid.
+
+    Shared terms are columns of their own, so they are computed once per row.
+    """
     g, K = GRIDS[epsg], Kruger
-    s = F.sin(F.radians(_c(lat)))
-    dl = F.radians(_c(lon) - F.lit(g.lon0))
-    t = F.sinh(F.atanh(s) - F.lit(K.ecc) * F.atanh(F.lit(K.ecc) * s))
-    xi = F.atan(t / F.cos(dl))
-    eta = F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    size = g.scale * K.radius
+    df = df.withColumns({"_s": F.sin(F.radians(lat)), "_l": F.radians(F.col(lon) - F.lit(g.lon0))})
+    df = df.withColumn("_t", F.sinh(F.atanh("_s") - F.lit(K.ecc) * F.atanh(F.lit(K.ecc) * F.col("_s"))))
+    df = df.withColumns(
+        {"_xi": F.atan(F.col("_t") / F.cos("_l")), "_eta": F.atanh(F.sin("_l") / F.sqrt(1 + F.col("_t") * F.col("_t")))}
+    )
+    xi, eta = F.col("_xi"), F.col("_eta")
     north = xi + _total(F.lit(a) * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(K.alpha, 1))
     east = eta + _total(F.lit(a) * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(K.alpha, 1))
-    size = g.scale * K.radius
-    return F.lit(g.east) + F.lit(size) * east, F.lit(g.north) + F.lit(size) * (north - F.lit(K.meridian(g.lat0)))
+    return df.withColumns(
+        {x: F.lit(g.east) + F.lit(size) * east, y: F.lit(g.north) + F.lit(size) * (north - F.lit(K.meridian(g.lat0)))}
+    ).drop("_s", "_l", "_t", "_xi", "_eta")
 
 
-def to_lonlat(x, y, epsg: int) -> tuple[Column, Column]:
-    """Grid ``(x, y)`` to longitude and latitude in degrees."""
+def _unproject(df: DataFrame, x: str, y: str, epsg: int, lon: str, lat: str) -> DataFrame:
+    """Grid coordinates to longitude and latitude in degrees."""
     g, K = GRIDS[epsg], Kruger
     size = g.scale * K.radius
-    xi = (_c(y) - F.lit(g.north)) / F.lit(size) + F.lit(K.meridian(g.lat0))
-    eta = (_c(x) - F.lit(g.east)) / F.lit(size)
-    xi1 = xi - _total(F.lit(b) * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(K.beta, 1))
-    eta1 = eta - _total(F.lit(b) * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(K.beta, 1))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi + _total(F.lit(d) * F.sin(2 * k * chi) for k, d in enumerate(K.delta, 1))
-    return F.lit(g.lon0) + F.degrees(F.atan(F.sinh(eta1) / F.cos(xi1))), F.degrees(lat)
+    df = df.withColumns(
+        {"_n": (F.col(y) - F.lit(g.north)) / F.lit(size) + F.lit(K.meridian(g.lat0)), "_e": (F.col(x) - F.lit(g.east)) / F.lit(size)}
+    )
+    n, e = F.col("_n"), F.col("_e")
+    df = df.withColumns(
+        {
+            "_xi": n - _total(F.lit(b) * F.sin(2 * k * n) * F.cosh(2 * k * e) for k, b in enumerate(K.beta, 1)),
+            "_eta": e - _total(F.lit(b) * F.cos(2 * k * n) * F.sinh(2 * k * e) for k, b in enumerate(K.beta, 1)),
+        }
+    )
+    df = df.withColumn("_chi", F.asin(F.sin("_xi") / F.cosh("_eta")))
+    chi = F.col("_chi")
+    north = chi + _total(F.lit(d) * F.sin(2 * k * chi) for k, d in enumerate(K.delta, 1))
+    return df.withColumns(
+        {lon: F.lit(g.lon0) + F.degrees(F.atan(F.sinh("_eta") / F.cos("_xi"))), lat: F.degrees(north)}
+    ).drop("_n", "_e", "_xi", "_eta", "_chi")
 
 
-def reproject(x, y, source: int, target: int) -> tuple[Column, Column]:
+def reproject(df: DataFrame, x: str, y: str, source: int, target: int, out_x: str = "x", out_y: str = "y") -> DataFrame:
     """Between grids and 4326, where x is longitude and y latitude."""
     if source == target:
-        return _c(x), _c(y)
-    lon, lat = (_c(x), _c(y)) if source == 4326 else to_lonlat(x, y, source)
-    return (lon, lat) if target == 4326 else from_lonlat(lon, lat, target)
+        return df.withColumns({out_x: F.col(x), out_y: F.col(y)})
+    if source == 4326:
+        return _project(df, x, y, target, out_x, out_y)
+    if target == 4326:
+        return _unproject(df, x, y, source, out_x, out_y)
+    return _project(_unproject(df, x, y, source, "_lon", "_lat"), "_lon", "_lat", target, out_x, out_y).drop("_lon", "_lat")

@@ -139,8 +139,8 @@ _X, _Y = tm_sql("lon", "lat", 5179)
 )
 def _(r):
     p = r.household.select("hh_id", (F.lit(128.45) + F.col("hh_id") % 400 / 1000.0).alias("lon"), (F.lit(35.05) + F.col("hh_id") % 300 / 1000.0).alias("lat"))
-    x, y = geo.reproject("lon", "lat", 4326, 5179)
-    return p.select("hh_id", (F.round(x, 3) + 0.0).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
+    p = geo.reproject(p, "lon", "lat", 4326, 5179)
+    return p.select("hh_id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
 @query(
@@ -152,8 +152,7 @@ def _(r):
     p = r.household.select("hh_id", (F.lit(128.45) + F.col("hh_id") % 400 / 1000.0).alias("a"), (F.lit(35.05) + F.col("hh_id") % 300 / 1000.0).alias("b"))
     source = 4326
     for target in (5179, 5181, 5186, 5187, 4326):
-        x, y = geo.reproject("a", "b", source, target)
-        p = p.select("hh_id", x.alias("a"), y.alias("b"))
+        p = geo.reproject(p, "a", "b", source, target, "a", "b")
         source = target
     return p.select("hh_id", F.col("a").alias("lon"), F.col("b").alias("lat"))
 

@@ -99,7 +99,7 @@ def spaced(r, n=20):
 # Greedy suppression as a recursion over ranks: a cell is kept when no kept cell before it is near.
 SPACED_SQL = f"""WITH RECURSIVE c AS (SELECT grid_id, i, j, {_S} AS s, row_number() OVER (ORDER BY {_S} DESC, grid_id) AS rn FROM scored),
   walk AS (SELECT 0::BIGINT AS rn, []::STRUCT(i BIGINT, j BIGINT, g VARCHAR)[] AS kept UNION ALL
-    SELECT c.rn, CASE WHEN len(list_filter(kept, k -> pow(k.i - c.i, 2) + pow(k.j - c.j, 2) <= 9)) = 0
+    SELECT c.rn, CASE WHEN len(list_filter(kept, lambda k: pow(k.i - c.i, 2) + pow(k.j - c.j, 2) <= 9)) = 0
       THEN list_append(kept, {{'i': c.i, 'j': c.j, 'g': c.grid_id}}) ELSE kept END FROM walk JOIN c ON c.rn = walk.rn + 1 WHERE len(kept) < 20),
   picks AS (SELECT unnest(kept).g AS grid_id FROM (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1))"""
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rillgrid.sources.roles import ROLE_SQL, Roles
 
-ONCE = {"features", "filled", "scored", "hourly"}
+ONCE = {"features", "filled", "scored", "hourly", "std_s", "std_1", "std_t", "std_g", "std_2", "std_x", "std_h", "std_p", "std_c", "std"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,9 +19,9 @@ SQL: dict[str, str] = {}
 def with_roles(sql: str, views: dict[str, str] | None = None) -> str:
     """Put the views a statement names in front of it as common table expressions."""
     if views is None:
-        from rillgrid.plans.risk import FEATURES_SQL, FILLED_SQL, SCORED_SQL
+        from rillgrid.plans.risk import FEATURES_SQL, FILLED_SQL, SCORED_SQL, STD_SQL
 
-        views = {**ROLE_SQL, "features": FEATURES_SQL, "filled": FILLED_SQL, "scored": SCORED_SQL}
+        views = {**ROLE_SQL, "features": FEATURES_SQL, "filled": FILLED_SQL, "scored": SCORED_SQL, **STD_SQL}
     needed: list[str] = []
     open_views: set[str] = set()
 

@@ -106,3 +106,75 @@ def grade_fixed_sql(score: str) -> str:
         f"CASE WHEN {score} <= 0 THEN NULL WHEN {score} <= 0.2 THEN '안전' WHEN {score} <= 0.4 THEN '관심' "
         f"WHEN {score} <= 0.6 THEN '주의' WHEN {score} <= 0.8 THEN '경계' WHEN {score} <= 1 THEN '위험' END"
     )
+
+
+# -- second generation -------------------------------------------------------------------------
+
+EXPOSURE = {"mean_rain": 1}
+SENSITIVITY = {"pipe_density": 1, "mean_elev": -1, "old_pipe_ratio": 1}
+RULES = ("combined_share", "pipe_density", "complaints")
+PEOPLE = {"elderly_ratio": 1, "single_ratio": 1, "old_building_ratio": 1}
+
+
+def std_features(r: Roles) -> DataFrame:
+    """Cells with the inputs of the second generation; every seventh district lies outside the
+    treatment area and has no second layer."""
+    outside = F.col("dong") % 7 == 6
+    return grid_features(r).withColumns(
+        {
+            "universe": index.universe_flag("people", "buildings"),
+            "people": F.coalesce("people", F.lit(0)), "buildings": F.coalesce("buildings", F.lit(0)),
+            "basements": F.coalesce("basements", F.lit(0)), "elderly": F.coalesce("elderly", F.lit(0)),
+            "complaints": F.coalesce("complaints", F.lit(0.0)),
+            **{c: F.coalesce(c, F.lit(0.0)) for c in PEOPLE},
+            "treated": ~outside,
+        }
+    )
+
+
+def scored_std(r: Roles) -> DataFrame:
+    """Layers 1 to 3, hazard, exposure and the composite index; written where it is read again."""
+    g = settle(std_features(r), "std")
+    g = index.layer1(g, EXPOSURE, SENSITIVITY)
+    two = index.layer2_rules(g.where("treated"), RULES).select("grid_id", "l2", "l2_additive")
+    g = g.join(two, "grid_id", "left")
+    g = index.layer3(g, PEOPLE).withColumn("v", F.col("l3"))
+    g = settle(index.exposure(index.hazard(g), "people", "buildings"), "std-layers")
+    main = index.cdri_geometric(g).select("grid_id", "cdri")
+    return settle(index.with_index_grade(index.cdri_additive(g.join(main, "grid_id", "left"))), "std-scored")
+
+
+def zsum_sql(source: str, columns: dict[str, int], out: str, winsor: bool) -> str:
+    """Sum of z-scores over a table expression, with or without clamping to 1..99 percent."""
+    clamp = {c: f"CASE WHEN s.{c} IS NULL THEN NULL ELSE least(greatest(s.{c}, q.{c}_lo), q.{c}_hi) END" if winsor else f"s.{c}" for c in columns}
+    bounds = ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi" for c in columns)
+    stats = ", ".join(f"avg({clamp[c]}) AS {c}_avg, stddev_pop({clamp[c]}) AS {c}_std" for c in columns)
+    total = " + ".join(f"coalesce({k} * ({clamp[c]} - m.{c}_avg) / nullif(m.{c}_std, 0), 0)" for c, k in columns.items())
+    q = f"(SELECT {bounds} FROM {source}) q"
+    return f"SELECT s.*, {total} AS {out} FROM {source} s CROSS JOIN {q} CROSS JOIN (SELECT {stats} FROM {source} s CROSS JOIN {q}) m"
+
+
+STD_SQL = {
+    "std_in": """SELECT grid_id, i, j, dong, mean_rain, pipe_density, mean_elev, old_pipe_ratio, combined_share,
+        (coalesce(people, 0) > 0 OR coalesce(buildings, 0) >= 1) AS universe, coalesce(people, 0) AS people, coalesce(buildings, 0) AS buildings,
+        coalesce(basements, 0) AS basements, coalesce(elderly, 0) AS elderly, coalesce(complaints, 0) AS complaints,
+        coalesce(elderly_ratio, 0) AS elderly_ratio, coalesce(single_ratio, 0) AS single_ratio, old_building_ratio, dong % 7 <> 6 AS treated FROM features""",
+    "std_e": zsum_sql("std_in", EXPOSURE, "z_exposure", True),
+    "std_s": zsum_sql("std_e", SENSITIVITY, "z_sensitivity", True),
+    "std_1": "SELECT *, " + mm_sql("(z_exposure + z_sensitivity)", "std_s") + " AS l1 FROM std_s",
+    "std_t": "SELECT * FROM std_1 WHERE treated",
+    "std_g": "SELECT grid_id, pow(" + " * ".join(f"({mm_sql(c, 'std_t')} + 0.05)" for c in RULES) + ", 1 / 3.0::DOUBLE) AS g, ("
+    + " + ".join(mm_sql(c, "std_t") for c in RULES) + ") / 3 AS a FROM std_t",
+    "std_2": f"SELECT grid_id, {mm_sql('g', 'std_g')} AS l2, {mm_sql('a', 'std_g')} AS l2_additive FROM std_g",
+    "std_3": zsum_sql("std_1", PEOPLE, "z3", False),
+    "std_x": zsum_sql("std_3", {"people": 1, "buildings": 1}, "zx", False),
+    "std_h": f"""SELECT x.*, b.l2, b.l2_additive, {mm_sql('z3', 'std_x')} AS l3, {mm_sql('z3', 'std_x')} AS v, {mm_sql('zx', 'std_x')} AS e,
+        CASE WHEN b.l2 IS NULL THEN l1 ELSE 0.5 * l1 + 0.5 * b.l2 END AS h, CASE WHEN b.l2 IS NULL THEN 'L1' ELSE 'L1+L2' END AS h_source
+        FROM std_x x LEFT JOIN std_2 b ON b.grid_id = x.grid_id""",
+    "std_p": "SELECT * FROM std_h WHERE e > 0",
+    "std_c": f"""SELECT grid_id, pow(0.05 + 0.95 * {mm_sql('h', 'std_p')}, 1 / 3.0::DOUBLE) * pow(e, 1 / 3.0::DOUBLE)
+        * pow(0.05 + 0.95 * {mm_sql('v', 'std_p')}, 1 / 3.0::DOUBLE) AS p FROM std_p""",
+    "std": f"""SELECT h.*, c.cdri, (h.h + h.e + h.v) / 3 AS cdri_additive, CASE WHEN c.cdri IS NULL THEN NULL WHEN c.cdri < 0.01 THEN '매우낮음'
+        WHEN c.cdri < 0.25 THEN '낮음' WHEN c.cdri < 0.5 THEN '보통' WHEN c.cdri < 0.75 THEN '높음' ELSE '매우높음' END AS grade
+        FROM std_h h LEFT JOIN (SELECT grid_id, {mm_sql('p', 'std_c')} AS cdri FROM std_c) c ON c.grid_id = h.grid_id""",
+}
