@@ -88,28 +88,30 @@ def all_scores(grid: DataFrame) -> DataFrame:
 # -- second generation: winsorized z-scores and the product of hazard, exposure, vulnerability --
 
 
-def sum_of_z(df: DataFrame, columns: Mapping[str, int], out: str, winsor: bool = True) -> DataFrame:
-    """Sum of sign-aligned z-scores; ``columns`` maps names to +1 or -1."""
-    names = {c: f"_z_{c}" for c in columns}
-    base = df
+def sums_of_z(df: DataFrame, sums: Mapping[str, Mapping[str, int]], winsor: bool = True) -> DataFrame:
+    """Sums of sign-aligned z-scores; ``sums`` maps output names to ``{column: +1 or -1}``.
+
+    All columns of all sums share one pass for the percentiles and one for the moments.  A missing
+    value adds nothing.
+    """
+    signs = {c: k for group in sums.values() for c, k in group.items()}
+    work = {c: f"_w_{c}" for c in signs}
+    base = df.withColumns({w: F.col(c).cast("double") for c, w in work.items()})
     if winsor:
-        copies = {c: f"_w_{c}" for c in columns}
-        base = df.withColumns({w: F.col(c) for c, w in copies.items()})
-        base = settle(winsorize(base, list(copies.values())), "winsor")
-        names = {w: f"_z_{c}" for c, w in copies.items()}
-        signs = {copies[c]: s for c, s in columns.items()}
-    else:
-        signs = dict(columns)
-    z = zscore(base, names, signs)
-    total = F.lit(0.0)
-    for name in names.values():
-        total = total + F.coalesce(F.col(name), F.lit(0.0))
-    return z.withColumn(out, total).drop(*names.values(), *([n for n in names if n.startswith("_w_")]))
+        base = winsorize(base, list(work.values()))
+    base = zscore(base, {w: w for w in work.values()}, {work[c]: k for c, k in signs.items()})
+    totals = {}
+    for out, group in sums.items():
+        total = F.lit(0.0)
+        for c in group:
+            total = total + F.coalesce(F.col(work[c]), F.lit(0.0))
+        totals[out] = total
+    return base.withColumns(totals).drop(*work.values())
 
 
 def layer1(df: DataFrame, exposure: Mapping[str, int], sensitivity: Mapping[str, int], classes: int = 4) -> DataFrame:
     """Climate exposure and urban sensitivity: ``z_exposure, z_sensitivity, l1, l1_grade`` (1 = worst)."""
-    z = settle(sum_of_z(sum_of_z(df, exposure, "z_exposure"), sensitivity, "z_sensitivity"), "layer1")
+    z = settle(sums_of_z(df, {"z_exposure": exposure, "z_sensitivity": sensitivity}), "layer1")
     codes = {}
     for c in ("z_exposure", "z_sensitivity"):
         codes[c] = F.lit(classes + 1) - class_code(c, jenks_breaks(z, c, classes))
@@ -130,7 +132,7 @@ def layer2_rules(df: DataFrame, columns: Sequence[str], eps: float = 0.05) -> Da
 
 
 def layer3(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
-    return minmax(sum_of_z(df, columns, "_z", winsor=False), {"_z": "l3"}).drop("_z")
+    return minmax(sums_of_z(df, {"_z": columns}, winsor=False), {"_z": "l3"}).drop("_z")
 
 
 def hazard(df: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def hazard(df: DataFrame) -> DataFrame:
 
 
 def exposure(df: DataFrame, people: str, buildings: str) -> DataFrame:
-    return minmax(sum_of_z(df, {people: 1, buildings: 1}, "_z", winsor=False), {"_z": "e"}).drop("_z")
+    return minmax(sums_of_z(df, {"_z": {people: 1, buildings: 1}}, winsor=False), {"_z": "e"}).drop("_z")
 
 
 def universe_flag(people, buildings) -> F.Column:

@@ -11,6 +11,8 @@ from rillgrid.operators.spatial import _bins, _neighbour_bins
 from rillgrid.skew import salted_join
 from rillgrid.staging import release, settle
 
+OPEN, KEPT, GONE = 0, 1, 2
+
 
 def top_n(df: DataFrame, score: str, key: str, n: int = 20) -> DataFrame:
     """Highest scores first, ties by key; runs as TakeOrderedAndProject."""
@@ -27,59 +29,60 @@ def top_share(df: DataFrame, score: str, key: str, share: float = 0.2) -> DataFr
 def suppress_neighbours(cells: DataFrame, score: str, key: str, reach: float = 300.0, max_rounds: int = 1000) -> DataFrame:
     """The set that picking the best cell, dropping all within ``reach`` and repeating would keep.
 
-    In each round every remaining cell that beats all remaining cells within ``reach`` is kept and
-    its neighbourhood goes; both steps are equi-joins on bins.  Input: ``key, x, y, score``.
+    Near pairs are found once by an equi-join on bins and kept as links from the worse to the
+    better cell.  In each round an open cell goes when a kept cell is among its betters, and is
+    kept when none of its betters is open any more; one join and one partial aggregation per
+    round.  Input: ``key, x, y, score``.
     """
     spark = cells.sparkSession
-    alive = settle(
-        cells.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), "x", "y", F.col(score).alias("s")), "alive"
+    nodes = settle(
+        cells.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), "x", "y", F.col(score).alias("s")), "nodes"
+    )
+    binned = _bins(nodes, "x", "y", reach)
+    other = _neighbour_bins(binned).select(
+        "bi", "bj", F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("s").alias("s2")
     )
-    kept: DataFrame | None = None
+    beats = (F.col("s2") > F.col("s")) | ((F.col("s2") == F.col("s")) & (F.col("k2") < F.col("k")))
+    near = distance("x", "y", "x2", "y2") <= F.lit(float(reach))
+    links = settle(salted_join(binned, other, ["bi", "bj"], ["k"]).where(beats & near).select("k", "k2"), "links")
+    state = settle(nodes.select("k", F.lit(OPEN).alias("status")), "state")
     for _ in range(max_rounds):
-        if alive.isEmpty():
-            break
-        binned = _bins(alive, "x", "y", reach)
-        other = _neighbour_bins(binned).select("bi", "bj", F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("s").alias("s2"))
-        near = salted_join(binned, other, ["bi", "bj"], ["k"]).where(
-            (F.col("k") != F.col("k2")) & (distance("x", "y", "x2", "y2") <= F.lit(float(reach)))
+        if state.where(F.col("status") == OPEN).isEmpty():
+            return (
+                state.where(F.col("status") == KEPT).select("k").join(nodes, "k")
+                .select(F.col("k").alias(key), "x", "y", F.col("s").alias(score))
+            )
+        betters = state.where(F.col("status") != GONE).select(F.col("k").alias("k2"), F.col("status").alias("_b"))
+        verdict = links.join(betters, "k2").groupBy("k").agg(
+            F.max(F.col("_b") == KEPT).alias("_kept"), F.max(F.col("_b") == OPEN).alias("_open")
         )
-        beats = (F.col("s2") > F.col("s")) | ((F.col("s2") == F.col("s")) & (F.col("k2") < F.col("k")))
-        beaten = near.where(beats).select("k").distinct()
-        winners = settle(alive.join(beaten, "k", "left_anti"), "winners")
-        kept = winners if kept is None else kept.unionByName(winners)
-        won = _neighbour_bins(_bins(winners, "x", "y", reach)).select("bi", "bj", F.col("x").alias("x2"), F.col("y").alias("y2"))
-        gone = (
-            salted_join(binned, won, ["bi", "bj"], ["k"])
-            .where(distance("x", "y", "x2", "y2") <= F.lit(float(reach)))
-            .select("k")
-            .distinct()
-        )
-        fresh = settle(alive.join(gone, "k", "left_anti"), "alive")
-        release(spark, alive)
-        alive = fresh
-    else:
-        raise RuntimeError("suppression did not settle")
-    if kept is None:
-        kept = alive
-    return kept.select(F.col("k").alias(key), "x", "y", F.col("s").alias(score))
+        now = F.when(F.col("status") != OPEN, F.col("status")).when(F.col("_kept"), GONE).when(F.col("_open"), OPEN).otherwise(KEPT)
+        fresh = settle(state.join(verdict, "k", "left").select("k", now.alias("status")), "state")
+        release(spark, state)
+        state = fresh
+    raise RuntimeError("suppression did not settle")
 
 
 def top_n_spaced(cells: DataFrame, score: str, key: str, n: int = 20, reach: float = 300.0) -> DataFrame:
     """First ``n`` cells of the spaced list.
 
     A pick depends only on better-scored cells, so the spaced list of the best m cells is a prefix
-    of the whole one; m grows until the prefix holds ``n`` picks.
+    of the whole one.  On a 100 m grid a pick covers at most 29 cells within 300 m, so the best 64
+    per pick are enough; that prefix has a size fixed by ``n`` and is walked directly.  Denser
+    points that exhaust it go through the distributed form.
     """
-    m, total = n * 64, None
-    while True:
-        picks = suppress_neighbours(top_n(cells.select(key, "x", "y", score), score, key, m), score, key, reach)
-        if picks.count() >= n:
-            break
-        total = cells.count() if total is None else total
-        if m >= total:
+    places = cells.select(key, "x", "y", score)
+    prefix = top_n(places, score, key, n * 64)
+    kept: list = []
+    rows = prefix.collect()
+    for row in rows:
+        if all((row["x"] - k["x"]) ** 2 + (row["y"] - k["y"]) ** 2 > reach**2 for k in kept):
+            kept.append(row)
+        if len(kept) == n:
             break
-        m *= 8
-    return top_n(picks, score, key, n)
+    if len(kept) == n or len(rows) < n * 64:
+        return cells.sparkSession.createDataFrame(kept, places.schema)
+    return top_n(suppress_neighbours(places, score, key, reach), score, key, n)
 
 
 def set_overlap(a: DataFrame, b: DataFrame, key: str, n: int = 20) -> DataFrame:

@@ -1 +1,128 @@
+"""Complaint model on the cell features."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rillgrid.operators import model
+from rillgrid.operators.spatial import with_cell
+from rillgrid.plans import risk
+from rillgrid.plans.registry import R, query
+from rillgrid.staging import settle
+
+FEATURES = ["old_pipe_ratio", "pipe_length", "pump_capacity", "mean_rain", "old_building_ratio", "elderly_ratio", "single_ratio", "slope"]
+BACKFLOW = ["error"]
+FLOOD = ["purchase", "view"]
+SINCE = "2024-01-15 00:00:00"
+
+
+def labelled_cells(r):
+    """Cell features without nulls, with the backflow label."""
+    since = F.to_timestamp(F.lit(SINCE)).cast("timestamp_ntz")
+    backflow = with_cell(r.complaint.where(F.col("ts") >= since))
+    g = model.label_cells(risk.grid_features(r).drop("complaints"), backflow, BACKFLOW, "ts", SINCE)
+    return settle(g.fillna(0.0, [c for c in model.available(g, FEATURES)]), "labelled")
+
+
+def _out_of_fold(r, pipeline):
+    g = labelled_cells(r)
+    folds = model.group_folds(g, "dong", 5)
+    return model.out_of_fold(g, folds, "dong", "grid_id", pipeline(model.available(g, FEATURES)))
+
+
+def _trees(features):
+    return model.boosted_trees(features, trees=20, depth=4, rate=0.1, subsample=0.8)
+
+
+@query("ml1_train_classifier")
+def _(r):
+    g = labelled_cells(r)
+    features = model.available(g, FEATURES)
+    train, test = (lambda d: (d.where(~F.col("is_test")), d.where("is_test")))(model.holdout_split(g, "grid_id"))
+    fitted = model.fit_weighted(model.boosted_trees(features, trees=20), train)
+    return model.predict(fitted, test, ["grid_id", "label"])
+
+
+_LABEL = f"SELECT DISTINCT x // 100 AS i, y // 100 AS j FROM complaint WHERE type = 'error' AND ts >= TIMESTAMP '{SINCE}'"
+
+
+@query(
+    "ml2_class_balance",
+    f"""WITH l AS ({_LABEL}) SELECT {R('count(*) FILTER (WHERE l.i IS NULL) * 1.0 / count(*) FILTER (WHERE l.i IS NOT NULL)')} AS positive_weight
+        FROM grid g LEFT JOIN l ON l.i = g.i AND l.j = g.j""",
+)
+def _(r):
+    return model.class_balance(labelled_cells(r))
+
+
+@query(
+    "ml3_group_folds",
+    """WITH s AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY size DESC, o_custkey) - 1 AS r FROM s)
+       SELECT o_custkey, size, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold FROM n""",
+)
+def _(r):
+    return model.group_folds(r.table("orders").select("o_custkey"), "o_custkey", 5)
+
+
+@query("ml4_out_of_fold")
+def _(r):
+    return _out_of_fold(r, _trees)
+
+
+@query("ml4_out_of_fold_scores")
+def _(r):
+    return model.scores_of(settle(_out_of_fold(r, _trees), "oof"))
+
+
+@query("ml5_baseline_logistic")
+def _(r):
+    return model.scores_of(settle(_out_of_fold(r, model.baseline_logistic), "oof"))
+
+
+@query("ml6_feature_importance")
+def _(r):
+    g = labelled_cells(r)
+    features = model.available(g, FEATURES)
+    return model.feature_importance(model.fit_weighted(_trees(features), g), features, r.spark)
+
+
+@query("ml7_permutation_importance")
+def _(r):
+    g = labelled_cells(r)
+    features = model.available(g, FEATURES)
+    fitted = model.fit_weighted(model.baseline_logistic(features), g)
+    return model.permutation_importance(fitted, g, features, "grid_id")
+
+
+@query(
+    "ml8_label_cells",
+    f"WITH l AS ({_LABEL}) SELECT grid_id, CAST(CASE WHEN l.i IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS label FROM grid g LEFT JOIN l ON l.i = g.i AND l.j = g.j",
+)
+def _(r):
+    since = F.to_timestamp(F.lit(SINCE)).cast("timestamp_ntz")
+    c = with_cell(r.complaint.where(F.col("ts") >= since))
+    return model.label_cells(r.grid, c, BACKFLOW, "ts", SINCE).select("grid_id", "label")
+
+
+@query(
+    "ml9_split_by_type",
+    """SELECT 'flood' AS use, count(*) AS n, min(event_id) AS first_id FROM events WHERE event_type IN ('purchase', 'view')
+       UNION ALL SELECT 'backflow', count(*), min(event_id) FROM events WHERE event_type = 'error'""",
+)
+def _(r):
+    flood, backflow = model.split_by_type(r.complaint, FLOOD, BACKFLOW)
+    count = lambda d, use: d.agg(F.count(F.lit(1)).alias("n"), F.min("c_id").alias("first_id")).select(F.lit(use).alias("use"), "n", "first_id")
+    return count(flood, "flood").unionByName(count(backflow, "backflow"))
+
+
+@query(
+    "ml10_holdout_split",
+    "SELECT o_orderkey, CAST(concat('0x', substr(sha1(concat('42:', o_orderkey)), 1, 8)) AS BIGINT) % 10000 < 2000 AS is_test FROM orders",
+)
+def _(r):
+    return model.holdout_split(r.table("orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("vl11_f1_folds")
+def _(r):
+    return model.f1_scores(settle(_out_of_fold(r, _trees), "oof"))

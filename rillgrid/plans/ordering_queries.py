@@ -109,6 +109,13 @@ def _(r):
     return spaced(r).select("grid_id", "s")
 
 
+@query("tk2_suppress_neighbours", SPACED_SQL.replace("WHERE len(kept) < 20", "") + f" SELECT grid_id, {R('s')} AS s FROM c JOIN picks USING (grid_id)")
+def _(r):
+    """Suppression over the whole grid."""
+    cells = _scored(r).select("grid_id", (F.col("i") * 100 + 50).alias("x"), (F.col("j") * 100 + 50).alias("y"), "s")
+    return topk.suppress_neighbours(cells, "s", "grid_id", 300.0).select("grid_id", "s")
+
+
 @query(
     "tk3_top_share",
     f"SELECT grid_id, percent_rank() OVER (ORDER BY {_S}) >= 0.8 AS in_top FROM scored",
