@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillgrid.functions.geo import CELL, cell_id, cell_index, distance
 from rillgrid.skew import salted_join
@@ -168,6 +169,12 @@ def _bins(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumns({"bi": cell_index(x, size), "bj": cell_index(y, size)})
 
 
+PAIRS_PER_ROW = 256  # candidate pairs per input row that the bin join may form
+LEAF = 32  # sites of a tree node that need no further split
+SPLIT = 4  # a tree node has SPLIT x SPLIT children
+DEPTH = 12
+
+
 def k_nearest(
     targets: DataFrame,
     sites: DataFrame,
@@ -175,74 +182,129 @@ def k_nearest(
     site_key: str,
     k: int = 1,
     max_radius: float | None = None,
-    first_radius: float | None = None,
     exclude_self: bool = False,
+    pairs_per_row: int = PAIRS_PER_ROW,
 ) -> DataFrame:
     """The ``k`` nearest sites of every target, ties broken by site key: ``(target, site, d, rn)``.
 
-    Each round looks at the 3 x 3 bins around a target with bins as wide as the radius, which
-    covers the whole disc; targets that found ``k`` sites are finished and the others go on with
-    twice the radius.  The first radius follows the site density, so most targets finish at once
-    and a pair is formed only inside neighbouring bins.  ``row_number() <= k`` prunes on the map
-    side before the shuffle.
+    Sites at one location are first reduced to the few that can matter.  Then rounds of bin joins:
+    with bins as wide as the radius the 3 x 3 bins around a target cover the whole disc, so a target
+    with ``k`` sites within the radius is finished and the others go on with twice the radius.  The
+    first radius follows the site density.  Before each round the number of pairs it would form is
+    taken from bin counts; where sites crowd together and that number is out of proportion, the
+    open targets descend a tree of site counts instead.
     """
-    stats = sites.agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    want = k + 1 if exclude_self else k
+    spot = Window.partitionBy("_sx", "_sy").orderBy(site_key)
+    places = (
+        sites.select(F.col(site_key), F.col("x").cast("double").alias("_sx"), F.col("y").cast("double").alias("_sy"))
+        .withColumn("_rn", F.row_number().over(spot)).where(F.col("_rn") <= want).drop("_rn")
+    )
+    places = settle(places, "places")
+    open_targets = settle(
+        targets.select(F.col(target_key), F.col("x").cast("double").alias("_tx"), F.col("y").cast("double").alias("_ty")), "targets"
+    )
+    box = lambda df, x, y: df.agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
     ).first()
-    reach = targets.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not stats["n"]:
-        return targets.select(target_key).limit(0).selectExpr(
-            target_key, "cast(null as long) as site", "cast(null as double) as d", "cast(null as int) as rn"
-        ).withColumnRenamed("site", site_key)
-    width = max(stats["x1"], reach["x1"]) - min(stats["x0"], reach["x0"]) + 1.0
-    height = max(stats["y1"], reach["y1"]) - min(stats["y0"], reach["y0"]) + 1.0
-    limit = math.hypot(width, height)
+    s, t = box(places, "_sx", "_sy"), box(open_targets, "_tx", "_ty")
+    if not s["n"] or not t["n"]:
+        fields = [places.schema[site_key], *T.StructType.fromDDL("d double, rn int")]
+        return sites.sparkSession.createDataFrame([], T.StructType([targets.schema[target_key], *fields]))
+    limit = math.hypot(max(s["x1"], t["x1"]) - min(s["x0"], t["x0"]) + 1.0, max(s["y1"], t["y1"]) - min(s["y0"], t["y0"]) + 1.0)
     if max_radius is not None:
         limit = min(limit, float(max_radius))
-    site_area = (stats["x1"] - stats["x0"] + 1.0) * (stats["y1"] - stats["y0"] + 1.0)
-    radius = min(limit, first_radius or 1.5 * math.sqrt(site_area * (k + 1) / (math.pi * stats["n"])))
-    places = sites.select(F.col(site_key), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
-    open_targets = targets.select(F.col(target_key), F.col("x").alias("_tx"), F.col("y").alias("_ty"))
+    area = (s["x1"] - s["x0"] + 1.0) * (s["y1"] - s["y0"] + 1.0)
+    radius = min(limit, 1.5 * math.sqrt(area * (want + 1) / (math.pi * s["n"])))
     order = Window.partitionBy(target_key).orderBy("d", site_key)
-    done: DataFrame | None = None
-    while True:
-        near = salted_join(
-            _bins(places, "_sx", "_sy", radius),
-            _neighbour_bins(_bins(open_targets, "_tx", "_ty", radius)),
-            ["bi", "bj"],
-            [site_key],
-        ).withColumn("d", distance("_sx", "_sy", "_tx", "_ty"))
-        near = near.where(F.col("d") <= F.lit(radius))
-        if exclude_self:
-            near = near.where(F.col(site_key) != F.col(target_key))
-        best = near.select(target_key, site_key, "d", F.row_number().over(order).alias("rn")).where(F.col("rn") <= k)
+    done: list[DataFrame] = []
+    left = t["n"]
+    while left:
+        site_bins = _bins(places, "_sx", "_sy", radius)
+        target_bins = _neighbour_bins(_bins(open_targets, "_tx", "_ty", radius))
+        if _pair_count(site_bins, target_bins) > pairs_per_row * (s["n"] + left):
+            done.append(_tree_nearest(open_targets, places, target_key, site_key, want, limit, (s["x0"], s["y0"]), max(s["x1"] - s["x0"], s["y1"] - s["y0"])))
+            break
+        many, few, identity = (site_bins, target_bins, site_key) if s["n"] >= 9 * left else (target_bins, site_bins, target_key)
+        near = salted_join(many, few, ["bi", "bj"], [identity]).withColumn("d", distance("_sx", "_sy", "_tx", "_ty"))
+        best = near.where(F.col("d") <= F.lit(radius)).select(target_key, site_key, "d", F.row_number().over(order).alias("rn"))
+        best = best.where(F.col("rn") <= want)
         if radius >= limit:
-            return best if done is None else done.unionByName(best)
+            done.append(best)
+            break
         best = settle(best, "near")
-        finished = best.where(F.col("rn") == k).select(target_key)
-        closed = best.join(finished, target_key, "left_semi")
-        done = closed if done is None else done.unionByName(closed)
-        left = open_targets.join(finished, target_key, "left_anti")
-        if left.isEmpty():
-            return done
-        open_targets = settle(left, "open")
+        finished = best.where(F.col("rn") == want).select(target_key)
+        done.append(best.join(finished, target_key, "left_semi"))
+        open_targets = settle(open_targets.join(finished, target_key, "left_anti"), "open")
+        left = open_targets.count()
         radius = min(limit, radius * 2)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    if exclude_self:
+        out = out.where(F.col(site_key) != F.col(target_key)).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return out
 
 
-def within_distance(targets: DataFrame, sites: DataFrame, target_key: str, site_key: str, reach: float) -> DataFrame:
-    """``(target, within)``: 1 when any site lies within ``reach``.
+def _pair_count(sites: DataFrame, targets: DataFrame) -> int:
+    """Pairs that an equi-join on bins would form, from the bin counts alone."""
+    a = sites.groupBy("bi", "bj").agg(F.count(F.lit(1)).cast("double").alias("a"))
+    b = targets.groupBy("bi", "bj").agg(F.count(F.lit(1)).cast("double").alias("b"))
+    return a.join(b, ["bi", "bj"]).agg(F.sum(F.col("a") * F.col("b")).alias("n")).first()["n"] or 0
+
 
-    Sites are reduced to one row per location first; the semi-join keeps no pairs.
+def _tree_nearest(targets: DataFrame, places: DataFrame, target_key: str, site_key: str, k: int, limit: float,
+                  origin: tuple[float, float], extent: float) -> DataFrame:
+    """k nearest by descending a tree of site counts, for sites that crowd together.
+
+    A target starts at the root.  Each round replaces the crowded nodes of a target by their
+    children; the largest distance of the nearest nodes that hold ``k`` sites together bounds the
+    k-th distance, and nodes that begin beyond it are dropped.  So a target carries a handful of
+    nodes however the sites are spread, and meets sites only in the few small nodes left.
     """
-    places = _bins(sites.select(F.col("x").alias("_sx"), F.col("y").alias("_sy")).distinct(), "_sx", "_sy", reach)
-    spots = _neighbour_bins(_bins(targets.select(target_key, F.col("x").alias("_tx"), F.col("y").alias("_ty")), "_tx", "_ty", reach))
-    near = (
-        salted_join(places, spots, ["bi", "bj"], ["_sx", "_sy"])
-        .where(distance("_sx", "_sy", "_tx", "_ty") <= F.lit(float(reach)))
-        .select(target_key)
-        .distinct()
-        .withColumn("within", F.lit(1))
-    )
+    side = extent * (1 + 1e-9) + 1e-6
+    x0, y0 = origin
+    index = lambda c, lo, level: F.floor((F.col(c) - F.lit(lo)) / F.lit(side / SPLIT**level)).cast("long")
+    total = places.count()
+    state = targets.select("*", F.lit(0).alias("level"), F.lit(0).cast("long").alias("ni"), F.lit(0).cast("long").alias("nj"), F.lit(total).cast("long").alias("cnt"))
+    level = 0
+    while level < DEPTH and not state.where((F.col("cnt") > LEAF) & (F.col("level") == level)).isEmpty():
+        child = places.groupBy(index("_sx", x0, level + 1).alias("ci"), index("_sy", y0, level + 1).alias("cj")).agg(F.count(F.lit(1)).alias("_c"))
+        child = child.select(F.floor(F.col("ci") / SPLIT).cast("long").alias("ni"), F.floor(F.col("cj") / SPLIT).cast("long").alias("nj"), "ci", "cj", "_c")
+        crowded = (F.col("cnt") > LEAF) & (F.col("level") == level)
+        grown = salted_join(state.where(crowded), child, ["ni", "nj"], [target_key]).select(
+            target_key, "_tx", "_ty", F.lit(level + 1).alias("level"), F.col("ci").alias("ni"), F.col("cj").alias("nj"), F.col("_c").alias("cnt")
+        )
+        nodes = grown.unionByName(state.where(~crowded))
+        width = F.lit(side) / F.pow(F.lit(float(SPLIT)), F.col("level"))
+        lo_x, lo_y = F.lit(x0) + F.col("ni") * width, F.lit(y0) + F.col("nj") * width
+        gap = lambda p, lo: F.greatest(lo - F.col(p), F.col(p) - lo - width, F.lit(0.0))
+        span = lambda p, lo: F.greatest(F.abs(F.col(p) - lo), F.abs(F.col(p) - lo - width))
+        nodes = nodes.withColumns(
+            {"_min": F.sqrt(gap("_tx", lo_x) ** 2 + gap("_ty", lo_y) ** 2), "_max": F.sqrt(span("_tx", lo_x) ** 2 + span("_ty", lo_y) ** 2)}
+        )
+        upto = Window.partitionBy(target_key).orderBy("_max").rangeBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(target_key)
+        nodes = nodes.withColumn("_cum", F.sum("cnt").over(upto)).withColumn(
+            "_bound", F.coalesce(F.min(F.when(F.col("_cum") >= k, F.col("_max"))).over(whole), F.lit(limit))
+        )
+        # a hair of slack keeps nodes whose edge lies exactly on the bound
+        keep = F.col("_min") <= F.least(F.col("_bound"), F.lit(limit)) * (1 + 1e-9) + 1e-6
+        state = settle(nodes.where(keep).drop("_min", "_max", "_cum", "_bound"), "tree")
+        level += 1
+    leaves = F.array(*[
+        F.struct(F.lit(n).alias("level"), index("_sx", x0, n).alias("ni"), index("_sy", y0, n).alias("nj")) for n in range(level + 1)
+    ])
+    listed = places.withColumn("_leaf", F.explode(leaves)).select(site_key, "_sx", "_sy", "_leaf.*")
+    near = salted_join(state.drop("cnt"), listed, ["level", "ni", "nj"], [target_key]).withColumn("d", distance("_sx", "_sy", "_tx", "_ty"))
+    order = Window.partitionBy(target_key).orderBy("d", site_key)
+    best = near.where(F.col("d") <= F.lit(limit)).select(target_key, site_key, "d", F.row_number().over(order).alias("rn"))
+    return best.where(F.col("rn") <= k)
+
+
+def within_distance(targets: DataFrame, sites: DataFrame, target_key: str, site_key: str, reach: float) -> DataFrame:
+    """``(target, within)``: 1 when the nearest site lies within ``reach``."""
+    near = k_nearest(targets, sites, target_key, site_key, 1, max_radius=reach).select(target_key, F.lit(1).alias("within"))
     return targets.select(target_key).join(near, target_key, "left").fillna(0, ["within"])
 
 
