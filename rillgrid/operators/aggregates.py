@@ -131,7 +131,7 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for k, (a, b) in enumerate(pairs):
         m[at[a], at[b]] = m[at[b], at[a]] = row[f"c{k}"]
     diagonal = np.diag(np.linalg.pinv(m))
-    return df.sparkSession.createDataFrame([(c, float(diagonal[at[c]])) for c in columns], "var string, vif double")
+    return df.sparkSession.createDataFrame([(c, float(diagonal[at[c]])) for c in columns], "feature string, vif double")
 
 
 def kpi_summary(df: DataFrame, grade: str, top_grade: str, old_ratio: str, score: str) -> DataFrame:

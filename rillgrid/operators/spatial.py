@@ -112,7 +112,7 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, key: str, identity: Se
     return met.where(_crossings(F.col("x").cast("double"), F.col("y").cast("double")) % 2 == 1).drop("edges", "i", "j")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _clipped_area(ring: pd.Series, x0: pd.Series, y0: pd.Series, size: pd.Series) -> pd.Series:
     """Area of a ring inside the square at (x0, y0): clip by its four sides, then shoelace."""
 

@@ -215,12 +215,12 @@ def _(r):
 
 @query(
     "ag28_coverage",
-    f"""WITH f AS (SELECT dong, count(*) AS found FROM building WHERE bld_id % 20 <> 0 GROUP BY 1), e AS (SELECT dong, count(*) AS expected FROM building GROUP BY 1)
+    f"""WITH f AS (SELECT dong, count(*) AS found FROM building WHERE floor_area > 20000 GROUP BY 1), e AS (SELECT dong, count(*) AS expected FROM building GROUP BY 1)
         SELECT e.dong, coalesce(found, 0) AS found, expected, {R('coalesce(found, 0) * 1.0 / expected')} AS coverage, coalesce(found, 0) * 1.0 / expected >= 0.9 AS ok
         FROM e LEFT JOIN f ON f.dong = e.dong""",
 )
 def _(r):
-    return agg.coverage(r.building.where("bld_id % 20 <> 0"), r.building, "dong")
+    return agg.coverage(r.building.where("floor_area > 20000"), r.building, "dong")
 
 
 @query(

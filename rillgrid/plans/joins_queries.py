@@ -160,9 +160,9 @@ def _(r):
 
 @query(
     "jn12_gazetteer_lookup",
-    """WITH book AS (SELECT hh_id, x, y, dong FROM household), a AS (SELECT o_orderkey AS id, o_custkey AS lot,
-          CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS road, o_custkey % 25 AS district FROM orders),
-        lots AS (SELECT hh_id AS lot, x, y FROM book WHERE hh_id % 2 = 0), roads AS (SELECT hh_id AS road, x + 1 AS x, y FROM book WHERE hh_id % 3 = 0),
+    """WITH book AS (SELECT hh_id, x, y, dong, segment FROM household), a AS (SELECT o_orderkey AS id, o_custkey AS lot,
+          CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS road, o_custkey % 25 AS district FROM orders),
+        lots AS (SELECT hh_id AS lot, x, y FROM book WHERE segment IN ('BUILDING', 'MACHINERY')), roads AS (SELECT hh_id AS road, x + 1 AS x, y FROM book WHERE segment IN ('HOUSEHOLD', 'FURNITURE')),
         districts AS (SELECT dong AS district, min(x) AS x, min(y) AS y FROM book WHERE dong < 20 GROUP BY 1)
         SELECT precision, count(*) AS n, CAST(coalesce(sum(x), 0) AS BIGINT) AS sx, CAST(coalesce(sum(y), 0) AS BIGINT) AS sy FROM (SELECT a.id,
           CASE WHEN l.lot IS NOT NULL THEN 'lot' WHEN r.road IS NOT NULL THEN 'road' WHEN d.district IS NOT NULL THEN 'district' ELSE 'unknown' END AS precision,
@@ -170,14 +170,13 @@ def _(r):
           FROM a LEFT JOIN lots l ON l.lot = a.lot LEFT JOIN roads r ON r.road = a.road LEFT JOIN districts d ON d.district = a.district) GROUP BY 1""",
 )
 def _(r):
-    k = F.col("o_orderkey")
     wanted = r.table("orders").select(
-        k.alias("id"), F.col("o_custkey").alias("lot"), F.when(k % 3 == 0, F.col("o_custkey")).alias("road"), (F.col("o_custkey") % 25).alias("district")
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lot"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("road"), (F.col("o_custkey") % 25).alias("district")
     )
     book = r.household
     levels = [
-        ("lot", book.where("hh_id % 2 = 0").select(F.col("hh_id").alias("lot"), "x", "y")),
-        ("road", book.where("hh_id % 3 = 0").select(F.col("hh_id").alias("road"), (F.col("x") + 1).alias("x"), "y")),
+        ("lot", book.where("segment in ('BUILDING', 'MACHINERY')").select(F.col("hh_id").alias("lot"), "x", "y")),
+        ("road", book.where("segment in ('HOUSEHOLD', 'FURNITURE')").select(F.col("hh_id").alias("road"), (F.col("x") + 1).alias("x"), "y")),
         ("district", book.where("dong < 20").groupBy(F.col("dong").alias("district")).agg(F.min("x").alias("x"), F.min("y").alias("y"))),
     ]
     found = spatial.gazetteer_lookup(wanted, levels, ["id"])
@@ -199,24 +198,24 @@ def _(r):
 
 @query(
     "jn14_cache_antijoin",
-    """WITH cache AS (SELECT DISTINCT sha1(text) AS k FROM documents WHERE doc_id % 3 = 0)
+    """WITH cache AS (SELECT DISTINCT sha1(text) AS k FROM documents WHERE lang <> 'en')
        SELECT doc_id, sha1(text) AS text_key FROM documents WHERE sha1(text) NOT IN (SELECT k FROM cache)""",
 )
 def _(r):
-    d = r.table("documents").select("doc_id", text_key("text").alias("text_key"))
-    cache = d.where("doc_id % 3 = 0").select("text_key").distinct()
-    return topk.not_in(d, cache, "text_key")
+    d = r.table("documents").select("doc_id", "lang", text_key("text").alias("text_key"))
+    cache = d.where("lang <> 'en'").select("text_key").distinct()
+    return topk.not_in(d.drop("lang"), cache, "text_key")
 
 
 @query(
     "jn15_first_source",
-    f"""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 2 = 0),
-        b AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+    f"""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS v FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+        b AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
         SELECT c.c_custkey AS k, {R('coalesce(a.v, b.v)')} AS v, CASE WHEN a.k IS NOT NULL THEN 'first' WHEN b.k IS NOT NULL THEN 'second' END AS src
         FROM customer c LEFT JOIN a ON a.k = c.c_custkey LEFT JOIN b ON b.k = c.c_custkey""",
 )
 def _(r):
     c = r.table("customer")
-    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("v"))
-    b = r.table("orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    a = c.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
+    b = r.table("orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     return spatial.first_source(c.select(F.col("c_custkey").alias("k")), [("first", a), ("second", b)], "k", ["v"])
