@@ -18,7 +18,7 @@ COMPLAINT_PATTERNS = (
 )
 COMPLAINT_OTHER = "기타"
 
-PHONE = r"(\+?\d{1,3}[-. ])?\(?\d{2,4}\)?[-. ]\d{3,4}[-. ]\d{4}"
+PHONE = r"(?:\+?\d{1,3}[-. ])?\(?\d{2,4}\)?[-. ]\d{3,4}[-. ]\d{4}"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 NAME = r"(성명|이름|민원인|name)\s*[:：]\s*[^\s,.;]+"
 
@@ -35,9 +35,11 @@ def classify_keyword(text, patterns=COMPLAINT_PATTERNS, other: str = COMPLAINT_O
 
 def mask_pii(text) -> Column:
     """Replace e-mail addresses, phone numbers and labelled names."""
-    masked = F.regexp_replace(_c(text), EMAIL, "[EMAIL]")
+    t = _c(text)
+    # a plain substring test spares most texts the costly patterns
+    masked = F.when(t.contains("@"), F.regexp_replace(t, EMAIL, "[EMAIL]")).otherwise(t)
     masked = F.regexp_replace(masked, PHONE, "[PHONE]")
-    return F.regexp_replace(masked, NAME, "$1: [NAME]")
+    return F.when(t.rlike("[:：]"), F.regexp_replace(masked, NAME, "$1: [NAME]")).otherwise(masked)
 
 
 def text_key(text) -> Column:

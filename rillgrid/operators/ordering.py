@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillgrid.skew import salted_join
+from rillgrid.skew import HEAVY_ROWS, SHARE, salted_join
+from rillgrid.staging import settle
 
 
 SMALL = 200_000  # rows that one task may scan in order
@@ -71,13 +72,15 @@ def cumulate(
     variable name drawn from that list and every variable gets its own cut points.  Up to
     ``small`` rows are scanned as one range per group.
     """
-    small = SMALL if small is None else small
-    df = df.where(F.col(value).isNotNull())
-    sums = {"n": F.lit(1), **(sums or {})}
-    by = list(by)
-    counted = df.groupBy(*by, value).agg(*[F.sum(c).alias(s) for s, c in sums.items()])
+    df, by = df.where(F.col(value).isNotNull()), list(by)
     by_var = by[0] if variables else None
-    cuts = _cut_points(df, value, by_var, variables, small)
+    cuts = _cut_points(df, value, by_var, variables, SMALL if small is None else small)
+    return _scan(df, value, sums or {}, by, descending, by_var, cuts)
+
+
+def _scan(df: DataFrame, value: str, sums: Mapping[str, Column], by: list[str], descending: bool, by_var: str | None, cuts) -> DataFrame:
+    sums = {"n": F.lit(1), **sums}
+    counted = df.groupBy(*by, value).agg(*[F.sum(c).alias(s) for s, c in sums.items()])
     if cuts is None:
         order = F.col(value).desc() if descending else F.col(value).asc()
         before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -116,26 +119,47 @@ def cumulate(
 
 def with_ranks(df: DataFrame, value: str, identity: Sequence[str], by: Sequence[str] = (), prefix: str = "",
                descending: bool = False) -> DataFrame:
-    """Add ``rank`` (minimum), ``rank_avg`` (ties share the mean) and ``pct_rank`` columns."""
-    positions = cumulate(df, value, by=by, descending=descending).select(
+    """Add ``rank`` (minimum), ``rank_avg`` (ties share the mean) and ``pct_rank`` columns.
+
+    The table of distinct values already holds their row counts, which name the heavy values for
+    the join back to the rows.
+    """
+    by = list(by)
+    known = df.where(F.col(value).isNotNull())
+    cuts = _cut_points(known, value, None, None, SMALL)
+    positions = _scan(known, value, {}, by, descending, None, cuts)
+    heavy = None
+    if cuts is not None:
+        positions = settle(positions, "positions")
+        limit = max(float(HEAVY_ROWS), SHARE * known.count())
+        heavy = positions.where(F.col("n") >= limit).select(*by, value, F.lit(True).alias("_heavy"))
+    ranks = positions.select(
         *by,
         value,
         (F.col("n_before") + 1).alias(f"{prefix}rank"),
         (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"{prefix}rank_avg"),
         F.when(F.col("n_all") > 1, F.col("n_before") / (F.col("n_all") - 1)).otherwise(0.0).alias(f"{prefix}pct_rank"),
     )
-    return salted_join(df, positions, [*by, value], identity, "left")
+    return salted_join(df, ranks, [*by, value], identity, "left", rows=0, heavy=heavy)
 
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles as rows ``(*by, var, p, q)``."""
-    columns, by = list(columns), list(by)
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        by, columns, "var", "_v"
-    )
-    pos = cumulate(long, "_v", by=["var", *by], variables=columns)
+    """Exact linearly interpolated quantiles as rows ``(*by, var, p, q)``.
+
+    Small tables use the built-in aggregate, whose buffer holds every distinct value; larger ones
+    count distinct values in ranges and pick the positions.
+    """
+    columns, by, probs = list(columns), list(by), [float(p) for p in probs]
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(by, columns, "var", "_v").where(F.col("_v").isNotNull())
+    cuts = _cut_points(long, "_v", "var", columns, SMALL)
+    if cuts is None:
+        levels = F.array(*[F.lit(p) for p in probs])
+        few = long.groupBy(*by, "var").agg(F.percentile("_v", levels).alias("_q"))
+        pairs = few.select(*by, "var", F.explode(F.arrays_zip(levels.alias("p"), F.col("_q").alias("q"))).alias("_x"))
+        return pairs.select(*by, "var", "_x.p", "_x.q")
+    pos = _scan(long, "_v", {}, ["var", *by], False, "var", cuts)
     at = pos.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     at = at.withColumn("_t", (F.col("n_all") - 1) * F.col("p"))
     lo, hi = F.floor("_t"), F.ceil("_t")

@@ -226,7 +226,7 @@ def k_nearest(
             done.append(_tree_nearest(open_targets, places, target_key, site_key, want, limit, (s["x0"], s["y0"]), max(s["x1"] - s["x0"], s["y1"] - s["y0"])))
             break
         many, few, identity = (site_bins, target_bins, site_key) if s["n"] >= 9 * left else (target_bins, site_bins, target_key)
-        near = salted_join(many, few, ["bi", "bj"], [identity]).withColumn("d", distance("_sx", "_sy", "_tx", "_ty"))
+        near = salted_join(many, few, ["bi", "bj"], [identity], rows=max(s["n"], 9 * left)).withColumn("d", distance("_sx", "_sy", "_tx", "_ty"))
         best = near.where(F.col("d") <= F.lit(radius)).select(target_key, site_key, "d", F.row_number().over(order).alias("rn"))
         best = best.where(F.col("rn") <= want)
         if radius >= limit:

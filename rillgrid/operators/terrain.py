@@ -153,48 +153,47 @@ def flow_direction(px: DataFrame, value: str = "z", tile: int = TILE) -> DataFra
     )
 
 
-def _jump(open_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Replace each pointer by the pointer of its target; popular targets are salted."""
-    step = nodes.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"))
-    return salted_join(open_nodes, step, ["ptr"], ["id"], "left")
-
-
 def flow_accumulation(flow: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Pixels upstream of each pixel, itself included: ``(id, upstream)``.
 
-    After round r a pointer reaches 2^r steps, and a value holds the pixels within 2^r steps.
+    After round r a pointer reaches 2^r steps and a value holds the pixels within 2^r steps.  A
+    round is one join, which looks up the pointer of the target (popular targets are salted), and
+    one aggregation, which adds the values that arrive and sets the new pointer.
     """
     spark = flow.sparkSession
     nodes = settle(flow.select("id", "ptr", F.lit(1).cast("long").alias("upstream")), "flow")
     for _ in range(max_rounds):
         moving = nodes.where(F.col("ptr").isNotNull())
-        if moving.isEmpty():
+        rows = moving.count()
+        if not rows:
             return nodes.select("id", "upstream")
-        gained = moving.groupBy(F.col("ptr").alias("id")).agg(F.sum("upstream").alias("_add"))
-        moved = _jump(moving.select("id", "ptr"), nodes).select("id", F.col("_next").alias("ptr"))
-        fixed = nodes.where(F.col("ptr").isNull()).select("id", F.lit(None).cast("long").alias("ptr"))
-        ahead = moved.unionByName(fixed)
-        fresh = settle(
-            nodes.select("id", "upstream")
-            .join(gained, "id", "left")
-            .join(ahead, "id")
-            .select("id", "ptr", (F.col("upstream") + F.coalesce("_add", F.lit(0))).alias("upstream")),
-            "flow",
+        target = nodes.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"))
+        stepped = salted_join(moving, target, ["ptr"], ["id"], "left", rows=rows)
+        arrive = F.struct(F.col("ptr").alias("id"), F.col("upstream").alias("v"), F.lit(None).cast("long").alias("p"))
+        onward = F.struct(F.col("id"), F.lit(0).cast("long").alias("v"), F.col("_next").alias("p"))
+        parts = stepped.select(F.explode(F.array(arrive, onward)).alias("m")).select("m.*").unionByName(
+            nodes.select("id", F.col("upstream").alias("v"), F.lit(None).cast("long").alias("p"))
         )
+        fresh = settle(parts.groupBy("id").agg(F.max("p").alias("ptr"), F.sum("v").alias("upstream")), "flow")
         release(spark, nodes)
         nodes = fresh
     raise RuntimeError(f"flow paths are longer than 2^{max_rounds} pixels or form a loop")
 
 
 def follow_to_root(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``(id, root)`` for nodes ``(id, ptr)``; a root has a null pointer."""
+    """``(id, root)`` for nodes ``(id, ptr)``; a root has a null pointer.
+
+    Only nodes that have not met their root take part in the join of a round.
+    """
     spark = nodes.sparkSession
     state = settle(nodes.select("id", F.coalesce("ptr", "id").alias("root"), F.col("ptr").isNull().alias("done")), "root")
     for _ in range(max_rounds):
-        if state.where(~F.col("done")).isEmpty():
+        moving = state.where(~F.col("done"))
+        rows = moving.count()
+        if not rows:
             return state.select("id", "root")
         step = state.select(F.col("id").alias("root"), F.col("root").alias("_next"), F.col("done").alias("_end"))
-        moved = salted_join(state.where(~F.col("done")), step, ["root"], ["id"]).select(
+        moved = salted_join(moving, step, ["root"], ["id"], rows=rows).select(
             "id", F.col("_next").alias("root"), F.col("_end").alias("done")
         )
         fresh = settle(state.where("done").unionByName(moved), "root")
@@ -257,20 +256,21 @@ def fill_sinks(px: DataFrame, tile: int = TILE, max_rounds: int = 64) -> DataFra
         .agg(F.min(F.greatest("v.z", "o.z").cast("double")).alias("w"))
     )
     passes = settle(passes, "pass")
+    n_passes = passes.count()
     basins = settle(
         labelled.where(F.col("basin") != OUTSIDE).select("basin").distinct()
         .select("basin", F.col("basin").alias("grp"), F.lit(None).cast("double").alias("level")),
         "basins",
     )
     for _ in range(max_rounds):
-        still = basins.where(F.col("grp") != OUTSIDE)
-        if still.isEmpty():
+        still = basins.where(F.col("grp") != OUTSIDE).count()
+        if not still:
             break
         member = basins.select(F.col("basin"), F.col("grp"))
         outside = spark.range(1).select(F.lit(OUTSIDE).cast("long").alias("basin"), F.lit(OUTSIDE).cast("long").alias("grp"))
         member = member.unionByName(outside)
-        links = salted_join(passes, member.select(F.col("basin").alias("a"), F.col("grp").alias("ga")), ["a"], ["b"])
-        links = salted_join(links, member.select(F.col("basin").alias("b"), F.col("grp").alias("gb")), ["b"], ["a"])
+        links = salted_join(passes, member.select(F.col("basin").alias("a"), F.col("grp").alias("ga")), ["a"], ["b"], rows=n_passes)
+        links = salted_join(links, member.select(F.col("basin").alias("b"), F.col("grp").alias("gb")), ["b"], ["a"], rows=n_passes)
         links = links.where((F.col("ga") != F.col("gb")) & (F.col("ga") != OUTSIDE))
         # one total order over undirected links leaves only two-element loops
         best = links.groupBy("ga").agg(
@@ -278,7 +278,7 @@ def fill_sinks(px: DataFrame, tile: int = TILE, max_rounds: int = 64) -> DataFra
         )
         best = settle(best.select(F.col("ga").alias("id"), F.col("m.gb").alias("to"), F.col("m.w").alias("w")), "best")
         back = best.select(F.col("id").alias("to"), F.col("to").alias("_back"))
-        tied = salted_join(best, back, ["to"], ["id"], "left")
+        tied = salted_join(best, back, ["to"], ["id"], "left", rows=still)
         ptr = tied.select(
             "id", F.when((F.col("_back") == F.col("id")) & (F.col("id") < F.col("to")), None).otherwise(F.col("to")).alias("ptr")
         )
@@ -286,7 +286,7 @@ def fill_sinks(px: DataFrame, tile: int = TILE, max_rounds: int = 64) -> DataFra
         merged = follow_to_root(ptr.unionByName(top))
         moves = best.select(F.col("id").alias("grp"), "w").join(merged.select(F.col("id").alias("grp"), "root"), "grp")
         fresh = settle(
-            salted_join(basins, moves, ["grp"], ["basin"], "left").select(
+            salted_join(basins, moves, ["grp"], ["basin"], "left", rows=n_passes).select(
                 "basin", F.coalesce("root", "grp").alias("grp"), F.greatest("level", "w").alias("level")
             ),
             "basins",

@@ -44,7 +44,7 @@ def suppress_neighbours(cells: DataFrame, score: str, key: str, reach: float = 3
     )
     beats = (F.col("s2") > F.col("s")) | ((F.col("s2") == F.col("s")) & (F.col("k2") < F.col("k")))
     near = distance("x", "y", "x2", "y2") <= F.lit(float(reach))
-    links = settle(salted_join(binned, other, ["bi", "bj"], ["k"]).where(beats & near).select("k", "k2"), "links")
+    links = settle(salted_join(binned, other, ["bi", "bj"], ["k"], rows=nodes.count()).where(beats & near).select("k", "k2"), "links")
     state = settle(nodes.select("k", F.lit(OPEN).alias("status")), "state")
     for _ in range(max_rounds):
         if state.where(F.col("status") == OPEN).isEmpty():

@@ -12,7 +12,8 @@ from rillgrid.operators.index import weighted_sum
 from rillgrid.operators.normalise import max_norm, minmax
 from rillgrid.operators.ordering import cumulate, quantiles, with_ranks
 from rillgrid.operators.topk import top_n
-from rillgrid.skew import salted_join
+from rillgrid.skew import HEAVY_ROWS, heavy_keys, salted_join
+from rillgrid.staging import settle
 
 
 def _labels(label: str) -> dict:
@@ -70,12 +71,15 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Rows are reduced to distinct value pairs before the ranks are looked up.
     """
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(
         F.count(F.lit(1)).alias("_w")
     )
+    pairs = settle(pairs, "pairs")
+    n_pairs, both = pairs.count(), pairs
     for c in ("_a", "_b"):
-        pos = cumulate(both, c, {"w": F.col("_w")}).select(c, (F.col("w_before") + (F.col("w") + 1) / 2).alias(f"{c}_r"))
-        both = salted_join(both, pos, [c], ["_a", "_b"])
+        pos = cumulate(pairs, c, {"w": F.col("_w")}).select(c, (F.col("w_before") + (F.col("w") + 1) / 2).alias(f"{c}_r"))
+        heavy = heavy_keys(pairs, [c]) if n_pairs >= HEAVY_ROWS else None
+        both = salted_join(both, pos, [c], ["_a", "_b"], rows=0, heavy=heavy)
     w, x, y = F.col("_w"), F.col("_a_r"), F.col("_b_r")
     s = both.agg(
         F.sum(w).cast("double").alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"),

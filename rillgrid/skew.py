@@ -37,6 +37,8 @@ def salted_join(
     salts: int = 64,
     share: float = SHARE,
     least: int | None = None,
+    rows: int | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join ``many`` with ``few``; keys that hold too many rows of ``many`` are salted.
 
@@ -44,10 +46,13 @@ def salted_join(
     rows of a heavy key are spread by the hash of ``identity`` (columns that tell rows of one key
     apart, so a retried task picks the same salt) and the rows of ``few`` are repeated per salt for
     heavy keys only.  Rows without a key match nothing and are spread too.  ``how`` may be any type
-    that keeps ``many`` on the left.
+    that keeps ``many`` on the left.  Where the caller knows that ``many`` has at most ``rows`` rows,
+    or already has its ``heavy`` keys (as from ``heavy_keys``), nothing is counted.
     """
     keys = list(keys)
-    heavy = heavy_keys(many, keys, share, least)
+    least = HEAVY_ROWS if least is None else least
+    if heavy is None and (rows is None or rows >= least):
+        heavy = heavy_keys(many, keys, share, least)
     if heavy is None:
         return many.join(few, keys, how)
     heavy = F.broadcast(heavy)
