@@ -16,7 +16,7 @@ from rillgrid.skew import HEAVY_ROWS, SHARE, salted_join
 from rillgrid.staging import settle
 
 
-SMALL = 200_000  # rows that one task may scan in order
+SMALL = 500_000  # distinct values that one task may scan in order
 
 
 def range_count(df: DataFrame) -> int:
@@ -24,22 +24,23 @@ def range_count(df: DataFrame) -> int:
     return max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _cut_points(df: DataFrame, value: str, by_var: str | None, variables: Sequence[str] | None, small: int):
-    """Approximate quantiles that cut the values into ranges, or None for a small table.
+def _cut_points(df: DataFrame, value: str, by: Sequence[str], variables: Sequence[str] | None, small: int):
+    """``(cuts, rows)``: approximate quantiles that cut the values into ranges, and the row count.
 
-    One aggregate row comes back: a count and a bounded number of cut points.
+    No cuts are given when there are few distinct values.  One aggregate row comes back: counts
+    and a bounded number of cut points.
     """
     n = range_count(df)
     fractions = F.array(*[F.lit(k / n) for k in range(1, n)])
-    parts = [F.count(F.lit(1)).alias("n")]
-    names = variables if by_var else [None]
+    parts = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*by, value)).alias("d")]
+    names = variables or [None]
     for k, name in enumerate(names):
-        v = F.col(value) if name is None else F.when(F.col(by_var) == name, F.col(value))
+        v = F.col(value) if name is None else F.when(F.col(by[0]) == name, F.col(value))
         parts.append(F.percentile_approx(v, fractions, 1000).alias(f"c{k}"))
     row = df.agg(*parts).first()
-    if row["n"] <= small:
-        return None
-    return {name: sorted(set(row[f"c{k}"] or [])) for k, name in enumerate(names)}
+    if row["d"] <= small:
+        return None, row["n"]
+    return {name: sorted(set(row[f"c{k}"] or [])) for k, name in enumerate(names)}, row["n"]
 
 
 def _range_number(value: str, by_var: str | None, cuts) -> Column:
@@ -70,11 +71,11 @@ def cumulate(
 
     ``n`` (row count) is always included.  With ``variables`` the first column of ``by`` is a
     variable name drawn from that list and every variable gets its own cut points.  Up to
-    ``small`` rows are scanned as one range per group.
+    ``small`` distinct values are scanned as one range per group.
     """
     df, by = df.where(F.col(value).isNotNull()), list(by)
     by_var = by[0] if variables else None
-    cuts = _cut_points(df, value, by_var, variables, SMALL if small is None else small)
+    cuts, _ = _cut_points(df, value, by, variables, SMALL if small is None else small)
     return _scan(df, value, sums or {}, by, descending, by_var, cuts)
 
 
@@ -126,12 +127,12 @@ def with_ranks(df: DataFrame, value: str, identity: Sequence[str], by: Sequence[
     """
     by = list(by)
     known = df.where(F.col(value).isNotNull())
-    cuts = _cut_points(known, value, None, None, SMALL)
+    cuts, rows = _cut_points(known, value, by, None, SMALL)
     positions = _scan(known, value, {}, by, descending, None, cuts)
     heavy = None
-    if cuts is not None:
+    if rows >= HEAVY_ROWS:
         positions = settle(positions, "positions")
-        limit = max(float(HEAVY_ROWS), SHARE * known.count())
+        limit = max(float(HEAVY_ROWS), SHARE * rows)
         heavy = positions.where(F.col("n") >= limit).select(*by, value, F.lit(True).alias("_heavy"))
     ranks = positions.select(
         *by,
@@ -148,12 +149,12 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles as rows ``(*by, var, p, q)``.
 
-    Small tables use the built-in aggregate, whose buffer holds every distinct value; larger ones
-    count distinct values in ranges and pick the positions.
+    Few distinct values go through the built-in aggregate, whose buffer holds each of them once;
+    otherwise distinct values are counted in ranges and the positions are picked.
     """
     columns, by, probs = list(columns), list(by), [float(p) for p in probs]
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(by, columns, "var", "_v").where(F.col("_v").isNotNull())
-    cuts = _cut_points(long, "_v", "var", columns, SMALL)
+    cuts, _ = _cut_points(long, "_v", ["var", *by], columns, SMALL)
     if cuts is None:
         levels = F.array(*[F.lit(p) for p in probs])
         few = long.groupBy(*by, "var").agg(F.percentile("_v", levels).alias("_q"))

@@ -159,15 +159,20 @@ def long_stations(df: DataFrame, ts: str, least_days: int) -> DataFrame:
 def rain_before(complaints: DataFrame, hourly: DataFrame, identity: str, ts: str, hours: int = 24) -> DataFrame:
     """Rain of the ``hours`` full hours before each complaint, and the latest wet hour.
 
-    A complaint looks up its ``hours`` hour keys by equi-join; the sums combine before the shuffle.
+    A complaint is listed under the days its look-back touches and meets the at most 24 hourly rows
+    of its station and day; the sums combine before they are shuffled.
     """
     start = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
-    wanted = complaints.select(F.col(identity), F.col("station"), F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("_back"), start.alias("_h"))
-    wanted = wanted.withColumn("hour", F.col("_h") - F.make_dt_interval(hours=F.col("_back"))).drop("_h")
-    got = salted_join(wanted, hourly, ["station", "hour"], [identity, "_back"], "left")
+    first = start - F.make_dt_interval(hours=F.lit(hours))
+    last = start - F.make_dt_interval(hours=F.lit(1))
+    wanted = complaints.select(F.col(identity), F.col("station"), first.alias("_a"), last.alias("_b")).withColumn(
+        "_day", F.explode(F.sequence(F.to_date("_a"), F.to_date("_b"), F.expr("interval 1 day")))
+    )
+    got = salted_join(wanted, hourly.withColumn("_day", F.to_date("hour")), ["station", "_day"], [identity], "left")
+    inside = F.col("hour").between(F.col("_a"), F.col("_b"))
     return got.groupBy(identity).agg(
-        F.coalesce(F.sum("mm"), F.lit(0.0)).alias("rain_before"),
-        F.max(F.when(F.col("mm") > 0, F.col("hour"))).alias("last_wet_hour"),
+        F.coalesce(F.sum(F.when(inside, F.col("mm"))), F.lit(0.0)).alias("rain_before"),
+        F.max(F.when(inside & (F.col("mm") > 0), F.col("hour"))).alias("last_wet_hour"),
     )
 
 

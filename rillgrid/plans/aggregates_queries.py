@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rillgrid.functions.scores import depth_mid
 from rillgrid.operators import aggregates as agg
 from rillgrid.operators import spatial, terrain
+from rillgrid.plans.joins_queries import PIECES_SQL
 from rillgrid.plans.registry import R, query
 from rillgrid.plans.risk import feature_table, grade_fixed_sql, scored_v1
 from rillgrid.staging import settle
@@ -72,7 +73,11 @@ def _(r):
     return agg.area_weighted_mean(d, ["town"], "mid", "area", "depth")
 
 
-@query("ag6_depth_per_cell")
+@query(
+    "ag6_depth_per_cell",
+    f"""WITH pieces AS ({PIECES_SQL}) SELECT p.i, p.j, {R(f'sum({_DEPTH} * area) / sum(area)')} AS depth
+        FROM pieces p JOIN diamond d ON d.poly_id = p.poly_id WHERE area > 0 GROUP BY 1, 2""",
+)
 def _(r):
     """Area-weighted flood depth of every cell a depth polygon touches."""
     labels = F.array(*[F.lit(v) for v in ("~0.5", "0.5~1.0", "1.0~1.5", "1.5~2.0", "2.0~3.0", "3.0~")])
@@ -82,6 +87,16 @@ def _(r):
     return agg.area_weighted_mean(parts, ["i", "j"], "mid", "area", "depth")
 
 
+@query(
+    "ag7_land_cover_per_cell",
+    f"""WITH pieces AS ({PIECES_SQL}) SELECT p.i, p.j, {R("sum(CASE WHEN cover LIKE '1%' THEN area ELSE 0 END) / 10000")} AS impervious,
+        CAST(max((cover = '710')::INT) AS INTEGER) AS inland_water FROM pieces p JOIN diamond d ON d.poly_id = p.poly_id WHERE area > 0 GROUP BY 1, 2""",
+)
+def _(r):
+    pieces = spatial.cell_polygon_overlap(r.diamond, "poly_id").join(r.diamond.select("poly_id", "cover"), "poly_id")
+    return agg.land_cover_share(pieces, "cover")
+
+
 @query(
     "ag7_land_cover_share",
     f"""SELECT {R("sum(CASE WHEN cover LIKE '1%' THEN 2.0 * h * h ELSE 0 END) / 10000")} AS built_cells,
@@ -153,7 +168,15 @@ def _(r):
     return agg.redundant_pairs(agg.corr_matrix(scored_v1(r), _LAYERS), 0.3)
 
 
-@query("ag22_vif")
+def _vif_sql(a: str, b: str, c: str) -> str:
+    r2 = f"(pow(corr({a}, {b}), 2) + pow(corr({a}, {c}), 2) - 2 * corr({a}, {b}) * corr({a}, {c}) * corr({b}, {c})) / (1 - pow(corr({b}, {c}), 2))"
+    return f"SELECT '{a}' AS feature, {R(f'1 / (1 - {r2})')} AS vif FROM scored"
+
+
+_THREE = ("flood_score", "sewer_score", "vuln_score")
+
+
+@query("ag22_vif", " UNION ALL ".join(_vif_sql(*_THREE[k:], *_THREE[:k]) for k in range(3)))
 def _(r):
     return agg.vif(scored_v1(r), ["flood_score", "sewer_score", "vuln_score"])
 

@@ -100,7 +100,36 @@ def _(r):
     return coded.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
-@query("nm5_jenks_binned")
+def jenks_sql(tag: str, source: str, column: str, k: int) -> str:
+    """The Fisher recurrence over at most 256 bins as common table expressions ending in ``<tag>_cuts``."""
+    t = tag
+    bounds = f"(SELECT min({column}) AS lo, max({column}) AS hi, count(DISTINCT {column}) AS nd FROM {source}) b"
+    bin_ = f"CASE WHEN nd <= 256 THEN CAST({column} AS DOUBLE) ELSE least(floor(({column} - lo) / (hi - lo) * 256), 255) END"
+    parts = [
+        f"{t}_h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min({column})) AS p, max({column}) AS top, count(*) AS n, sum({column}) AS s, sum({column} * {column}) AS q "
+        f"FROM {source} CROSS JOIN {bounds} WHERE {column} IS NOT NULL GROUP BY {bin_})",
+        f"{t}_c AS MATERIALIZED (SELECT p, top, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM {t}_h WINDOW w AS (ORDER BY p) UNION ALL SELECT 0, NULL, 0, 0, 0)",
+        f"{t}_1 AS MATERIALIZED (SELECT p, q - s * s / n AS cost FROM {t}_c WHERE p > 0)",
+    ]
+    for m in range(2, k + 1):
+        parts.append(
+            f"{t}_{m} AS MATERIALIZED (SELECT j.p, min(d.cost + (j.q - i.q) - pow(j.s - i.s, 2) / (j.n - i.n)) AS cost, "
+            f"arg_min(i.p, d.cost + (j.q - i.q) - pow(j.s - i.s, 2) / (j.n - i.n)) AS cut FROM {t}_c j JOIN {t}_c i ON i.p < j.p JOIN {t}_{m - 1} d ON d.p = i.p GROUP BY 1)"
+        )
+    last = f"(SELECT max(p) FROM {t}_h)"
+    for m in range(k, 1, -1):
+        parts.append(f"{t}_b{m} AS (SELECT cut AS p FROM {t}_{m} WHERE p = {last})")
+        last = f"(SELECT p FROM {t}_b{m})"
+    cuts = " UNION ALL ".join(f"SELECT top FROM {t}_c WHERE p = (SELECT p FROM {t}_b{m})" for m in range(2, k + 1))
+    parts.append(f"{t}_cuts AS MATERIALIZED ({cuts})")
+    return ", ".join(parts)
+
+
+@query(
+    "nm5_jenks_binned",
+    f"""WITH {jenks_sql('k', 'orders', 'o_totalprice', 5)}
+        SELECT CAST(1 + (SELECT count(*) FROM k_cuts WHERE o_totalprice > top) AS INTEGER) AS class, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1""",
+)
 def _(r):
     """Five natural classes of a column with many distinct values."""
     o = r.table("orders").select("o_totalprice")
@@ -147,7 +176,13 @@ def _(r):
     return index.layer1(g, risk.EXPOSURE, risk.SENSITIVITY).select("grid_id", "z_exposure", "z_sensitivity", "l1")
 
 
-@query("sc5_layer1_grades")
+@query(
+    "sc5_layer1_grades",
+    f"""WITH {jenks_sql('x', 'std_1', 'z_exposure', 4)}, {jenks_sql('s', 'std_1', 'z_sensitivity', 4)},
+        g AS (SELECT l1, 4 - (SELECT count(*) FROM x_cuts WHERE z_exposure > top) AS e, 4 - (SELECT count(*) FROM s_cuts WHERE z_sensitivity > top) AS s FROM std_1),
+        m(e, s, grade) AS (VALUES (1,1,1),(1,2,1),(1,3,2),(1,4,2),(2,1,1),(2,2,2),(2,3,2),(2,4,3),(3,1,2),(3,2,2),(3,3,3),(3,4,4),(4,1,2),(4,2,3),(4,3,4),(4,4,4))
+        SELECT CAST(m.grade AS INTEGER) AS l1_grade, count(*) AS n, {R('avg(l1)')} AS mean_l1 FROM g JOIN m ON m.e = g.e AND m.s = g.s GROUP BY 1""",
+)
 def _(r):
     g = index.layer1(settle(risk.std_features(r), "std"), risk.EXPOSURE, risk.SENSITIVITY)
     return g.groupBy("l1_grade").agg(F.count(F.lit(1)).alias("n"), F.avg("l1").alias("mean_l1"))

@@ -47,7 +47,16 @@ def _(r):
     return terrain.relative_elevation(r.rough_dem, 5, 3, TILE)
 
 
-@query("tr3_fill_sinks")
+# A pixel is filled to the lowest level at which pixels not above that level lead to the border.
+_FILLED = """WITH RECURSIVE around AS (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS dr, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS dc),
+  edge AS MATERIALIZED (SELECT d.row, d.col FROM rough_dem d CROSS JOIN around a LEFT JOIN rough_dem o ON o.row = d.row + a.dr AND o.col = d.col + a.dc
+    GROUP BY 1, 2 HAVING count(o.row) < 8),
+  levels AS (SELECT DISTINCT z AS level FROM rough_dem),
+  reach AS (SELECT l.level, d.row, d.col FROM levels l JOIN rough_dem d ON d.z <= l.level JOIN edge e ON e.row = d.row AND e.col = d.col
+    UNION SELECT r.level, o.row, o.col FROM reach r CROSS JOIN around a JOIN rough_dem o ON o.row = r.row + a.dr AND o.col = r.col + a.dc WHERE o.z <= r.level)"""
+
+
+@query("tr3_fill_sinks", f"{_FILLED} SELECT d.row, d.col, d.z, min(r.level) AS filled FROM rough_dem d JOIN reach r ON r.row = d.row AND r.col = d.col GROUP BY 1, 2, 3")
 def _(r):
     return terrain.fill_sinks(r.rough_dem, TILE)
 

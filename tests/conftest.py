@@ -11,7 +11,7 @@ from rillgrid.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g"
+        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g"
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
