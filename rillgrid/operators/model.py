@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -73,7 +75,7 @@ def boosted_trees(features: Sequence[str], label: str = "label", trees: int = 10
                   subsample: float = 1.0, validation: str | None = None) -> Pipeline:
     gbt = GBTClassifier(
         featuresCol="_features", labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=rate,
-        subsamplingRate=subsample, seed=SEED, checkpointInterval=-1,
+        subsamplingRate=subsample, seed=SEED, checkpointInterval=10,
         **({"validationIndicatorCol": validation} if validation else {}),
     )
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), gbt])
@@ -97,12 +99,18 @@ def out_of_fold(df: DataFrame, folds: DataFrame, group: str, key: str, pipeline:
                 label: str = "label") -> DataFrame:
     """Probability of each row from the model that never saw its group: ``(key, fold, label, p, predicted)``."""
     data = settle(df.join(folds.select(group, "fold"), group), "folds")
-    parts = []
-    for k in range(n_folds):
+
+    def one(k: int) -> DataFrame | None:
         train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
         if test.isEmpty() or train.select(label).distinct().limit(2).count() < 2:
-            continue
-        parts.append(predict(fit_weighted(pipeline, train, label), test, [key, "fold", label]))
+            return None
+        return predict(fit_weighted(pipeline.copy(), train, label), test, [key, "fold", label])
+
+    # the folds are independent, so their jobs share the cluster as in MLlib's own tuning
+    with ThreadPool(n_folds) as pool:
+        parts = [p for p in pool.map(inheritable_thread_target(df.sparkSession)(one), range(n_folds)) if p is not None]
+    if not parts:
+        raise ValueError("no fold leaves both classes to learn from")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

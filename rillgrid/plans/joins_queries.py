@@ -13,12 +13,12 @@ from rillgrid.plans.risk import scored_v1
 
 @query(
     "jn1_point_in_cell",
-    f"""SELECT g.grid_id, count(p.c_id) AS n, {R('sum(p.mm)')} AS mm, min(p.c_id) AS first_id FROM grid g
+    f"""SELECT g.grid_id, count(p.c_id) AS n, {R('sum(p.mm)')} AS mm, coalesce(min(p.c_id), -1) AS first_id FROM grid g
         LEFT JOIN complaint p ON p.x // 100 = g.i AND p.y // 100 = g.j GROUP BY 1""",
 )
 def _(r):
     met = spatial.point_in_cell(r.grid, r.complaint, ["c_id"])
-    return met.groupBy("grid_id").agg(F.count("c_id").alias("n"), F.sum("mm").alias("mm"), F.min("c_id").alias("first_id"))
+    return met.groupBy("grid_id").agg(F.count("c_id").alias("n"), F.sum("mm").alias("mm"), F.coalesce(F.min("c_id"), F.lit(-1)).alias("first_id"))
 
 
 @query(

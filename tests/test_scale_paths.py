@@ -187,3 +187,24 @@ def test_contribution_adds_up(spark):
 def test_settled_tables_live_in_the_shared_folder(spark):
     path = settle(spark.range(3), "probe").inputFiles()[0]
     assert shared_dir(spark).split(":")[-1].lstrip("/") in path
+
+
+def test_boosted_trees_with_a_separate_validation_part(spark):
+    df = spark.range(400).select(
+        F.col("id"), (F.col("id") % 20).cast("double").alias("a"), F.rand(2).alias("b"), (F.col("id") % 8).alias("g")
+    ).withColumn("label", (F.col("a") > 12).cast("int"))
+    df = model.holdout_split(df, "id", 0.25).withColumnRenamed("is_test", "hold")
+    fitted = model.fit_weighted(model.boosted_trees(["a", "b"], trees=8, depth=3, validation="hold"), df)
+    assert fitted.stages[-1].getNumTrees <= 8
+    importance = {r["feature"]: r["importance"] for r in model.feature_importance(fitted, ["a", "b"], spark).collect()}
+    assert importance["a"] > 0.9
+    drop = {r["feature"]: r["auc_drop"] for r in model.permutation_importance(fitted, df, ["a", "b"], "id").collect()}
+    assert drop["a"] > 0.2 > abs(drop["b"])
+
+
+def test_out_of_fold_covers_every_row_once(spark):
+    df = spark.range(300).select("id", (F.col("id") % 11).alias("g"), F.rand(5).alias("a")).withColumn("label", (F.col("a") + F.rand(6) * 0.3 > 0.6).cast("int")).cache()
+    oof = model.out_of_fold(df, model.group_folds(df, "g", 3), "g", "id", model.baseline_logistic(["a"]), 3)
+    assert oof.count() == 300 and oof.select("id").distinct().count() == 300
+    assert oof.join(df, "id").groupBy("g").agg(F.countDistinct("fold").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert model.scores_of(settle(oof, "oof")).first()["auc"] > 0.8
