@@ -109,15 +109,17 @@ def sums_of_z(df: DataFrame, sums: Mapping[str, Mapping[str, int]], winsor: bool
     return base.withColumns(totals).drop(*work.values())
 
 
-def layer1(df: DataFrame, exposure: Mapping[str, int], sensitivity: Mapping[str, int], classes: int = 4) -> DataFrame:
-    """Climate exposure and urban sensitivity: ``z_exposure, z_sensitivity, l1, l1_grade`` (1 = worst)."""
+def layer1(df: DataFrame, exposure: Mapping[str, int], sensitivity: Mapping[str, int], classes: int = 4, grades: bool = True) -> DataFrame:
+    """Climate exposure and urban sensitivity: ``z_exposure, z_sensitivity, l1`` and, with ``grades``,
+    the matrix grade ``l1_grade`` of their natural classes (1 = worst)."""
     z = settle(sums_of_z(df, {"z_exposure": exposure, "z_sensitivity": sensitivity}), "layer1")
+    scaled = minmax(z.withColumn("_sum", F.col("z_exposure") + F.col("z_sensitivity")), {"_sum": "l1"}).drop("_sum")
+    if not grades:
+        return scaled
     codes = {}
     for c in ("z_exposure", "z_sensitivity"):
         codes[c] = F.lit(classes + 1) - class_code(c, jenks_breaks(z, c, classes))
-    z = z.withColumn("_sum", F.col("z_exposure") + F.col("z_sensitivity"))
-    z = minmax(z, {"_sum": "l1"}).drop("_sum")
-    return z.withColumn("l1_grade", matrix_grade(codes["z_exposure"], codes["z_sensitivity"]))
+    return scaled.withColumn("l1_grade", matrix_grade(codes["z_exposure"], codes["z_sensitivity"]))
 
 
 def layer2_rules(df: DataFrame, columns: Sequence[str], eps: float = 0.05) -> DataFrame:

@@ -179,7 +179,8 @@ def rank_scenarios(cells: DataFrame, parts: Sequence[str], key: str, sets=WEIGHT
     """Rank of each cell under weights x two scalings x two ways to combine: median and range."""
     parts = list(parts)
     lo = minmax(cells.select(key, *parts), {p: f"a_{p}" for p in parts})
-    both = max_norm(lo, {p: f"b_{p}" for p in parts})
+    both = max_norm(lo, {p: f"b_{p}" for p in parts}).drop(*parts)
+    both = settle(both, "scaled")  # a dozen scores read each scaled value
     rows = []
     for label, *w in sets:
         for norm in ("a", "b"):

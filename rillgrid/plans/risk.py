@@ -135,7 +135,7 @@ def std_features(r: Roles) -> DataFrame:
 def scored_std(r: Roles) -> DataFrame:
     """Layers 1 to 3, hazard, exposure and the composite index; written where it is read again."""
     g = settle(std_features(r), "std")
-    g = index.layer1(g, EXPOSURE, SENSITIVITY)
+    g = index.layer1(g, EXPOSURE, SENSITIVITY, grades=False)
     two = index.layer2_rules(g.where("treated"), RULES).select("grid_id", "l2", "l2_additive")
     g = g.join(two, "grid_id", "left")
     g = index.layer3(g, PEOPLE).withColumn("v", F.col("l3"))
