@@ -68,6 +68,7 @@ def clean_complaints(df: DataFrame) -> DataFrame:
     return out.withColumn("type", classify_keyword(body)) if body else out
 
 
+# Fixed value: the word that marks rows of the study region in the inputs.
 REGION = ("창원",)
 
 STEPS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
