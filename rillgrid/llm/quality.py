@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from rillgrid.llm.common import SPACE, let, words_of
 
 SYMBOLS = "#*$%&|<>"
+BULLET, ELLIPSIS, LETTER = r"^ *[-*•]", r"(\.\.\.|…) *\z", r"\p{L}"
 BLANKS = " \t\n\x0b\f\r"
 # frequent function words of the languages of the corpus
 STOP_WORDS = (
@@ -92,9 +93,9 @@ def measures(text: Column) -> dict[str, Column]:
         "symbol_word_ratio": part(n_symbols, per_word),
         "dup_line_ratio": part(F.size(lines) - F.size(F.array_distinct(lines)), per_line),
         "repeat_word_ratio": part(F.col("_r"), per_word),
-        "bullet_line_ratio": part(F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^[-*•]"))), per_line),
-        "ellipsis_line_ratio": part(F.size(F.filter(lines, lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))), per_line),
-        "alpha_word_ratio": part(F.size(F.filter(words, lambda x: x.rlike(r"\p{L}"))), per_word),
+        "bullet_line_ratio": part(F.size(F.filter(lines, lambda x: x.rlike(BULLET))), per_line),
+        "ellipsis_line_ratio": part(F.size(F.filter(lines, lambda x: x.rlike(ELLIPSIS))), per_line),
+        "alpha_word_ratio": part(F.size(F.filter(words, lambda x: x.rlike(LETTER))), per_word),
         "stop_word_ratio": part(F.size(F.filter(words, lambda x: F.lower(F.translate(x, ",.;:!?", "")).isin(*STOP_WORDS))), per_word),
     }
 

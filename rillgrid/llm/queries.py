@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillgrid.llm import ann, langid, mixing, packing, quality, secret_scan, simhash, tokenfile, tokens, urlfilter, warc
+from rillgrid.llm.common import SPACE
 from rillgrid.staging import fresh_path
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -96,4 +97,82 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": near_duplicates,
     "op10_token_files": token_files,
 }
-SQL: dict[str, str] = {}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _warc_sql() -> str:
+    return """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+    d AS (SELECT page_id, n, array_to_string([
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || x[1 + 5 * (i // 4) : 5 + 5 * (i // 4)])::BIGINT >> (15 - 5 * (i % 4))) & 31)] FOR i IN range(32)], '') AS digest FROM h),
+    f AS (SELECT digest, min(page_id) AS first FROM d GROUP BY 1)
+    SELECT page_id, n::BIGINT AS payload_bytes, d.digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id > first THEN first END AS refers_to
+    FROM d JOIN f ON d.digest = f.digest"""
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH rules(h, p, v) AS (VALUES {rules}),
+    rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    hits AS (SELECT page_id, arg_max(struct_pack(r := h || p, v := v), length(h || p) * 1000 + length(h)) AS best
+             FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+    SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM parts LEFT JOIN hits USING (page_id)"""
+
+
+def _secret_sql() -> str:
+    kinds = []
+    for place, rule in enumerate(secret_scan.RULES):
+        pattern = _quoted(rule.pattern)
+        enough = f"length(regexp_extract(m[i], {pattern}, {rule.group})) >= {rule.least}" if rule.least else "true"
+        kinds.append(f"""
+        SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, pos, pos + length(m[i]) AS until FROM (
+          SELECT doc_id, m, i, coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i-1]]), 0) AS pos
+          FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i
+                FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, string_split_regex(t, {pattern}) AS g FROM d))) WHERE {enough}""")
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    text = lambda where: f"coalesce(string_agg(kind || ':' || pos::BIGINT || ':' || until::BIGINT, ',' ORDER BY pos, place){where}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(kinds)})
+    SELECT doc_id, {counts}, sha256({text(f" FILTER (kind IN ({base}))")}) AS base_sha256, {text("")} AS spans
+    FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+def _quality_sql() -> str:
+    stops = ", ".join(_quoted(w) for w in quality.STOP_WORDS)
+    tests = []
+    for name, least, greatest in quality.RULES:
+        tests += [f"{name} >= {least}"] if least is not None else []
+        tests += [f"{name} <= {greatest}"] if greatest is not None else []
+    part = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / {b} ELSE 0 END"
+    lines, words = "len(l)", "len(w)"
+    some = lambda values, test: f"len([x FOR x IN {values} IF {test}])"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[{SPACE}]+'), lambda x: x <> '') AS w,
+                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS l FROM d),
+    g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+    twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+    r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY 1),
+    m AS (SELECT s.doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+            length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, w, l
+          FROM s LEFT JOIN r ON s.doc_id = r.doc_id),
+    x AS (SELECT *, {part("n_repeat_words", words)} AS repeat_word_ratio, {part("word_chars", words)} AS mean_word_length, {part("n_symbols", words)} AS symbol_word_ratio,
+            {part("n_dup_lines", lines)} AS dup_line_ratio, {part(some("l", f"regexp_matches(x, {_quoted(quality.BULLET)})"), lines)} AS bullet_line_ratio,
+            {part(some("l", f"regexp_matches(x, {_quoted(quality.ELLIPSIS)})"), lines)} AS ellipsis_line_ratio,
+            {part(some("w", f"regexp_matches(x, {_quoted(quality.LETTER)})"), words)} AS alpha_word_ratio,
+            {part(some("w", f"lower(translate(x, ',.;:!?', '')) IN ({stops})"), words)} AS stop_word_ratio FROM m),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+           NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
+
+
+SQL: dict[str, str] = {"op2_warc": _warc_sql(), "op3_url_rules": _url_sql(), "op5_secret_scan": _secret_sql(), "op8_quality_rules": _quality_sql()}
