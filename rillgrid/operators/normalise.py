@@ -62,21 +62,20 @@ def zscore(df: DataFrame, columns: Mapping[str, str], signs: Mapping[str, int] |
 def jenks_breaks(df: DataFrame, column: str, classes: int = 4, bins: int = 256) -> list[float]:
     """Upper bounds of all natural classes but the last.
 
-    Spark reduces the column to at most ``bins`` rows of count, sum and square sum: one per
-    distinct value when there are few (then the breaks are exact), else equal-width bins.  The
-    Fisher recurrence runs on that bounded summary.
+    Spark reduces the column to ``bins`` equal-width bins at most, each a row of count, sum and
+    square sum; the Fisher recurrence runs on that bounded summary, so breaks lie between bins.
+    Values that are farther apart than a bin keep a bin each.  A constant column has no breaks.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    distinct = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    rows = distinct.select("v", F.col("v").alias("top"), "n", (F.col("v") * F.col("n")).alias("s"), (F.col("v") * F.col("v") * F.col("n")).alias("q")).limit(bins + 1).collect()
-    if len(rows) > bins:
-        m = moments(values, ["v"])
-        b = F.least(F.floor((F.col("v") - F.lit(m["v_min"])) / F.lit(m["v_max"] - m["v_min"]) * bins), F.lit(bins - 1))
-        rows = (
-            values.groupBy(b.alias("b"))
-            .agg(F.min("v").alias("v"), F.max("v").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-            .collect()
-        )
+    m = moments(values, ["v"])
+    if m["v_min"] is None or m["v_max"] <= m["v_min"]:
+        return []
+    b = F.least(F.floor((F.col("v") - F.lit(m["v_min"])) / F.lit(m["v_max"] - m["v_min"]) * bins), F.lit(bins - 1))
+    rows = (
+        values.groupBy(b.alias("b"))
+        .agg(F.min("v").alias("v"), F.max("v").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+        .collect()
+    )
     rows = sorted(rows, key=lambda r: r["v"])
     k = min(classes, len(rows))
     if k < 2:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillgrid.functions.geo import distance
 from rillgrid.operators.ordering import with_ranks
-from rillgrid.operators.spatial import _bins, _neighbour_bins
-from rillgrid.skew import salted_join
+from rillgrid.session import ship
 from rillgrid.staging import release, settle
 
 OPEN, KEPT, GONE = 0, 1, 2
@@ -26,63 +25,88 @@ def top_share(df: DataFrame, score: str, key: str, share: float = 0.2) -> DataFr
     )
 
 
-def suppress_neighbours(cells: DataFrame, score: str, key: str, reach: float = 300.0, max_rounds: int = 1000) -> DataFrame:
-    """The set that picking the best cell, dropping all within ``reach`` and repeating would keep.
-
-    Near pairs are found once by an equi-join on bins and kept as links from the worse to the
-    better cell.  In each round an open cell goes when a kept cell is among its betters, and is
-    kept when none of its betters is open any more; one join and one partial aggregation per
-    round.  Input: ``key, x, y, score``.
+def _settle_tile(reach: float):
+    """Decide a tile's open cells from the best down, as far as its own cells and its margin tell."""
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["s", "k"], ascending=[False, True], kind="stable")
+        kept: dict[tuple[int, int], list] = {}
+        unsure: dict[tuple[int, int], list] = {}
+        states = []
+        for x, y, own, status in zip(cells["x"], cells["y"], cells["own"], cells["status"], strict=True):
+            at = (int(x // reach), int(y // reach))
+
+            def near(table):
+                for i in (at[0] - 1, at[0], at[0] + 1):
+                    for j in (at[1] - 1, at[1], at[1] + 1):
+                        for u, v in table.get((i, j), ()):
+                            if (u - x) ** 2 + (v - y) ** 2 <= reach**2:
+                                return True
+                return False
+
+            if status == OPEN and near(kept):
+                status = GONE
+            elif status == OPEN and own and not near(unsure):
+                status = KEPT
+            if status != GONE:
+                (kept if status == KEPT else unsure).setdefault(at, []).append((x, y))
+            states.append(status)
+        cells["status"] = states
+        return cells.loc[cells["own"], ["k", "x", "y", "s", "status"]]
+
+    return run
+
+
+def _suppressed(cells: DataFrame, score: str, key: str, reach: float, tile: float, first: int | None) -> DataFrame:
+    """Rounds of tile decisions until no cell is open, or ``first`` kept cells outrank all open ones.
+
+    In each round every cell goes to its tile and, within ``reach`` of a border, to the tiles beside it.
+    A task walks its tile from the best cell down.  The best open cell of all is decided in every
+    round, and chains of cells are followed through whole tiles; the tiles move by half a side
+    from round to round.
     """
+    ship(cells.sparkSession)
     spark = cells.sparkSession
-    nodes = settle(
-        cells.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), "x", "y", F.col(score).alias("s")), "nodes"
+    state = settle(
+        cells.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(score).cast("double").alias("s"), F.lit(OPEN).alias("status")),
+        "nodes",
     )
-    binned = _bins(nodes, "x", "y", reach)
-    other = _neighbour_bins(binned).select(
-        "bi", "bj", F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("s").alias("s2")
-    )
-    beats = (F.col("s2") > F.col("s")) | ((F.col("s2") == F.col("s")) & (F.col("k2") < F.col("k")))
-    near = distance("x", "y", "x2", "y2") <= F.lit(float(reach))
-    links = settle(salted_join(binned, other, ["bi", "bj"], ["k"], rows=nodes.count()).where(beats & near).select("k", "k2"), "links")
-    state = settle(nodes.select("k", F.lit(OPEN).alias("status")), "state")
-    for _ in range(max_rounds):
-        if state.where(F.col("status") == OPEN).isEmpty():
-            return (
-                state.where(F.col("status") == KEPT).select("k").join(nodes, "k")
-                .select(F.col("k").alias(key), "x", "y", F.col("s").alias(score))
-            )
-        betters = state.where(F.col("status") != GONE).select(F.col("k").alias("k2"), F.col("status").alias("_b"))
-        verdict = links.join(betters, "k2").groupBy("k").agg(
-            F.max(F.col("_b") == KEPT).alias("_kept"), F.max(F.col("_b") == OPEN).alias("_open")
-        )
-        now = F.when(F.col("status") != OPEN, F.col("status")).when(F.col("_kept"), GONE).when(F.col("_open"), OPEN).otherwise(KEPT)
-        fresh = settle(state.join(verdict, "k", "left").select("k", now.alias("status")), "state")
+    steps = F.array(*[F.lit(float(d)) for d in (-reach, 0, reach)])
+    turn = 0
+    while True:
+        shift = F.lit(tile / 2 * (turn % 2))
+        at = lambda c, d: F.floor((F.col(c) + shift + d) / tile)
+        seen = state.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(
+            "k", "x", "y", "s", "status", at("x", F.col("dx")).alias("ti"), at("y", F.col("dy")).alias("tj"),
+            ((at("x", F.col("dx")) == at("x", F.lit(0.0))) & (at("y", F.col("dy")) == at("y", F.lit(0.0)))).alias("own"),
+        ).distinct()
+        fresh = settle(seen.groupBy("ti", "tj").applyInPandas(_settle_tile(reach), state.schema), "state")
         release(spark, state)
-        state = fresh
-    raise RuntimeError("suppression did not settle")
+        state, turn = fresh, turn + 1
+        best_open = state.where(F.col("status") == OPEN).orderBy(F.desc("s"), "k").select("s", "k").first()
+        if best_open is None:
+            return state
+        if first is not None:
+            above = (F.col("s") > F.lit(best_open["s"])) | ((F.col("s") == F.lit(best_open["s"])) & (F.col("k") < F.lit(best_open["k"])))
+            if state.where((F.col("status") == KEPT) & above).limit(first).count() == first:
+                return state
+
 
+def _kept(state: DataFrame, score: str, key: str) -> DataFrame:
+    return state.where(F.col("status") == KEPT).select(F.col("k").alias(key), "x", "y", F.col("s").alias(score))
 
-def top_n_spaced(cells: DataFrame, score: str, key: str, n: int = 20, reach: float = 300.0) -> DataFrame:
-    """First ``n`` cells of the spaced list.
 
-    A pick depends only on better-scored cells, so the spaced list of the best m cells is a prefix
-    of the whole one.  On a 100 m grid a pick covers at most 29 cells within 300 m, so the best 64
-    per pick are enough; that prefix has a size fixed by ``n`` and is walked directly.  Denser
-    points that exhaust it go through the distributed form.
+def suppress_neighbours(cells: DataFrame, score: str, key: str, reach: float = 300.0, tile: float = 30_000.0) -> DataFrame:
+    """The set that picking the best cell, dropping all within ``reach`` and repeating would keep.
+
+    Input: ``key, x, y, score``.  A tile of side ``tile`` is one group; on a 100 m grid it holds 90,000 cells.
     """
-    places = cells.select(key, "x", "y", score)
-    prefix = top_n(places, score, key, n * 64)
-    kept: list = []
-    rows = prefix.collect()
-    for row in rows:
-        if all((row["x"] - k["x"]) ** 2 + (row["y"] - k["y"]) ** 2 > reach**2 for k in kept):
-            kept.append(row)
-        if len(kept) == n:
-            break
-    if len(kept) == n or len(rows) < n * 64:
-        return cells.sparkSession.createDataFrame(kept, places.schema)
-    return top_n(suppress_neighbours(places, score, key, reach), score, key, n)
+    return _kept(_suppressed(cells, score, key, reach, tile, None), score, key)
+
+
+def top_n_spaced(cells: DataFrame, score: str, key: str, n: int = 20, reach: float = 300.0, tile: float = 30_000.0) -> DataFrame:
+    """First ``n`` cells of the spaced list; stops when they are known."""
+    return top_n(_kept(_suppressed(cells, score, key, reach, tile, n), score, key), score, key, n)
 
 
 def set_overlap(a: DataFrame, b: DataFrame, key: str, n: int = 20) -> DataFrame:

@@ -190,14 +190,11 @@ def _(r):
     return r.pipe.select("dong", "material", "diameter", "length", "laid_year")
 
 
-_YEARS = range(1995, 2002)
-
-
 @query(
     "prj2_unpivot_years",
-    f"""SELECT material, CAST(laid_year AS VARCHAR) AS year, {R('sum(length)')} AS length FROM pipe
-        WHERE laid_year BETWEEN 1995 AND 2001 GROUP BY 1, 2""",
+    f"""SELECT material, CAST(laid_year AS VARCHAR) AS year, {R('sum(length)')} AS length FROM pipe WHERE laid_year IS NOT NULL GROUP BY 1, 2""",
 )
 def _(r):
-    wide = r.pipe.groupBy("material").pivot("laid_year", list(_YEARS)).agg(F.sum("length"))
-    return cleaning.unpivot_years(wide, ["material"], [str(y) for y in _YEARS])
+    years = sorted(y["laid_year"] for y in r.pipe.where("laid_year IS NOT NULL").select("laid_year").distinct().collect())
+    wide = r.pipe.groupBy("material").pivot("laid_year", years).agg(F.sum("length"))
+    return cleaning.unpivot_years(wide, ["material"], [str(y) for y in years])

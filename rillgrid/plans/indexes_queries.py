@@ -103,8 +103,8 @@ def _(r):
 def jenks_sql(tag: str, source: str, column: str, k: int) -> str:
     """The Fisher recurrence over at most 256 bins as common table expressions ending in ``<tag>_cuts``."""
     t = tag
-    bounds = f"(SELECT min({column}) AS lo, max({column}) AS hi, count(DISTINCT {column}) AS nd FROM {source}) b"
-    bin_ = f"CASE WHEN nd <= 256 THEN CAST({column} AS DOUBLE) ELSE least(floor(({column} - lo) / (hi - lo) * 256), 255) END"
+    bounds = f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {source}) b"
+    bin_ = f"least(floor(({column} - lo) / (hi - lo) * 256), 255)"
     parts = [
         f"{t}_h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min({column})) AS p, max({column}) AS top, count(*) AS n, sum({column}) AS s, sum({column} * {column}) AS q "
         f"FROM {source} CROSS JOIN {bounds} WHERE {column} IS NOT NULL GROUP BY {bin_})",

@@ -11,7 +11,14 @@ from rillgrid.streaming import rain as streams
 
 
 def _stream(r):
-    e = streams.read_events(r.spark, r.folder, "events.parquet", TABLES["events"].schema)
+    return _readings(streams.read_events(r.spark, r.folder, "events.parquet", TABLES["events"].schema))
+
+
+def _batch(r):
+    return _readings(r.table("events"))
+
+
+def _readings(e):
     # event time needs a zoned timestamp; the readings carry local time
     return e.select("event_id", F.floor(F.col("user_id") / 3).alias("station"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 5).alias("mm"))
 
@@ -20,33 +27,28 @@ def _local(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-# Append mode emits what the final watermark (latest reading minus two hours) has passed.
-_END = "(SELECT max(ts) - INTERVAL 2 HOUR FROM rain)"
-
-
-@query("st1_hourly_rain", f"SELECT station, hour, {R('mm')} AS mm FROM hourly WHERE hour + INTERVAL 1 HOUR <= {_END}")
+@query("st1_hourly_rain", f"SELECT station, hour, {R('mm')} AS mm FROM hourly")
 def _(r):
-    return _local(streams.run_available(streams.hourly_rain(_stream(r)), "hourly"), "hour")
+    return _local(streams.drained(streams.hourly_rain, _stream(r), _batch(r), "hourly"), "hour")
 
 
 @query(
     "st2_rolling_rain",
     f"""SELECT station, s AS start, s + INTERVAL 3 HOUR AS "end", {R('sum(mm)')} AS mm FROM (SELECT station, mm, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) AS s
-        FROM rain CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) x) WHERE s + INTERVAL 3 HOUR <= {_END} GROUP BY 1, 2""",
+        FROM rain CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) x) GROUP BY 1, 2""",
 )
 def _(r):
-    return _local(streams.run_available(streams.rolling_rain(_stream(r)), "rolling"), "start", "end")
+    return _local(streams.drained(streams.rolling_rain, _stream(r), _batch(r), "rolling", span_hours=3), "start", "end")
 
 
 @query(
     "st3_rain_sessions",
     f"""WITH a AS (SELECT station, ts, mm, lag(ts) OVER (PARTITION BY station ORDER BY ts) AS prev FROM rain),
         b AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY ts) AS no FROM a)
-        SELECT station, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", {R('sum(mm)')} AS mm, count(*) AS readings FROM b GROUP BY station, no
-        HAVING max(ts) + INTERVAL 6 HOUR <= {_END}""",
+        SELECT station, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", {R('sum(mm)')} AS mm, count(*) AS readings FROM b GROUP BY station, no""",
 )
 def _(r):
-    return _local(streams.run_available(streams.rain_sessions(_stream(r)), "sessions"), "start", "end")
+    return _local(streams.drained_sessions(_stream(r), _batch(r), "sessions"), "start", "end")
 
 
 @query("st4_dedupe", f"SELECT event_id, station, ts, {R('mm')} AS mm FROM rain")

@@ -52,6 +52,29 @@ def alerts(rain: DataFrame, cells: DataFrame, least: float) -> DataFrame:
     )
 
 
+def drained(make, stream: DataFrame, readings: DataFrame, name: str, late_hours: int = 2, span_hours: int = 1) -> DataFrame:
+    """All windows of a finite source: what the stream emits, and as a batch those that its last watermark leaves open.
+
+    ``make`` builds the windows from a frame; ``readings`` is the source as a batch.  Open windows end after
+    the latest reading less ``late_hours`` and hold readings of at most ``span_hours`` before that.
+    """
+    closed = run_available(make(stream), name)
+    last = readings.agg(F.max("ts").alias("ts")).select((F.col("ts") - F.expr(f"INTERVAL {late_hours} HOURS")).alias("ts")).first()["ts"]
+    if last is None:
+        return closed
+    tail = make(readings.where(F.col("ts") >= F.lit(last) - F.expr(f"INTERVAL {span_hours} HOURS")))
+    ends = F.col("end") if "end" in closed.columns else F.col("hour") + F.expr("INTERVAL 1 HOUR")
+    return closed.union(tail.where(ends > F.lit(last)))
+
+
+def drained_sessions(stream: DataFrame, readings: DataFrame, name: str, gap: str = "6 hours", late: str = "2 hours") -> DataFrame:
+    """All rain events of a finite source: the emitted ones, and those of the readings after a station's last emitted one."""
+    closed = run_available(rain_sessions(stream, gap, late), name)
+    until = closed.groupBy(F.col("station").alias("_s")).agg(F.max("end").alias("_until"))
+    open_rows = readings.join(until, F.col("station").eqNullSafe(F.col("_s")), "left").where("_until IS NULL OR ts >= _until").drop("_s", "_until")
+    return closed.union(rain_sessions(open_rows, gap, late))
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process everything that is available, then read the sink."""
     spark = stream.sparkSession

@@ -98,6 +98,19 @@ def test_suppression_is_greedy_separated_and_maximal(spark):
     assert {r["k"] for r in first.collect()} == {g[0] for g in greedy[:5]}
 
 
+def test_suppression_follows_a_long_ramp_in_few_rounds(spark, monkeypatch):
+    """A falling line of 3,000 cells is one chain of decisions; tiles walk it in long steps."""
+    rounds = []
+    real = topk.settle
+    monkeypatch.setattr(topk, "settle", lambda df, name: (rounds.append(name), real(df, name))[1])
+    cells = spark.range(3000).select(F.format_string("%05d", "id").alias("k"), (F.col("id") * 100.0).alias("x"), F.lit(50.0).alias("y"), (-F.col("id")).cast("double").alias("s"))
+    kept = sorted(int(r["k"]) for r in topk.suppress_neighbours(cells, "s", "k").collect())
+    assert kept == list(range(0, 3000, 4)) and len(rounds) <= 41
+    rounds.clear()
+    assert [int(r["k"]) for r in topk.top_n_spaced(cells, "s", "k", 5).collect()] == [0, 4, 8, 12, 16]
+    assert len(rounds) == 2
+
+
 def test_suppression_at_exactly_the_reach(spark):
     df = spark.createDataFrame([("a", 0.0, 0.0, 2.0), ("b", 300.0, 0.0, 1.0), ("c", 600.1, 0.0, 1.0)], "k string, x double, y double, s double")
     assert {r["k"] for r in topk.suppress_neighbours(df, "s", "k").collect()} == {"a", "c"}
