@@ -49,28 +49,21 @@ def _owned(tile: int):
 
 def neighbourhood(px: DataFrame, value: str = "z", tile: int = TILE) -> DataFrame:
     """Add the eight neighbour values as columns ``nw n ne w e sw s se`` (null where absent)."""
-    along_row = Window.partitionBy("_tr", "_tc", "row").orderBy("col")
-    along_col = Window.partitionBy("_tr", "_tc", "col").orderBy("row")
-
-    def beside(cells, axis, step, window, field):
-        shifted = F.lag(cells).over(window) if step < 0 else F.lead(cells).over(window)
-        return F.when(shifted[axis] == F.col(axis) + step, shifted[field])
-
-    me = F.struct("col", value)
-    wide = _tiled(px, 1, tile).withColumns(
-        {"w": beside(me, "col", -1, along_row, value), "e": beside(me, "col", 1, along_row, value)}
-    )
-    strip = F.struct("row", F.col(value).alias("c"), F.col("w"), F.col("e"))
-    full = wide.withColumns(
-        {
-            "nw": beside(strip, "row", -1, along_col, "w"),
-            "n": beside(strip, "row", -1, along_col, "c"),
-            "ne": beside(strip, "row", -1, along_col, "e"),
-            "sw": beside(strip, "row", 1, along_col, "w"),
-            "s": beside(strip, "row", 1, along_col, "c"),
-            "se": beside(strip, "row", 1, along_col, "e"),
-        }
-    )
+    lines = {  # a window along each of the four directions; a missing pixel hides nothing but itself
+        ("w", "e"): Window.partitionBy("_tr", "_tc", "row").orderBy("col"),
+        ("n", "s"): Window.partitionBy("_tr", "_tc", "col").orderBy("row"),
+        ("nw", "se"): Window.partitionBy("_tr", "_tc", F.col("row") - F.col("col")).orderBy("row"),
+        ("ne", "sw"): Window.partitionBy("_tr", "_tc", F.col("row") + F.col("col")).orderBy("row"),
+    }
+    me = F.struct("row", "col", value)
+
+    def beside(name, cell):
+        down, right = SIDES[name]
+        return F.when((cell["row"] == F.col("row") + down) & (cell["col"] == F.col("col") + right), cell[value])
+
+    full = _tiled(px, 1, tile)
+    for (before, after), line in lines.items():
+        full = full.withColumns({before: beside(before, F.lag(me).over(line)), after: beside(after, F.lead(me).over(line))})
     return full.where(_owned(tile)).drop("_tr", "_tc")
 
 
@@ -88,20 +81,15 @@ def slope_degrees(px: DataFrame, pixel: float = 1.0, tile: int = TILE) -> DataFr
     )
 
 
-def focal_mean(px: DataFrame, reach: int, value: str = "z", tile: int = TILE, dense: bool = True) -> DataFrame:
+def focal_mean(px: DataFrame, reach: int, value: str = "z", tile: int = TILE) -> DataFrame:
     """Mean over the square of ``reach`` pixels around each pixel, swept along rows, then columns.
 
-    ``dense=False`` fills the holes of the raster inside each tile first, so that strips through
-    a missing pixel are not lost.
+    The missing pixels of a tile are put in first, so that strips through them are not lost.
     """
     tiled = _tiled(px, reach, tile)
-    if not dense:
-        tiles = tiled.select("_tr", "_tc").distinct()
-        every = (
-            tiles.withColumn("row", F.explode(F.sequence(F.col("_tr") * tile - reach, (F.col("_tr") + 1) * tile + reach - 1)))
-            .withColumn("col", F.explode(F.sequence(F.col("_tc") * tile - reach, (F.col("_tc") + 1) * tile + reach - 1)))
-        )
-        tiled = every.join(tiled, ["_tr", "_tc", "row", "col"], "left").repartition("_tr", "_tc")
+    spans = tiled.groupBy("_tr", "_tc").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    every = spans.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).drop("r0", "r1", "c0", "c1")
+    tiled = every.join(tiled, ["_tr", "_tc", "row", "col"], "left").repartition("_tr", "_tc")
     across = Window.partitionBy("_tr", "_tc", "row").orderBy("col").rangeBetween(-reach, reach)
     down = Window.partitionBy("_tr", "_tc", "col").orderBy("row").rangeBetween(-reach, reach)
     sums = tiled.withColumns({"_s": F.sum(value).over(across), "_n": F.count(value).over(across)})

@@ -49,8 +49,9 @@ def _(r):
 
 @query(
     "wn6_focal_mean",
-    f"""WITH rows_ AS (SELECT row, col, z, sum(z) OVER w AS s, count(z) OVER w AS n FROM dem WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))
-        SELECT row, col, {R('sum(s) OVER v / sum(n) OVER v')} AS focal FROM rows_ WINDOW v AS (PARTITION BY col ORDER BY row RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)""",
+    f"""WITH f AS (SELECT d.row, d.col, d.z, sum(o.z) / count(o.z) AS focal FROM dem d CROSS JOIN (SELECT unnest(range(-5, 6)) AS dr) a CROSS JOIN (SELECT unnest(range(-5, 6)) AS dc) b
+        JOIN dem o ON o.row = d.row + a.dr AND o.col = d.col + b.dc GROUP BY 1, 2, 3)
+        SELECT row, col, {R('focal')} AS focal FROM f""",
 )
 def _(r):
     return terrain.focal_mean(r.dem, 5).select("row", "col", "focal")

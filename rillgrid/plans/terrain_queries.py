@@ -39,8 +39,8 @@ def _(r):
 
 @query(
     "tr2_relative_elevation",
-    f"""WITH a AS (SELECT row, col, z, sum(z) OVER w AS s, count(z) OVER w AS n FROM rough_dem WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
-        f AS (SELECT row, col, z, sum(s) OVER v / sum(n) OVER v AS focal FROM a WINDOW v AS (PARTITION BY col ORDER BY row RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+    f"""WITH f AS (SELECT d.row, d.col, d.z, sum(o.z) / count(o.z) AS focal FROM rough_dem d CROSS JOIN (SELECT unnest(range(-5, 6)) AS dr) a CROSS JOIN (SELECT unnest(range(-5, 6)) AS dc) b
+        JOIN rough_dem o ON o.row = d.row + a.dr AND o.col = d.col + b.dc GROUP BY 1, 2, 3)
         SELECT col // 3 AS i, row // 3 AS j, {R('avg(z) - avg(focal)')} AS relative FROM f GROUP BY 1, 2""",
 )
 def _(r):

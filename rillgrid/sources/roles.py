@@ -96,17 +96,21 @@ class Roles:
             F.floor(F.col("user_id") / 3).alias("station"), (F.col("value") / 5).alias("mm"),
         ).select("*", _district())
 
+    def _pixels(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        return self.table("orders").where((k * 7 + F.floor(k / 120) * 3) % 19 != 5)
+
     @property
     def dem(self) -> DataFrame:
-        """Columns of 120 pixels, one pixel per order, tilted so that inner pixels always drain."""
-        o = self.table("orders")
+        """Columns of 120 pixels, one pixel per order, tilted so that inner pixels drain; one in nineteen is missing."""
+        o = self._pixels()
         row, col = F.col("o_orderkey") % 120, F.floor(F.col("o_orderkey") / 120)
         return o.select(row.alias("row"), col.alias("col"), (row * 3 + col * 2 + F.col("o_custkey") % 3).cast("double").alias("z"))
 
     @property
     def rough_dem(self) -> DataFrame:
         """The same raster with pits everywhere."""
-        o = self.table("orders")
+        o = self._pixels()
         row, col = F.col("o_orderkey") % 120, F.floor(F.col("o_orderkey") / 120)
         return o.select(row.alias("row"), col.alias("col"), (F.lit(50) + F.col("o_custkey") % 40).cast("double").alias("z"))
 
@@ -161,8 +165,10 @@ ROLE_SQL = {
         SELECT event_id AS c_id, event_type AS type, ts, (event_id * 7919) % 4000 + (event_id // 10000) * 4000 AS x,
                (event_id * 1237 + event_id // 40) % 4000 AS y, user_id // 3 AS station, value / 5 AS mm FROM events)""",
     "dem": """SELECT o_orderkey % 120 AS row, o_orderkey // 120 AS col,
-        CAST((o_orderkey % 120) * 3 + (o_orderkey // 120) * 2 + o_custkey % 3 AS DOUBLE) AS z FROM orders""",
-    "rough_dem": """SELECT o_orderkey % 120 AS row, o_orderkey // 120 AS col, CAST(50 + o_custkey % 40 AS DOUBLE) AS z FROM orders""",
+        CAST((o_orderkey % 120) * 3 + (o_orderkey // 120) * 2 + o_custkey % 3 AS DOUBLE) AS z FROM orders
+        WHERE (o_orderkey * 7 + o_orderkey // 120 * 3) % 19 <> 5""",
+    "rough_dem": """SELECT o_orderkey % 120 AS row, o_orderkey // 120 AS col, CAST(50 + o_custkey % 40 AS DOUBLE) AS z FROM orders
+        WHERE (o_orderkey * 7 + o_orderkey // 120 * 3) % 19 <> 5""",
     "diamond": """SELECT site_id AS poly_id, x, y, 60 + site_id % 5 * 50 AS h, site_id % 6 AS depth_no,
         CASE WHEN site_id % 7 = 0 THEN '710' WHEN site_id % 2 = 0 THEN '110' ELSE '310' END AS cover FROM site""",
     "segment": """SELECT site_id AS seg_id, x AS x1, y AS y1, x + 200 + site_id % 200 AS x2, y + site_id % 300 - 150 AS y2 FROM site""",

@@ -155,7 +155,7 @@ def test_tiles_do_not_change_neighbours_or_focal_means(spark):
     large = terrain.neighbourhood(px, tile=64).orderBy("row", "col").collect()
     assert small == large
     hole = np.where(np.arange(23)[:, None] * 19 + np.arange(19) == 7 * 19 + 7, np.nan, z)
-    for r in terrain.focal_mean(px, 2, tile=5, dense=False).collect():
+    for r in terrain.focal_mean(px, 2, tile=5).collect():
         box = hole[max(0, r["row"] - 2): r["row"] + 3, max(0, r["col"] - 2): r["col"] + 3]
         assert r["focal"] == pytest.approx(np.nanmean(box))
 
@@ -221,3 +221,12 @@ def test_out_of_fold_covers_every_row_once(spark):
     assert oof.count() == 300 and oof.select("id").distinct().count() == 300
     assert oof.join(df, "id").groupBy("g").agg(F.countDistinct("fold").alias("n")).agg(F.max("n")).first()[0] == 1
     assert model.scores_of(settle(oof, "oof")).first()["auc"] > 0.8
+
+
+def test_a_missing_pixel_hides_only_itself(spark):
+    px = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(3) for c in range(3) if (r, c) != (0, 1)], "row int, col int, z double")
+    flow = {(r["row"], r["col"]): (r["down_row"], r["down_col"]) for r in terrain.flow_direction(px).collect()}
+    assert flow[1, 1] == (0, 0)  # the corner, although the pixel above is missing
+    want = np.mean([z for r in range(3) for c in range(3) if (r, c) != (0, 1) for z in [10.0 * r + c]])
+    focal = {(r["row"], r["col"]): r["focal"] for r in terrain.focal_mean(px, 1).collect()}
+    assert abs(focal[1, 1] - want) < 1e-9 and (0, 1) not in focal
