@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillgrid.functions.geo import CELL
@@ -100,10 +100,17 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return base.join(wide, "var")
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation over the rows that have both values; null where it is undefined, as for a constant column."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix as rows ``(a, b, r)``; all pairs come from one aggregate."""
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
-    one = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    one = df.agg(*[pearson(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     cells = []
     for k, (a, b) in enumerate(pairs):
         cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")))
@@ -122,14 +129,15 @@ def redundant_pairs(corr: DataFrame, limit: float = 0.8) -> DataFrame:
 def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Variance inflation: the diagonal of the inverse correlation matrix.
 
-    Spark reduces the data to one row of k(k+1)/2 correlations; only that row is inverted here.
+    Spark reduces the data to one row of k(k+1)/2 correlations; only that row is inverted here.  A constant
+    column correlates with nothing and has 1.
     """
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1:]]
-    row = df.dropna(subset=list(columns)).agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).first()
+    row = df.dropna(subset=list(columns)).agg(*[pearson(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).first()
     m = np.eye(len(columns))
     at = {c: k for k, c in enumerate(columns)}
     for k, (a, b) in enumerate(pairs):
-        m[at[a], at[b]] = m[at[b], at[a]] = row[f"c{k}"]
+        m[at[a], at[b]] = m[at[b], at[a]] = row[f"c{k}"] or 0.0
     diagonal = np.diag(np.linalg.pinv(m))
     return df.sparkSession.createDataFrame([(c, float(diagonal[at[c]])) for c in columns], "feature string, vif double")
 

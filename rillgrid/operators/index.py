@@ -205,7 +205,7 @@ def entropy_weights(df: DataFrame, columns: Sequence[str], eps: float = 1e-9) ->
     rows = F.array(*[
         F.struct(
             F.lit(c).alias("var"),
-            ((F.log(F.col(f"{c}_t")) - F.col(f"{c}_l") / F.col(f"{c}_t")) / F.log(F.col("n").cast("double"))).alias("e"),
+            F.coalesce(F.try_divide(F.log(F.col(f"{c}_t")) - F.try_divide(F.col(f"{c}_l"), F.col(f"{c}_t")), F.log(F.col("n").cast("double"))), F.lit(1.0)).alias("e"),
         )
         for c in columns
     ])
@@ -213,7 +213,7 @@ def entropy_weights(df: DataFrame, columns: Sequence[str], eps: float = 1e-9) ->
         "total", F.aggregate("rows", F.lit(0.0), lambda a, r: a + (1 - r["e"]))
     )
     return spread.select(F.explode("rows").alias("r"), "total").select(
-        "r.var", "r.e", ((1 - F.col("r.e")) / F.col("total")).alias("w")
+        "r.var", "r.e", F.when(F.col("total") > 1e-12, F.try_divide(1 - F.col("r.e"), F.col("total"))).otherwise(1.0 / len(columns)).alias("w")  # nothing to tell apart: equal weights
     )
 
 

@@ -7,19 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillgrid.operators.aggregates import pearson
 from rillgrid.skew import salted_join
 
-HOUR = 3600
 BUCKET = 720  # hours per window partition: 30 days
 
 
+def hour_of(ts) -> F.Column:
+    """The full hour of a local clock; the session's zone plays no part."""
+    local = F.col(ts).cast("timestamp_ntz")
+    return local - F.make_dt_interval(mins=F.minute(local), secs=F.extract(F.lit("SECOND"), local))
+
+
 def hourly_sum(rain: DataFrame, station: str = "station", ts: str = "ts", mm: str = "mm") -> DataFrame:
     """Any finer series to ``(station, hour, mm)``.
 
     This is the pre-aggregation in front of every window below: afterwards one station has at
     most one row per hour, however many readings it sent.
     """
-    return rain.groupBy(F.col(station).alias("station"), F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hour")).agg(
+    return rain.groupBy(F.col(station).alias("station"), hour_of(ts).alias("hour")).agg(
         F.sum(mm).alias("mm")
     )
 
@@ -32,7 +38,8 @@ def merge_networks(*hourly: DataFrame) -> DataFrame:
 
 
 def _hour_number(c) -> F.Column:
-    return (F.unix_micros(F.col(c).cast("timestamp")) / F.lit(HOUR * 1_000_000)).cast("long")
+    local = F.col(c).cast("timestamp_ntz")
+    return F.unix_date(F.to_date(local)).cast("long") * 24 + F.hour(local)
 
 
 def _bucketed(hourly: DataFrame, context: int) -> DataFrame:
@@ -162,7 +169,7 @@ def rain_before(complaints: DataFrame, hourly: DataFrame, identity: str, ts: str
     A complaint is listed under the days its look-back touches and meets the at most 24 hourly rows
     of its station and day; the sums combine before they are shuffled.
     """
-    start = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
+    start = hour_of(ts)
     first = start - F.make_dt_interval(hours=F.lit(hours))
     last = start - F.make_dt_interval(hours=F.lit(1))
     wanted = complaints.select(F.col(identity), F.col("station"), first.alias("_a"), last.alias("_b")).withColumn(
@@ -199,4 +206,4 @@ def lag_response(rain: DataFrame, level: DataFrame, lags: int = 24) -> DataFrame
         "station", F.col("hour").alias("_h"), F.col("mm"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag")
     ).withColumn("hour", F.col("_h") + F.make_dt_interval(hours=F.col("lag")))
     met = shifted.join(level.select("station", "hour", "level"), ["station", "hour"])
-    return met.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.corr("mm", "level").alias("r"))
+    return met.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), pearson("mm", "level").alias("r"))

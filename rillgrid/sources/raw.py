@@ -6,29 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROKEN = "�"  # what the UTF-8 decoder leaves where bytes do not decode
+FILES = 100_000  # names of files that may be broadcast
 KOREAN = "MS949"
 
 
 def read_csv_kr(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """CSV as UTF-8; files whose text does not decode are read as cp949 instead.
+    """CSV as UTF-8; files that hold bytes which are no UTF-8 are read as cp949 instead.
 
-    The choice is made per file inside the plan: the names of broken files are found by one scan
-    and both readings are filtered by file name.
+    The choice is made per file on the bytes of its lines, so a replacement character that stands in a valid
+    file changes nothing.  The Korean charset needs ``spark.sql.legacy.javaCharsets``, which is set where
+    such a file is found.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     columns = T.StructType.fromDDL(schema)
-    texts = [f.name for f in columns if isinstance(f.dataType, T.StringType)]
     reader = spark.read.schema(columns).option("header", header)
     source = F.col("_metadata.file_path").alias("_file")
-    utf8 = reader.option("encoding", "UTF-8").csv(path).select("*", source)
-    broken = F.lit(False)
-    for c in texts:
-        broken = broken | F.coalesce(F.col(c).contains(BROKEN), F.lit(False))
-    bad = utf8.where(broken).select("_file").distinct()
-    cp949 = reader.option("encoding", KOREAN).csv(path).select("*", source)
-    good = utf8.join(bad, "_file", "left_anti")
-    return good.unionByName(cp949.join(bad, "_file", "left_semi")).drop("_file")
+    bad = spark.read.text(path).select("value", source).where(~F.is_valid_utf8("value")).select("_file").distinct()
+    utf8 = reader.option("encoding", "UTF-8").csv(path)
+    n = bad.count()
+    if not n:
+        return utf8
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    names = F.broadcast(bad) if n <= FILES else bad
+    good = utf8.select("*", source).join(names, "_file", "left_anti")
+    cp949 = reader.option("encoding", KOREAN).csv(path).select("*", source).join(names, "_file", "left_semi")
+    return good.unionByName(cp949).drop("_file")
 
 
 def load_years(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
@@ -41,13 +42,17 @@ def load_years(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def api_items(raw: DataFrame, column: str, item_schema: str) -> DataFrame:
-    """Items of ``response.body.items.item`` as rows; payloads without the path give none."""
-    items = T.ArrayType(T.StructType.fromDDL(item_schema))
-    shape = T.StructType().add(
-        "response", T.StructType().add("body", T.StructType().add("items", T.StructType().add("item", items)))
-    )
-    parsed = raw.select(F.from_json(column, shape).alias("p"))
-    return parsed.select(F.explode("p.response.body.items.item").alias("i")).select("i.*")
+    """Items of ``response.body.items.item`` as rows, a list of them or a single one; pages without the path give none."""
+    item = T.StructType.fromDDL(item_schema)
+    found = F.get_json_object(column, "$.response.body.items.item")
+    listed = F.when(found.startswith("["), F.from_json(found, T.ArrayType(item))).when(found.startswith("{"), F.array(F.from_json(found, item)))
+    return raw.select(F.explode(listed).alias("i")).select("i.*")
+
+
+def unreadable_pages(raw: DataFrame, column: str) -> DataFrame:
+    """One row: how many pages there are, and how many of them are no JSON and so give no items."""
+    broken = F.col(column).isNull() | F.try_parse_json(column).isNull()
+    return raw.agg(F.count(F.lit(1)).alias("pages"), F.count_if(broken).alias("unreadable"))
 
 
 def union_pages(spark: SparkSession, path: str, item_schema: str) -> DataFrame:

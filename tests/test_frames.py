@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillgrid.functions import geo, scores, text
-from rillgrid.operators import aggregates, cleaning, index, normalise, ordering, topk, validate
+from rillgrid.operators import aggregates, cleaning, index, normalise, ordering, rain, topk, validate
 from rillgrid.sources import catalog, raw, sinks
 
 
@@ -168,3 +168,45 @@ def test_projection_round_trip_below_a_millimetre(spark):
     origin = spark.createDataFrame([(127.5, 38.0)], "lon double, lat double")
     o = geo.reproject(origin, "lon", "lat", 4326, 5179).first()
     assert math.isclose(o["x"], 1_000_000, abs_tol=1e-6) and math.isclose(o["y"], 2_000_000, abs_tol=1e-6)
+
+
+def test_a_replacement_character_does_not_make_a_file_korean(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("k,name\n1,창원\ufffd\n", encoding="utf-8")
+    (tmp_path / "k.csv").write_bytes("k,name\n2,창원\n".encode("cp949"))
+    out = {r["k"]: r["name"] for r in raw.read_csv_kr(spark, str(tmp_path), "k int, name string").collect()}
+    assert out == {1: "창원\ufffd", 2: "창원"}
+
+
+def test_single_item_and_broken_pages(spark):
+    pages = ['{"response":{"body":{"items":{"item":{"tm":"a","rn":1}}}}}', '{"response":{"body":{"items":{"item":[{"tm":"b","rn":2},{"tm":"c","rn":3}]}}}}', "<html>busy</html>", None, '{"response":{"body":{"items":""}}}']
+    df = spark.createDataFrame([(p,) for p in pages], "v string")
+    assert sorted(r["tm"] for r in raw.api_items(df, "v", "tm string, rn double").collect()) == ["a", "b", "c"]
+    assert tuple(raw.unreadable_pages(df, "v").first()) == (5, 2)
+
+
+def test_constant_columns_have_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, float(i), float(i * i)) for i in range(5)], "a double, b double, c double")
+    r = {(x["a"], x["b"]): x["r"] for x in aggregates.corr_matrix(df, ["a", "b", "c"]).collect()}
+    assert r["a", "b"] is None and r["a", "a"] is None and abs(r["b", "b"] - 1) < 1e-12
+    assert {x["feature"]: round(x["vif"], 3) for x in aggregates.vif(df, ["a", "b", "c"]).collect()}["a"] == 1.0
+    hours = spark.sql("SELECT 1 AS station, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,id) AS hour, 0.0D AS mm, id * 1.0D AS level FROM range(5)")
+    assert {x["r"] for x in rain.lag_response(hours.drop("level"), hours.drop("mm"), 2).collect()} == {None}
+
+
+def test_entropy_weights_without_spread(spark):
+    for rows in ([(1.0, 2.0)], [(1.0, 2.0)] * 4):
+        w = index.entropy_weights(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()
+        assert [round(x["w"], 9) for x in w] == [0.5, 0.5]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Seoul", "America/New_York"])
+def test_hours_do_not_depend_on_the_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT 1 AS station, ts, 1.0D AS mm FROM VALUES (timestamp_ntz'2024-03-10 02:30:15.5'), (timestamp_ntz'2024-03-10 03:30:00'), (timestamp_ntz'1987-05-10 02:10:00') AS t(ts)")
+        hourly = rain.hourly_sum(df)
+        assert {str(r["hour"]) for r in hourly.collect()} == {"2024-03-10 02:00:00", "2024-03-10 03:00:00", "1987-05-10 02:00:00"}
+        assert {(str(r["hour"]), r["mm_3h"]) for r in rain.rolling_sums(hourly, [3]).collect()} == {("2024-03-10 02:00:00", 1.0), ("2024-03-10 03:00:00", 2.0), ("1987-05-10 02:00:00", 1.0)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
