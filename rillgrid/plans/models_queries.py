@@ -10,7 +10,7 @@ from rillgrid.plans import risk
 from rillgrid.plans.registry import R, query
 from rillgrid.staging import settle
 
-FEATURES = ["old_pipe_ratio", "pipe_length", "pump_capacity", "mean_rain", "old_building_ratio", "elderly_ratio", "single_ratio", "slope"]
+FEATURES = ["old_pipe_ratio", "pipe_length", "pump_capacity", "mean_rain", "old_building_ratio", "elderly_ratio", "single_ratio"]
 BACKFLOW = ["error"]
 FLOOD = ["purchase", "view"]
 SINCE = "2024-01-15 00:00:00"
@@ -21,7 +21,8 @@ def labelled_cells(r):
     since = F.to_timestamp(F.lit(SINCE)).cast("timestamp_ntz")
     backflow = with_cell(r.complaint.where(F.col("ts") >= since))
     g = model.label_cells(risk.grid_features(r).drop("complaints"), backflow, BACKFLOW, "ts", SINCE)
-    return settle(g.fillna(0.0, [c for c in model.available(g, FEATURES)]), "labelled")
+    watched = F.pmod(F.xxhash64("grid_id"), F.lit(5)) == 0
+    return settle(g.fillna(0.0, [c for c in model.available(g, FEATURES)]).withColumn("watched", watched), "labelled")
 
 
 def _out_of_fold(r, pipeline):
@@ -31,7 +32,8 @@ def _out_of_fold(r, pipeline):
 
 
 def _trees(features):
-    return model.boosted_trees(features, trees=20, depth=4, rate=0.1, subsample=0.8)
+    """Up to 500 shallow trees that stop when a fifth of the training cells, kept apart, gains no more."""
+    return model.boosted_trees(features, trees=500, depth=4, rate=0.05, subsample=0.8, validation="watched")
 
 
 @query("ml1_train_classifier")
@@ -39,7 +41,7 @@ def _(r):
     g = labelled_cells(r)
     features = model.available(g, FEATURES)
     train, test = (lambda d: (d.where(~F.col("is_test")), d.where("is_test")))(model.holdout_split(g, "grid_id"))
-    fitted = model.fit_weighted(model.boosted_trees(features, trees=20), train)
+    fitted = model.fit_weighted(model.boosted_trees(features), train)
     return model.predict(fitted, test, ["grid_id", "label"])
 
 
