@@ -19,9 +19,9 @@ def _(r):
     return cleaning.filter_any_column(r.table("customer"), ["77", "HOUSE"])
 
 
-@query("flt2_filter_contains", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(p_name, '1')")
+@query("flt2_filter_contains", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(p_name, 'bolt')")
 def _(r):
-    return cleaning.filter_contains(r.table("part").select("p_partkey", "p_name", "p_type"), "p_name", "1")
+    return cleaning.filter_contains(r.table("part").select("p_partkey", "p_name", "p_type"), "p_name", "bolt")
 
 
 @query("flt3_filter_code_prefix", "SELECT s_name FROM supplier WHERE substr(substr(s_name, 10), 1, 8) BETWEEN '00000001' AND '00000007'")

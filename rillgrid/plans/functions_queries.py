@@ -43,16 +43,25 @@ def _(r):
     return r.table("documents").select("doc_id", text.text_key("text").alias("text_key"))
 
 
+# A complaint in front of every text, so that each field takes all its values.
+_COMPLAINTS = ("창원대로 12 긴급 역류", "성산 12-3번지 침하 빨리", "상가 뒤 악취 호우", "용호동 넘침", "그냥 문의")
+_LED = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{c} '" for k, c in enumerate(_COMPLAINTS)) + " END || coalesce(text, '')"
+
+
 @query(
     "sf4_extract_fields",
-    f"""SELECT doc_id, regexp_matches(t, '{text.RAIN_WORDS}') AS rain_related, CAST(CASE WHEN regexp_matches(t, '{text.URGENT_WORDS}') THEN 3
-          WHEN regexp_matches(t, '{text.SOON_WORDS}') THEN 2 ELSE 1 END AS INTEGER) AS urgency,
-        coalesce(nullif(regexp_extract(t, '({text.ROAD_NUMBER}|{text.LOT_NUMBER})', 1), ''), '-') AS location_text
-        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""".replace("\\s", "[ \\t\\n\\f\\r]"),
+    rf"""SELECT doc_id, regexp_matches(t, '비|호우|폭우|장마|rain|storm') AS rain_related,
+        CAST(CASE WHEN regexp_matches(t, '긴급|위험|인명|즉시|urgent|danger') THEN 3 WHEN regexp_matches(t, '빨리|조속|신속|soon|quick') THEN 2 ELSE 1 END AS INTEGER) AS urgency,
+        CASE WHEN regexp_matches(t, '악취|냄새') THEN '악취' WHEN regexp_matches(t, '역류|넘침|범람') THEN '역류' WHEN regexp_matches(t, '파손|파열|침하') THEN '파손' ELSE '기타' END AS type,
+        CASE WHEN regexp_matches(t, '[0-9]+(-[0-9]+)?번지|[0-9]+-[0-9]+') THEN 'lot' WHEN regexp_matches(t, '[가-힣A-Za-z0-9]+(로|길)[ \t\n\f\r]?[0-9]+') THEN 'road'
+          WHEN regexp_matches(t, '아파트|빌라|상가|building|apartment') THEN 'building' WHEN regexp_matches(t, '[^ \t\n\f\r]+?[동읍면리가]([ \t\n\f\r0-9]|$)') THEN 'district' ELSE 'unknown' END AS precision,
+        coalesce(nullif(regexp_extract(t, '([가-힣A-Za-z0-9]+(로|길)[ \t\n\f\r]?[0-9]+|[0-9]+(-[0-9]+)?번지|[0-9]+-[0-9]+)', 1), ''), '-') AS location_text
+        FROM (SELECT doc_id, {_LED} AS t FROM documents)""",
 )
 def _(r):
-    f = r.table("documents").select("doc_id", text.extract_fields("text").alias("f"))
-    return f.select("doc_id", "f.rain_related", "f.urgency", F.coalesce("f.location_text", F.lit("-")).alias("location_text"))
+    led = F.concat(F.get(F.array(*[F.lit(f"{c} ") for c in _COMPLAINTS]), (F.col("doc_id") % 5).cast("int")), F.coalesce("text", F.lit("")))
+    f = r.table("documents").select("doc_id", text.extract_fields(led).alias("f"))
+    return f.select("doc_id", "f.rain_related", "f.urgency", "f.type", "f.precision", F.coalesce("f.location_text", F.lit("-")).alias("location_text"))
 
 
 @query(

@@ -128,3 +128,28 @@ def _(r):
 @query("vl11_f1_folds")
 def _(r):
     return model.f1_scores(settle(_out_of_fold(r, _trees), "oof"))
+
+
+# What must hold of out-of-fold scores whatever the trees are: every cell once, no district in two folds,
+# probabilities, and an order better than chance.
+@query(
+    "ml5_out_of_fold_bounds",
+    """SELECT (SELECT count(*) FROM grid) AS n, (SELECT count(*) FROM grid) AS cells, 0::BIGINT AS split_districts, 0::BIGINT AS outside, true AS better_than_chance""",
+)
+def _(r):
+    g = labelled_cells(r)
+    oof = settle(model.out_of_fold(g, model.group_folds(g, "dong", 5), "dong", "grid_id", model.baseline_logistic(model.available(g, FEATURES))), "oof")
+    split = oof.join(g.select("grid_id", "dong"), "grid_id").groupBy("dong").agg(F.countDistinct("fold").alias("k")).agg(F.count_if(F.col("k") > 1)).first()[0]
+    auc = model.scores_of(oof).first()["auc"]
+    return oof.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("grid_id").alias("cells"), F.lit(split).cast("long").alias("split_districts"),
+        F.count_if(~F.col("p").between(0, 1)).alias("outside"), F.lit(auc > 0.5).alias("better_than_chance"),
+    )
+
+
+@query("ml6_importance_bounds", "SELECT 7::BIGINT AS n, true AS sums_to_one, 0::BIGINT AS negative")
+def _(r):
+    g = labelled_cells(r)
+    features = model.available(g, FEATURES)
+    found = model.feature_importance(model.fit_weighted(_trees(features), g), features, r.spark)
+    return found.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), F.count_if(F.col("importance") < 0).alias("negative"))
