@@ -7,25 +7,31 @@ executor costs no recomputation of earlier rounds.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for local masters."""
+    """Folder named by ``spark.checkpoint.dir``, which a cluster has to set.
+
+    A local master without the setting, as in a notebook, gets a folder of its own that goes with the process.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _local_dirs[sc.applicationId]
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], True)
+    return _own[sc.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -50,3 +56,16 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             if "/rillgrid/" in folder and root.split(":", 1)[-1].lstrip("/") in folder:
                 path = hadoop.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to the shared folder; for when its queries are done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rillgrid/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables of this application lie in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rillgrid/{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return len(files.listStatus(path)) if files.exists(path) else 0

@@ -1,18 +1,22 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from rillgrid.session import build_session  # noqa: E402
+from rillgrid.staging import release_all  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g"
+        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release_all(s)
     s.stop()
