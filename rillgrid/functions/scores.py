@@ -24,7 +24,8 @@ DEPTH_MIDPOINTS = {
     "2.0~3.0": 2.5,
     "3.0~": 3.5,
 }
-# Exposure class (row) by sensitivity class (column), both 1 = worst, to the matrix grade.
+# Exposure class (row) by sensitivity class (column), both 1 = worst, to the matrix grade.  The published
+# plan names the four grades only; this table is this library's default and a parameter.
 GRADE_MATRIX = ((1, 1, 2, 2), (1, 2, 2, 3), (2, 2, 3, 4), (2, 3, 4, 4))
 
 
@@ -56,9 +57,9 @@ def class_code(value, breaks) -> Column:
     return F.when(v.isNotNull(), code)
 
 
-def matrix_grade(exposure, sensitivity) -> Column:
+def matrix_grade(exposure, sensitivity, matrix=GRADE_MATRIX) -> Column:
     """Two 4-class codes with 1 = worst to the grade I..IV as 1..4 by table lookup."""
-    table = F.array(*[F.lit(v) for row in GRADE_MATRIX for v in row])
+    table = F.array(*[F.lit(v) for row in matrix for v in row])
     return F.element_at(table, ((_c(exposure) - 1) * 4 + _c(sensitivity)).cast("int"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillgrid.functions.scores import class_code, grade_fixed, grade_index, matrix_grade
+from rillgrid.functions.scores import GRADE_MATRIX, class_code, grade_fixed, grade_index, matrix_grade
 from rillgrid.operators.cleaning import fill_median, fill_zero
 from rillgrid.operators.normalise import jenks_breaks, minmax, rescale, winsorize, zscore
 from rillgrid.operators.ordering import moments, with_ranks
@@ -16,6 +16,16 @@ from rillgrid.staging import settle
 # -- first generation: min-max and weighted sums ------------------------------------------------
 
 
+# Weight, direction (-1 where little is risky) and fill of each column of the first layers.
+LAYERS: dict[str, dict[str, tuple[float, int, str]]] = {
+    "flood_score": {"pump_capacity": (0.4, -1, "zero"), "mean_rain": (0.35, 1, "zero"), "mean_elev": (0.25, -1, "median")},
+    "sewer_score": {"old_pipe_ratio": (0.4, 1, "zero"), "mean_diameter": (0.3, -1, "median"), "complaints": (0.3, 1, "zero")},
+    "vuln_score": {"elderly_ratio": (0.4, 1, "zero"), "single_ratio": (0.3, 1, "zero"), "old_building_ratio": (0.3, 1, "zero")},
+}
+# The sewer layer of tables without complaints.
+SEWER_WITHOUT_COMPLAINTS = {"old_pipe_ratio": (0.55, 1, "zero"), "mean_diameter": (0.45, -1, "median")}
+
+
 def weighted_sum(weights: Mapping[str, float]) -> F.Column:
     out = F.lit(0.0)
     for column, w in weights.items():
@@ -23,32 +33,31 @@ def weighted_sum(weights: Mapping[str, float]) -> F.Column:
     return out
 
 
+def layer_scores(grid: DataFrame, layers: Sequence[str] = tuple(LAYERS)) -> DataFrame:
+    """The named layers of ``LAYERS`` as weighted sums of min-max scaled columns.
+
+    All layers share one pass for the medians and one for the extremes.
+    """
+    terms = {name: SEWER_WITHOUT_COMPLAINTS if name == "sewer_score" and "complaints" not in grid.columns else LAYERS[name] for name in layers}
+    columns = {c: how for group in terms.values() for c, how in group.items()}
+    g = fill_zero(grid, [c for c, (_, _, fill) in columns.items() if fill == "zero"])
+    medians = [c for c, (_, _, fill) in columns.items() if fill == "median"]
+    g = fill_median(g, medians) if medians else g
+    g = minmax(g, {c: f"_m_{c}" for c in columns}, invert=[c for c, (_, sign, _) in columns.items() if sign < 0])
+    sums = {name: weighted_sum({f"_m_{c}": w for c, (w, _, _) in group.items()}) for name, group in terms.items()}
+    return g.withColumns(sums).drop(*[f"_m_{c}" for c in columns])
+
+
 def flood_score(grid: DataFrame) -> DataFrame:
-    """Low pump capacity, much rain and low ground are risky."""
-    g = fill_median(fill_zero(grid, ["pump_capacity", "mean_rain"]), ["mean_elev"])
-    g = minmax(
-        g, {"pump_capacity": "pump_risk", "mean_rain": "rain_risk", "mean_elev": "elev_risk"}, invert=["pump_capacity", "mean_elev"]
-    )
-    return g.withColumn("flood_score", weighted_sum({"pump_risk": 0.4, "rain_risk": 0.35, "elev_risk": 0.25}))
+    return layer_scores(grid, ["flood_score"])
 
 
 def sewer_score(grid: DataFrame) -> DataFrame:
-    """Old and narrow pipes are risky; complaints count where the column exists."""
-    with_complaints = "complaints" in grid.columns
-    g = fill_zero(grid, ["old_pipe_ratio", *(["complaints"] if with_complaints else [])])
-    g = fill_median(g, ["mean_diameter"])
-    names = {"old_pipe_ratio": "aging_risk", "mean_diameter": "diameter_risk"}
-    weights = {"aging_risk": 0.55, "diameter_risk": 0.45}
-    if with_complaints:
-        names["complaints"] = "complaint_risk"
-        weights = {"aging_risk": 0.4, "diameter_risk": 0.3, "complaint_risk": 0.3}
-    return minmax(g, names, invert=["mean_diameter"]).withColumn("sewer_score", weighted_sum(weights))
+    return layer_scores(grid, ["sewer_score"])
 
 
 def vulnerability_score(grid: DataFrame) -> DataFrame:
-    g = fill_zero(grid, ["elderly_ratio", "single_ratio", "old_building_ratio"])
-    g = minmax(g, {"elderly_ratio": "elderly_risk", "single_ratio": "single_risk", "old_building_ratio": "old_bld_risk"})
-    return g.withColumn("vuln_score", weighted_sum({"elderly_risk": 0.4, "single_risk": 0.3, "old_bld_risk": 0.3}))
+    return layer_scores(grid, ["vuln_score"])
 
 
 def integrated_risk(grid: DataFrame, w1: float = 0.4, w2: float = 0.35, w3: float = 0.25) -> DataFrame:
@@ -56,35 +65,6 @@ def integrated_risk(grid: DataFrame, w1: float = 0.4, w2: float = 0.35, w3: floa
     return g.withColumn("risk_grade", grade_fixed("risk_score"))
 
 
-def all_scores(grid: DataFrame) -> DataFrame:
-    """All three layers from one pass of statistics.
-
-    The layers share the same fill and scaling rules, so the medians of the table and then its
-    minima and maxima are taken once for all columns instead of once per layer.
-    """
-    with_complaints = "complaints" in grid.columns
-    zero = ["pump_capacity", "mean_rain", "old_pipe_ratio", "elderly_ratio", "single_ratio", "old_building_ratio"]
-    g = fill_zero(grid, zero + (["complaints"] if with_complaints else []))
-    g = fill_median(g, ["mean_elev", "mean_diameter"])
-    names = {
-        "pump_capacity": "pump_risk", "mean_rain": "rain_risk", "mean_elev": "elev_risk",
-        "old_pipe_ratio": "aging_risk", "mean_diameter": "diameter_risk",
-        "elderly_ratio": "elderly_risk", "single_ratio": "single_risk", "old_building_ratio": "old_bld_risk",
-    }
-    sewer = {"aging_risk": 0.55, "diameter_risk": 0.45}
-    if with_complaints:
-        names["complaints"] = "complaint_risk"
-        sewer = {"aging_risk": 0.4, "diameter_risk": 0.3, "complaint_risk": 0.3}
-    g = minmax(g, names, invert=["pump_capacity", "mean_elev", "mean_diameter"])
-    return g.withColumns(
-        {
-            "flood_score": weighted_sum({"pump_risk": 0.4, "rain_risk": 0.35, "elev_risk": 0.25}),
-            "sewer_score": weighted_sum(sewer),
-            "vuln_score": weighted_sum({"elderly_risk": 0.4, "single_risk": 0.3, "old_bld_risk": 0.3}),
-        }
-    )
-
-
 # -- second generation: winsorized z-scores and the product of hazard, exposure, vulnerability --
 
 
@@ -109,7 +89,8 @@ def sums_of_z(df: DataFrame, sums: Mapping[str, Mapping[str, int]], winsor: bool
     return base.withColumns(totals).drop(*work.values())
 
 
-def layer1(df: DataFrame, exposure: Mapping[str, int], sensitivity: Mapping[str, int], classes: int = 4, grades: bool = True) -> DataFrame:
+def layer1(df: DataFrame, exposure: Mapping[str, int], sensitivity: Mapping[str, int], classes: int = 4, grades: bool = True,
+           matrix: Sequence[Sequence[int]] = GRADE_MATRIX) -> DataFrame:
     """Climate exposure and urban sensitivity: ``z_exposure, z_sensitivity, l1`` and, with ``grades``,
     the matrix grade ``l1_grade`` of their natural classes (1 = worst)."""
     z = settle(sums_of_z(df, {"z_exposure": exposure, "z_sensitivity": sensitivity}), "layer1")
@@ -119,7 +100,7 @@ def layer1(df: DataFrame, exposure: Mapping[str, int], sensitivity: Mapping[str,
     codes = {}
     for c in ("z_exposure", "z_sensitivity"):
         codes[c] = F.lit(classes + 1) - class_code(c, jenks_breaks(z, c, classes))
-    return scaled.withColumn("l1_grade", matrix_grade(codes["z_exposure"], codes["z_sensitivity"]))
+    return scaled.withColumn("l1_grade", matrix_grade(codes["z_exposure"], codes["z_sensitivity"], matrix))
 
 
 def layer2_rules(df: DataFrame, columns: Sequence[str], eps: float = 0.05) -> DataFrame:

@@ -20,8 +20,8 @@ SMALL = 500_000  # distinct values that one task may scan in order
 
 
 def range_count(df: DataFrame) -> int:
-    """One range per shuffle partition, within sane bounds."""
-    return max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """One range per shuffle partition."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _cut_points(df: DataFrame, value: str, by: Sequence[str], variables: Sequence[str] | None, small: int):
@@ -36,7 +36,7 @@ def _cut_points(df: DataFrame, value: str, by: Sequence[str], variables: Sequenc
     names = variables or [None]
     for k, name in enumerate(names):
         v = F.col(value) if name is None else F.when(F.col(by[0]) == name, F.col(value))
-        parts.append(F.percentile_approx(v, fractions, 1000).alias(f"c{k}"))
+        parts.append(F.percentile_approx(v, fractions, max(1000, 4 * n)).alias(f"c{k}"))
     row = df.agg(*parts).first()
     if row["d"] <= small:
         return None, row["n"]
@@ -44,12 +44,16 @@ def _cut_points(df: DataFrame, value: str, by: Sequence[str], variables: Sequenc
 
 
 def _range_number(value: str, by_var: str | None, cuts) -> Column:
-    """Number of cut points below the value."""
+    """Number of cut points below the value, by binary search."""
     if cuts is None:
         return F.lit(0)
 
     def below(points):
-        return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda c: c < F.col(value))) if points else F.lit(0)
+        if not points:
+            return F.lit(0)
+        table = F.array(*[F.lit(p) for p in points])
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(points).bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) < F.col(value), step).otherwise(0))
 
     out = F.lit(0)
     for name, points in cuts.items():

@@ -52,7 +52,7 @@ def feature_table(r: Roles) -> DataFrame:
 
 def scored_v1(r: Roles) -> DataFrame:
     """All three layer scores, the weighted index and its grade."""
-    return index.integrated_risk(index.all_scores(feature_table(r)))
+    return index.integrated_risk(index.layer_scores(feature_table(r)))
 
 
 # The feature table and the scores in SQL.
