@@ -109,8 +109,9 @@ def handle_missing(df: DataFrame, strategy: str = "drop", unknown: str = "미상
 
 
 def missing_report(df: DataFrame) -> DataFrame:
-    """Rows before, rows kept by dropping, rows removed."""
-    has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns])
+    """Rows before, rows kept by dropping, rows removed; a NaN is missing too, as for dropping."""
+    floats = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
+    has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.isnan(c) if c in floats else F.lit(False)) for c in df.columns])
     return df.agg(
         F.count(F.lit(1)).alias("before"),
         F.count(F.when(~has_null, 1)).alias("after"),

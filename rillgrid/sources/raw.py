@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +35,32 @@ def read_csv_kr(spark: SparkSession, path: str, schema: str, header: bool = True
 
 
 def load_years(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All files of a glob in one scan, with their names; broken rows keep their text in ``_corrupt``."""
+    """All files of a glob in one scan, with their names; broken rows keep their text in ``_corrupt``.
+
+    A file that cannot be read to its end, such as a broken archive, gives the rows before the break and stops
+    no other file; ``broken_files`` names such files.
+    """
     full = T.StructType.fromDDL(schema).add("_corrupt", "string")
     return (
         spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .csv(pattern).select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+        .option("ignoreCorruptFiles", True).csv(pattern).select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
     )
 
 
+def broken_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files of a glob that cannot be read to their end, each tried on its own."""
+    names = [r["path"] for r in spark.read.format("binaryFile").load(pattern).select("path").collect()]
+    bad = []
+    for name in names:
+        try:
+            spark.read.option("ignoreCorruptFiles", False).text(name).write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            if not re.search("FAILED_READ_FILE|ZipException|EOFException|not in gzip format|incorrect", str(e)):
+                raise
+            bad.append(name.rsplit("/", 1)[-1])
+    return sorted(bad)
+
+
 def api_items(raw: DataFrame, column: str, item_schema: str) -> DataFrame:
     """Items of ``response.body.items.item`` as rows, a list of them or a single one; pages without the path give none."""
     item = T.StructType.fromDDL(item_schema)

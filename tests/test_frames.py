@@ -210,3 +210,20 @@ def test_hours_do_not_depend_on_the_zone(spark, zone):
         assert {(str(r["hour"]), r["mm_3h"]) for r in rain.rolling_sums(hourly, [3]).collect()} == {("2024-03-10 02:00:00", 1.0), ("2024-03-10 03:00:00", 2.0), ("1987-05-10 02:00:00", 1.0)}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, t string")
+    assert tuple(cleaning.missing_report(df).first()) == (4, 1, 3) and cleaning.handle_missing(df).count() == 1
+
+
+def test_a_broken_file_stops_no_other(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress(b"k,v\n3,4\n" * 5000)[:60])
+    (tmp_path / "c.csv").write_text("k,v\n5,x\n")
+    rows = raw.load_years(spark, str(tmp_path / "*"), "k int, v int").collect()
+    assert {(r["file"], r["k"]) for r in rows if r["file"] != "b.csv.gz"} == {("a.csv", 1), ("c.csv", 5)}
+    assert [r["_corrupt"] for r in rows if r["file"] == "c.csv"] == ["5,x"]
+    assert raw.broken_files(spark, str(tmp_path / "*")) == ["b.csv.gz"]
