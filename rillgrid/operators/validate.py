@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgrid.operators.aggregates import coarsen, crosstab
-from rillgrid.operators.index import weighted_sum
+from rillgrid.operators.index import cdri_geometric, weighted_sum
 from rillgrid.operators.normalise import max_norm, minmax
 from rillgrid.operators.ordering import cumulate, quantiles, with_ranks
 from rillgrid.operators.topk import top_n
@@ -175,6 +175,27 @@ def weight_sensitivity(cells: DataFrame, parts: Sequence[str], key: str, sets=WE
     return top.withColumn("_base", base).groupBy("label").agg((F.sum("_base") / F.lit(n) * 100).alias("overlap_pct"))
 
 
+def index_weight_sets(cells: DataFrame, key: str, sets: Mapping[str, Sequence[float]], n: int = 20) -> DataFrame:
+    """The product index of ``h, e, v`` under several weight sets against the first: ``(label, cells, rho, shared)``.
+
+    ``rho`` is the rank correlation over all ranked cells, ``shared`` how many of the top ``n`` stay.
+    """
+    base, *others = sets
+    scored = cells
+    for label in sets:
+        one = cdri_geometric(cells, sets[label]).select(F.col(key), F.round("cdri", 9).alias(f"s_{label}"))
+        scored = one if label == base else scored.join(one, key)
+    scored = settle(scored, "weight-sets")
+    first = top_n(scored, f"s_{base}", key, n).select(key)
+    out = None
+    for label in others:
+        shared = first.intersect(top_n(scored, f"s_{label}", key, n).select(key)).agg(F.count(F.lit(1)).alias("shared"))
+        rho = spearman(scored, f"s_{base}", f"s_{label}").select(F.lit(label).alias("label"), F.col("n").alias("cells"), "rho")
+        row = rho.join(shared.withColumn("label", F.lit(label)), "label")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def rank_scenarios(cells: DataFrame, parts: Sequence[str], key: str, sets=WEIGHT_SETS[:3]) -> DataFrame:
     """Rank of each cell under weights x two scalings x two ways to combine: median and range."""
     parts = list(parts)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rillgrid.functions.text import classify_keyword
 from rillgrid.operators import index, spatial, topk, validate
-from rillgrid.operators.normalise import max_norm, minmax
+from rillgrid.operators.normalise import jenks_breaks, max_norm, minmax
 from rillgrid.plans import risk
 from rillgrid.plans.functions_queries import PATTERNS, _match
+from rillgrid.plans.indexes_queries import jenks_sql
 from rillgrid.plans.registry import R, query
 
 _LAB = "SELECT l.doc_id, quality AS y, n_chars AS s, toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
@@ -251,3 +252,54 @@ def _(r):
 
     w = lambda *x: grade_fixed(F.round(index.weighted_sum(dict(zip(_PARTS, x))), 9))
     return validate.grade_shift(risk.scored_v1(r).select(w(0.4, 0.35, 0.25).alias("x"), w(0.3, 0.3, 0.4).alias("y")), "x", "y")
+
+
+def _weight_sets_sql() -> str:
+    from rillgrid.plans.indexes_queries import _ANSWERS, _entropy
+
+    scaled = f"SELECT grid_id, 0.05 + 0.95 * {risk.mm_sql('h', 'std_p')} AS a, e AS b, 0.05 + 0.95 * {risk.mm_sql('v', 'std_p')} AS c FROM std_p"
+    entropy = " UNION ALL ".join(f"SELECT {k} AS i, 1 - {_entropy(c)} AS g FROM (SELECT 1)" for k, c in enumerate(("h", "e", "v"), 1))
+    return f"""WITH {_ANSWERS}, ent AS (SELECT i, g / sum(g) OVER () AS w FROM ({entropy})),
+        sets AS (SELECT 'equal' AS label, 1 / 3.0::DOUBLE AS w1, 1 / 3.0::DOUBLE AS w2, 1 / 3.0::DOUBLE AS w3
+          UNION ALL SELECT 'entropy', max(w) FILTER (i = 1), max(w) FILTER (i = 2), max(w) FILTER (i = 3) FROM ent
+          UNION ALL SELECT 'ahp', max(w) FILTER (i = 1), max(w) FILTER (i = 2), max(w) FILTER (i = 3) FROM w),
+        p AS MATERIALIZED (SELECT label, grid_id, pow(a, w1) * pow(b, w2) * pow(c, w3) AS p FROM ({scaled}) CROSS JOIN sets),
+        s AS MATERIALIZED (SELECT label, grid_id, round((p - min(p) OVER m) / (max(p) OVER m - min(p) OVER m), 9) AS s FROM p WINDOW m AS (PARTITION BY label)),
+        k AS MATERIALIZED (SELECT label, grid_id, rank() OVER (PARTITION BY label ORDER BY s) + (count(*) OVER (PARTITION BY label, s) - 1) / 2.0 AS rk,
+          row_number() OVER (PARTITION BY label ORDER BY s DESC, grid_id) AS pos FROM s)
+        SELECT o.label, count(*) AS cells, {R('corr(b.rk, o.rk)')} AS rho, count(*) FILTER (b.pos <= 20 AND o.pos <= 20) AS shared
+        FROM k b JOIN k o ON o.grid_id = b.grid_id WHERE b.label = 'equal' AND o.label <> 'equal' GROUP BY 1"""
+
+
+def _weight_sets(r, g):
+    """Equal, entropy and pairwise weights of hazard, exposure and vulnerability."""
+    from rillgrid.plans.indexes_queries import ahp_answers
+
+    entropy = {x["var"]: x["w"] for x in index.entropy_weights(g, ["h", "e", "v"]).collect()}
+    ahp = {x["item"]: x["w"] for x in index.ahp_weights(ahp_answers(r)).collect()}
+    return {"equal": (1 / 3,) * 3, "entropy": [entropy[c] for c in "hev"], "ahp": [ahp[k] for k in (1, 2, 3)]}
+
+
+@query("sn6_cdri_weight_sets", _weight_sets_sql())
+def _(r):
+    g = risk.scored_std(r)
+    return validate.index_weight_sets(g.select("grid_id", "h", "e", "v"), "grid_id", _weight_sets(r, g))
+
+
+@query(
+    "vl7_kappa_index_breaks",
+    f"""WITH {{cuts}}, g AS (SELECT CASE WHEN cdri < 0.01 THEN 1 WHEN cdri < 0.25 THEN 2 WHEN cdri < 0.5 THEN 3 WHEN cdri < 0.75 THEN 4 ELSE 5 END AS a,
+          1 + (SELECT count(*) FROM c_cuts WHERE cdri > top) AS b FROM ranked),
+        m AS (SELECT count(*) * 1.0 AS n, sum((a = b)::INT) AS same FROM g), x AS (SELECT a AS label, count(*) AS na FROM g GROUP BY 1), y AS (SELECT b AS label, count(*) AS nb FROM g GROUP BY 1),
+        e AS (SELECT sum(na * nb) AS cross_sum FROM x JOIN y ON x.label = y.label)
+        SELECT CAST(n AS BIGINT) AS n, {R('same / n')} AS agreement, {R('(same / n - cross_sum / (n * n)) / (1 - cross_sum / (n * n))')} AS kappa FROM m CROSS JOIN e""".replace(
+        "{cuts}", "ranked AS MATERIALIZED (SELECT cdri FROM std WHERE cdri IS NOT NULL), " + jenks_sql("c", "ranked", "cdri", 5)
+    ),
+)
+def _(r):
+    """Published bounds of the index grades against five natural classes."""
+    from rillgrid.functions.scores import INDEX_GRADES, class_code
+
+    g = risk.scored_std(r).where("cdri IS NOT NULL").select("cdri", "grade")
+    place = F.array_position(F.array(*[F.lit(x) for x in INDEX_GRADES]), F.col("grade")).cast("int")
+    return validate.kappa(g.select(place.alias("a"), class_code("cdri", jenks_breaks(g, "cdri", 5)).alias("b")), "a", "b")

@@ -287,8 +287,7 @@ _ANSWERS = """answers AS (SELECT c_custkey AS respondent, 1 AS i, 2 AS j, (1 + c
   w AS (SELECT i, g / sum(g) OVER () AS w FROM g), lam AS (SELECT avg(aw / w.w) AS l FROM (SELECT p.i, sum(p.a * w.w) AS aw FROM pooled p JOIN w ON w.i = p.j GROUP BY 1) x JOIN w ON w.i = x.i)"""
 
 
-@query("wt2_ahp_weights", f"WITH {_ANSWERS} SELECT CAST(i AS INTEGER) AS item, {R('w')} AS w, {R('(l - 3) / 2 / 0.58')} AS cr FROM w CROSS JOIN lam")
-def _(r):
+def ahp_answers(r):
     """Every customer answers the three pairs; the lower triangle and the diagonal follow."""
     k = F.col("c_custkey")
     pair = lambda i, j, v: F.array(
@@ -297,5 +296,9 @@ def _(r):
     )
     same = F.array(*[F.struct(F.lit(n).alias("i"), F.lit(n).alias("j"), F.lit(1.0).alias("value")) for n in (1, 2, 3)])
     rows = F.concat(pair(1, 2, 1 + k % 3), pair(1, 3, 2 + k % 4), pair(2, 3, 1 + k % 2), same)
-    answers = r.table("customer").select(k.alias("respondent"), F.explode(rows).alias("a")).select("respondent", "a.*")
-    return index.ahp_weights(answers)
+    return r.table("customer").select(k.alias("respondent"), F.explode(rows).alias("a")).select("respondent", "a.*")
+
+
+@query("wt2_ahp_weights", f"WITH {_ANSWERS} SELECT CAST(i AS INTEGER) AS item, {R('w')} AS w, {R('(l - 3) / 2 / 0.58')} AS cr FROM w CROSS JOIN lam")
+def _(r):
+    return index.ahp_weights(ahp_answers(r))
