@@ -303,3 +303,64 @@ def _(r):
     g = risk.scored_std(r).where("cdri IS NOT NULL").select("cdri", "grade")
     place = F.array_position(F.array(*[F.lit(x) for x in INDEX_GRADES]), F.col("grade")).cast("int")
     return validate.kappa(g.select(place.alias("a"), class_code("cdri", jenks_breaks(g, "cdri", 5)).alias("b")), "a", "b")
+
+
+# Measures of the acceptance table and their limits; a null limit is reported only.
+ACCEPTANCE = (
+    ("layer 1", "auc of complaints", 0.65, "least"),
+    ("layer 2", "rho of rules without complaints", 0.4, "least"),
+    ("layer 3", "largest variance inflation", 5.0, "below"),
+    ("index", "least rho of weight sets", 0.9, "least"),
+    ("index", "least shared top 20", 14.0, "least"),
+    ("index", "rho of merged cells", 0.8, "least"),
+    ("index", "kappa of grade bounds", None, "reported"),
+)
+
+
+def _acceptance_sql() -> str:
+    from rillgrid.plans.registry import SQL
+
+    a, b, c = risk.PEOPLE
+    rank = lambda x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+    rules = f"pow(({risk.mm_sql('combined_share', 'std_t')} + 0.05) * ({risk.mm_sql('pipe_density', 'std_t')} + 0.05), 0.5::DOUBLE)"
+    values = (
+        f"""(SELECT (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) FROM (SELECT y, {rank('s')} AS rk FROM (SELECT round(l1, 9) AS s, (complaints > 0)::INT AS y FROM std)))""",
+        f"""(SELECT corr(ra, rb) FROM (SELECT {rank('round(l2, 9)')} AS ra, {rank('complaints')} AS rb FROM (SELECT (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) AS l2, complaints
+            FROM (SELECT {rules} AS g, complaints FROM std_t) WHERE g IS NOT NULL)))""",
+        f"""(SELECT greatest(1 - r23 * r23, 1 - r13 * r13, 1 - r12 * r12) / (1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23)
+            FROM (SELECT corr({a}, {b}) AS r12, corr({a}, {c}) AS r13, corr({b}, {c}) AS r23 FROM std))""",
+        f"(SELECT min(rho) FROM ({SQL['sn6_cdri_weight_sets']}))", f"(SELECT min(shared) FROM ({SQL['sn6_cdri_weight_sets']}))",
+        f"(SELECT rho FROM ({SQL['sn4_unit_effect']}))", f"(SELECT kappa FROM ({SQL['vl7_kappa_index_breaks']}))",
+    )
+    rows = []
+    for (stage, measure, limit, how), value in zip(ACCEPTANCE, values):
+        test = {"least": f"v >= {limit}", "below": f"v < {limit}", "reported": "CAST(NULL AS BOOLEAN)"}[how]
+        rows.append(f"SELECT '{stage}' AS stage, '{measure}' AS measure, {R('v')} AS value, {'NULL' if limit is None else limit}::DOUBLE AS bound, {test} AS passed FROM (SELECT {value} AS v)")
+    return " UNION ALL ".join(rows)
+
+
+@query("vl14_acceptance", _acceptance_sql())
+def _(r):
+    """One row per measure of the acceptance table, with its limit and whether it is met."""
+    from rillgrid.functions.scores import INDEX_GRADES, class_code
+    from rillgrid.operators.aggregates import vif
+
+    g = risk.scored_std(r)
+    index_cells = g.where("cdri IS NOT NULL").select("cdri", "grade")
+    place = F.array_position(F.array(*[F.lit(x) for x in INDEX_GRADES]), F.col("grade")).cast("int")
+    graded = index_cells.select(place.alias("a"), class_code("cdri", jenks_breaks(index_cells, "cdri", 5)).alias("b"))
+    rules = index.layer2_rules(g.where("treated").select("grid_id", "combined_share", "pipe_density", "complaints"), ["combined_share", "pipe_density"])
+    sets = validate.index_weight_sets(g.select("grid_id", "h", "e", "v"), "grid_id", _weight_sets(r, g)).agg(F.min("rho").alias("rho"), F.min("shared").alias("shared")).first()
+    found = (
+        validate.roc_auc(g.select((F.col("complaints") > 0).cast("int").alias("y"), F.round("l1", 9).alias("s")), "y", "s").first()["auc"],
+        validate.spearman(rules.where("l2 IS NOT NULL").select(F.round("l2", 9).alias("a"), "complaints"), "a", "complaints").first()["rho"],
+        vif(g, list(risk.PEOPLE)).agg(F.max("vif")).first()[0],
+        sets["rho"], sets["shared"],
+        validate.unit_effect(risk.scored_v1(r), "risk_score", "dong").first()["rho"],
+        validate.kappa(graded, "a", "b").first()["kappa"],
+    )
+    rows = []
+    for (stage, measure, limit, how), value in zip(ACCEPTANCE, found):
+        passed = None if how == "reported" or value is None else value >= limit if how == "least" else value < limit
+        rows.append((stage, measure, None if value is None else float(value), limit, passed))
+    return r.spark.createDataFrame(rows, "stage string, measure string, value double, bound double, passed boolean")
