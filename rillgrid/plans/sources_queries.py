@@ -100,16 +100,21 @@ def _(r):
 
 @query(
     "src7_check_available",
-    "SELECT t.n AS dataset, concat(t.n, '.parquet') AS file, t.n NOT IN ('embeddings', 'pages', 'benchmark', 'conversations') AS required, true AS present "
-    "FROM (VALUES " + ", ".join(f"('{n}')" for n in catalog.TABLES) + ") t(n)",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS dataset, '{n}.parquet' AS file, {str(n not in ('embeddings', 'pages', 'benchmark', 'conversations')).lower()} AS required, true AS present, count(*) AS rows FROM {n}"
+        for n in catalog.TABLES
+    ),
 )
 def _(r):
-    return catalog.check_available(r.spark, r.folder).drop("length")
+    return catalog.check_available(r.spark, r.folder)
 
 
-@query("src8_file_inventory")
+@query(
+    "src8_file_inventory",
+    " UNION ALL ".join(f"SELECT '{n}.parquet' AS file, '{n}' AS dataset, true AS has_bytes, count(*) AS rows FROM {n}" for n in catalog.TABLES),
+)
 def _(r):
-    return catalog.file_inventory(r.spark, r.folder, "*.parquet")
+    return catalog.file_inventory(r.spark, r.folder).select("file", "dataset", (F.col("length") > 0).alias("has_bytes"), "rows")
 
 
 @query("snk1_save_csv", "SELECT o_orderkey, " + R("o_totalprice") + " AS o_totalprice, o_orderstatus FROM orders")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -85,17 +86,25 @@ def load_dataset(spark: SparkSession, folder: str, key: str, filename: str | Non
     raise ValueError(f"no reader for {name!r}")
 
 
-def file_inventory(spark: SparkSession, folder: str, pattern: str = "*", checksum: bool = True) -> DataFrame:
-    """``(file, length[, md5])`` of the files below a folder, read in parallel."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    out = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", *([F.md5("content").alias("md5")] if checksum else []))
-    return out
+def file_inventory(spark: SparkSession, folder: str, catalog=TABLES) -> DataFrame:
+    """``(file, dataset, length, rows)`` of the files of the catalog's datasets, read with the catalog's columns."""
+    parts = []
+    for key in catalog:
+        try:
+            table = load_dataset(spark, folder, key, catalog=catalog)
+        except FileNotFoundError:
+            continue
+        file = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("length"))
+        parts.append(table.select(file.alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("rows")).select("f.file", F.lit(key).alias("dataset"), "f.length", "rows"))
+    if not parts:
+        return spark.createDataFrame([], "file string, dataset string, length bigint, rows bigint")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def check_available(spark: SparkSession, folder: str, catalog=TABLES) -> DataFrame:
-    """``(dataset, file, required, present, length)`` for every entry of the catalog."""
+    """``(dataset, file, required, present, rows)`` for every entry of the catalog."""
     listed = spark.createDataFrame(
         [(s.name, s.filename, s.required) for s in catalog.values()], "dataset string, file string, required boolean"
     )
-    found = file_inventory(spark, folder, checksum=False).groupBy("file").agg(F.max("length").alias("length"))
-    return listed.join(found, "file", "left").select("dataset", "file", "required", F.col("length").isNotNull().alias("present"), "length")
+    found = file_inventory(spark, folder, catalog).groupBy("dataset").agg(F.sum("rows").alias("rows"))
+    return listed.join(found, "dataset", "left").select("dataset", "file", "required", F.col("rows").isNotNull().alias("present"), F.coalesce("rows", F.lit(0)).alias("rows"))
