@@ -27,7 +27,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
         raise
-    if any(raw.BROKEN in n for n in names):
+    if any("\ufffd" in n for n in names) and raw.files_not_utf8(spark, path).take(1):
         return spark.read.option("header", True).option("encoding", raw.KOREAN).csv(path)
     return raw.read_csv_kr(spark, path, ", ".join(f"`{n.lstrip(chr(0xFEFF))}` string" for n in names))
 

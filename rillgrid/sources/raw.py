@@ -12,6 +12,12 @@ FILES = 100_000  # names of files that may be broadcast
 KOREAN = "MS949"
 
 
+def files_not_utf8(spark: SparkSession, path: str) -> DataFrame:
+    """``(_file)``: the files with a line whose bytes are no UTF-8."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    return lines.where(~F.is_valid_utf8("value")).select("_file").distinct()
+
+
 def read_csv_kr(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """CSV as UTF-8; files that hold bytes which are no UTF-8 are read as cp949 instead.
 
@@ -22,7 +28,7 @@ def read_csv_kr(spark: SparkSession, path: str, schema: str, header: bool = True
     columns = T.StructType.fromDDL(schema)
     reader = spark.read.schema(columns).option("header", header)
     source = F.col("_metadata.file_path").alias("_file")
-    bad = spark.read.text(path).select("value", source).where(~F.is_valid_utf8("value")).select("_file").distinct()
+    bad = files_not_utf8(spark, path)
     utf8 = reader.option("encoding", "UTF-8").csv(path)
     n = bad.count()
     if not n:
