@@ -133,7 +133,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     out = decided[0]
     for more in decided[1:]:
         out = out.union(more)
-    return out.select("h", "id", "source", "size", "source_size", "target", (F.col("whole") + F.col("up")).alias("copies"))
+    return out.select("h", "id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("up")).otherwise(0).alias("copies"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
