@@ -88,13 +88,15 @@ def _near(a: str, b: str, radius: int = RADIUS) -> Column:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (u, v), u < v, of column ``fp`` that connect whatever is linked by at most two differing bits."""
-    listed = distinct.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    buckets = settle(
-        listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets"
-    )
-    twos = buckets.where("n = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).where(_near("u", "v"))
-    several = settle(listed.join(buckets.where("n > 2").select("key", "n"), "key"), "several")
-    small = several.where(F.col("n") <= BUCKET).select("key", "fp")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by variant once: the counts and the join with them work on the same partitions, and only
+    # the rows of variants that hold more than one fingerprint leave the stage
+    listed = distinct.select("fp", F.explode(_variants(F.col("fp"))).alias("key")).repartition(parts, "key")
+    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    several = settle(listed.join(counts.hint("merge"), "key"), "several")
+    # the greater one of a pair stands for it
+    twos = several.where("n = 2 AND fp = b").select(F.col("a").alias("u"), F.col("b").alias("v")).where(_near("u", "v"))
+    small = several.where(F.col("n").between(3, BUCKET)).select("key", "fp")
     paired = (
         small.select("key", F.col("fp").alias("u")).join(small.select("key", F.col("fp").alias("v")), "key")
         .where((F.col("u") < F.col("v")) & _near("u", "v")).select("u", "v")
@@ -133,25 +135,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, root) for each row of ``docs``; rows with the same root are of one group."""
-    marked = settle(docs.select(docs[key].alias(key), fingerprints(docs, text).alias("fp")), "prints")
-    roots = components(links(marked.select("fp").distinct()))
-    return marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(key, "fp", F.coalesce("root", "fp").alias("root"))
+    """(key, fp, component_id) for each row of ``docs``; the component's id is its smallest key."""
+    marked = settle(docs.select(docs[key].alias("_k"), fingerprints(docs, text).alias("fp")), "prints")
+    least = marked.groupBy("fp").agg(F.min("_k").alias("_k"))
+    rooted = settle(_rooted(least, marked), "rooted")
+    names = rooted.groupBy("root").agg(F.min("_k").alias("component_id"))
+    named = settle(rooted.join(names, "root").select("fp", "component_id"), "named")
+    return marked.join(named, "fp").select(F.col("_k").alias(key), "fp", "component_id")
+
+
+def _rooted(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``rows`` with the root of their fingerprint's component among all fingerprints of ``marked``."""
+    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = marked.select("fp").repartition(parts, "fp").distinct()
+    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, fingerprint (16 hexadecimal digits), component_id (smallest key reachable)."""
-    found = settle(grouped(docs, key, text), "groups")
-    names = found.groupBy("root").agg(F.min(key).alias("component_id"))
-    return found.join(names, "root").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(docs, key, text).select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group: that with the smallest key, then the smallest hash of the row."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     marked = settle(docs.select(docs[key].alias("_k"), row.alias("_r"), fingerprints(docs, text).alias("fp")), "prints")
-    roots = components(links(marked.select("fp").distinct())).withColumnRenamed("node", "fp")
-    placed = marked.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.struct(F.col("_k").isNull().alias("_z"), "_k", "_r").alias("place"))
+    place = F.struct(F.col("_k").isNull().alias("_z"), "_k", "_r")
+    placed = _rooted(marked.groupBy("fp").agg(F.min(place).alias("place")), marked)
     kept = settle(placed.groupBy("root").agg(F.min("place").alias("place")).select("place._k", "place._r"), "kept")
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
     left = docs.withColumns({"_key": F.col(f"`{key}`"), "_row": row}).join(kept, same, "left_semi")
