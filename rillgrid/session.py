@@ -31,12 +31,17 @@ def build_session(app: str = "rillgrid", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+BATCH_BYTES = "8m"  # of a batch for a Python worker
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application, as ``--py-files`` would."""
+    """Send this package to the executors' Python workers, once per application, as ``--py-files`` would.
+
+    Long texts make large batches, so those that go to Python workers are also bounded in bytes.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
