@@ -82,7 +82,7 @@ class Model:
                 row = sum(known) / len(known)
                 break
         if len(word) <= 40:
-            if len(self._seen) >= 100_000:
+            if len(self._seen) >= 50_000:
                 self._seen.clear()
             self._seen[word] = row
         return row
