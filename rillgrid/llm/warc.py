@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillgrid.llm.common import let
+from rillgrid.llm.common import hinted, let
 from rillgrid.staging import release, settle
 
 MAGIC = "WARC/1.1\r\n"
@@ -63,9 +63,10 @@ def write(pages: DataFrame, path: str, least: int = 0, per_file: int = PER_FILE,
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     rows = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "sha": F.sha1("payload")})
-    # few payloads repeat: only those are joined, and the rows of a much repeated one may be split
+    # only payloads that repeat are joined; while they are few, the pages stay where they are
     firsts = rows.where(F.col("bytes") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = rows.join(firsts, "sha", "left").withColumn("digest", base32(F.col("sha")))
+    firsts = settle(firsts, "firsts")
+    met = rows.join(hinted(firsts, firsts.count()), "sha", "left").withColumn("digest", base32(F.col("sha")))
     kind = F.when((F.col("bytes") >= least) & (F.col("id") > F.col("first")), "revisit").otherwise("response")
     lines = met.select(_record(kind).alias("value"))
     lines.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
