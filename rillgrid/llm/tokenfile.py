@@ -26,14 +26,14 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillgrid.llm import tokens
 from rillgrid.session import ship
 
 MAGIC = b"IDSHARD1"
-HEAD = struct.Struct("<8sIIQQQQQ")  # magic, part, number in the part, width, documents, ids, keys, buckets
+HEAD = struct.Struct("<8sIIQQQQQQ")  # magic, part, number in the part, ids of the part before, width, documents, ids, keys, buckets
 SHARD_IDS = 2_000_000  # ids after which a shard is closed
 PER_BUCKET = 3  # keys of a bucket of the hash, on average
 
@@ -85,7 +85,7 @@ def slot_of(key: bytes, displacements: np.ndarray, n: int) -> int:
     return -1 - d if d < 0 else _slot(key, d, n)
 
 
-def build(part: int, number: int, keys: list[int | None], ids: list[bytes]) -> bytes:
+def build(part: int, number: int, before: int, keys: list[int | None], ids: list[bytes]) -> bytes:
     """The bytes of a shard; ``keys`` come in order, equal keys next to one another."""
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
     width = 2 if not len(flat) or flat.max() < 1 << 16 else 4
@@ -99,7 +99,7 @@ def build(part: int, number: int, keys: list[int | None], ids: list[bytes]) -> b
         slots[s], prints[s] = i, xxhash.xxh64_intdigest(k, 1 << 40)
     held = np.array([k or 0 for k in keys], dtype="<i8")
     nulls = np.array([k is None for k in keys], dtype="u1")
-    head = HEAD.pack(MAGIC, part, number, width, len(keys), len(flat), len(own), len(displacements))
+    head = HEAD.pack(MAGIC, part, number, before, width, len(keys), len(flat), len(own), len(displacements))
     return b"".join([head, held.tobytes(), nulls.tobytes(), starts.tobytes(), displacements.astype("<i8").tobytes(), slots.tobytes(), prints.tobytes(), flat.astype(f"<u{width}").tobytes()])
 
 
@@ -109,6 +109,7 @@ class Shard:
 
     part: int
     number: int
+    before: int
     keys: np.ndarray
     nulls: np.ndarray
     starts: np.ndarray
@@ -119,14 +120,14 @@ class Shard:
 
     @classmethod
     def of(cls, data: bytes) -> Shard:
-        magic, part, number, width, docs, ids, keys, buckets = head_of(data)
+        magic, part, number, before, width, docs, ids, keys, buckets = head_of(data)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at, found = HEAD.size, []
         for kind, n in (("<i8", docs), ("u1", docs), ("<u8", docs + 1), ("<i8", buckets), ("<u4", keys), ("<u8", keys), (f"<u{width}", ids)):
             found.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
             at += found[-1].nbytes
-        return cls(part, number, *found)
+        return cls(part, number, before, *found)
 
     def find(self, key: int | None) -> range:
         """Numbers of the documents with ``key``; empty if there are none."""
@@ -139,6 +140,11 @@ class Shard:
             end += 1
         return range(first, end)
 
+    def own_keys(self) -> list[int | None]:
+        """The keys that the shard holds, each once."""
+        keys = [None if z else int(k) for k, z in zip(self.keys.tolist(), self.nulls.tolist(), strict=True)]
+        return [k for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+
     def ids(self, i: int) -> bytes:
         """Ids of document ``i`` as little-endian unsigned 32-bit integers."""
         return self.payload[int(self.starts[i]) : int(self.starts[i + 1])].astype("<u4").tobytes()
@@ -152,6 +158,7 @@ def write(docs: DataFrame, spec: str, path: str, end_id: int = 2, key: str = "do
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, number = tokens.encoder(shared.value, end_id), TaskContext.get().partitionId(), 0
+        before = 0
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
@@ -161,10 +168,10 @@ def write(docs: DataFrame, spec: str, path: str, end_id: int = 2, key: str = "do
                 ids.append(found)
                 size += len(found) // 4
                 if size >= shard_ids:
-                    yield pd.DataFrame({"shard": [build(part, number, keys, ids)]})
-                    keys, ids, size, number = [], [], 0, number + 1
+                    yield pd.DataFrame({"shard": [build(part, number, before, keys, ids)]})
+                    keys, ids, size, number, before = [], [], 0, number + 1, before + size
         if keys:
-            yield pd.DataFrame({"shard": [build(part, number, keys, ids)]})
+            yield pd.DataFrame({"shard": [build(part, number, before, keys, ids)]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     taken = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -173,59 +180,43 @@ def write(docs: DataFrame, spec: str, path: str, end_id: int = 2, key: str = "do
     shards.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
-def _rows(wanted):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                shard = Shard.of(row.content)
-                found = [(k, i) for k in wanted(shard, row) for i in shard.find(k)]
-                for at in range(0, len(found), 2000):
-                    some = found[at : at + 2000]
-                    yield pd.DataFrame(
-                        {
-                            "key": [None if k is None else str(k) for k, _ in some], "part": shard.part, "number": shard.number,
-                            "start": [int(shard.starts[i]) for _, i in some], "ids": [shard.ids(i) for _, i in some],
-                        }
-                    )
-
-    return run
-
-
-def _all_keys(shard: Shard, row) -> list[int | None]:
-    """The keys that a shard holds, each once."""
-    keys = [None if z else int(k) for k, z in zip(shard.keys.tolist(), shard.nulls.tolist(), strict=True)]
-    return [k for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
-
-
-_FOUND = "key string, part int, number int, start long, ids binary"
-
-
 def _files(spark: SparkSession, path: str) -> DataFrame:
     ship(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per shard from its head: part, number, n_docs, n_ids, and ``base``, the ids of all shards before it."""
+    """One row per shard from its head: part, number, n_docs, n_ids, and ``before``, the ids of its part before it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [head_of(bytes(h)) for h in batch["head"]]
-            yield pd.DataFrame([(r[1], r[2], r[4], r[5]) for r in rows], columns=["part", "number", "n_docs", "n_ids"])
+            yield pd.DataFrame([(r[1], r[2], r[5], r[6], r[3]) for r in rows], columns=["part", "number", "n_docs", "n_ids", "before"])
 
     heads = _files(spark, path).select(F.substring("content", 1, HEAD.size).alias("head"))
-    shards = heads.mapInPandas(run, "part int, number int, n_docs long, n_ids long")
-    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_part"))  # one row per range of the write
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n_part").over(earlier), F.lit(0)).alias("part_base"))
-    return shards.join(parts, "part").select(
-        "part", "number", "n_docs", "n_ids", (F.col("part_base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("base")
-    )
+    return heads.mapInPandas(run, "part int, number int, n_docs long, n_ids long, before long")
+
+
+def _found(spark: SparkSession, path: str, key: str, wanted) -> DataFrame:
+    """Documents of the shards with the keys that ``wanted`` names for a shard."""
+    totals = directory(spark, path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # one row per range of the write
+    bases, at = {}, 0
+    for row in sorted(totals, key=lambda r: r["part"]):
+        bases[row["part"]] = at
+        at += row["n"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                shard = Shard.of(content)
+                base = bases[shard.part] + shard.before
+                found = [(k, i) for k in wanted(shard) for i in shard.find(k)]
+                for at in range(0, len(found), 2000):
+                    some = found[at : at + 2000]
+                    yield pd.DataFrame({"key": [None if k is None else str(k) for k, _ in some], "start": [base + int(shard.starts[i]) for _, i in some], "ids": [shard.ids(i) for _, i in some]})
 
-def _placed(found: DataFrame, shards: DataFrame, key: str) -> DataFrame:
-    where = shards.select("part", "number", "base")
-    return found.join(where, ["part", "number"]).select(F.col("key").cast("long").alias(key), (F.col("base") + F.col("start")).alias("start"), "ids")
+    found = _files(spark, path).select("content").mapInPandas(run, "key string, start long, ids binary")
+    return found.select(F.col("key").cast("long").alias(key), "start", "ids")
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -234,12 +225,10 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     Each key of a shard is looked up by the shard's hash, so a document comes back only if index,
     fingerprint and offsets agree.
     """
-    found = _files(spark, path).select("content").mapInPandas(_rows(_all_keys), _FOUND)
-    return _placed(found, directory(spark, path), key)
+    return _found(spark, path, key, Shard.own_keys)
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int | None], key: str = "doc_id") -> DataFrame:
     """The documents with ``keys``, a list that the caller holds, from the shards that have them."""
-    wanted = spark.sparkContext.broadcast(list(dict.fromkeys(keys)))
-    found = _files(spark, path).select("content").mapInPandas(_rows(lambda shard, row: wanted.value), _FOUND)
-    return _placed(found, directory(spark, path), key)
+    wanted = list(dict.fromkeys(keys))
+    return _found(spark, path, key, lambda shard: wanted)

@@ -187,7 +187,7 @@ def test_token_files_round_trip(spark, docs, rows, no_docs, tmp_path):
 
 def test_shard_takes_wide_ids():
     ids = [np.array([1, 70_000], dtype="<u4").tobytes(), b""]
-    shard = tokenfile.Shard.of(tokenfile.build(0, 0, [None, -5], ids) + b"\n")
+    shard = tokenfile.Shard.of(tokenfile.build(0, 0, 0, [None, -5], ids) + b"\n")
     assert [shard.ids(i) for k in (None, -5) for i in shard.find(k)] == ids and not shard.find(3)
 
 
