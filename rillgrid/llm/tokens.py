@@ -18,9 +18,12 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the work
 from tokenizers import Tokenizer  # noqa: E402
 
-CACHED = 150_000  # segments whose ids a worker remembers
-LONG = 200  # characters of a segment that is not remembered
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+CACHED = 500_000  # segments whose ids a worker remembers
+LONG = 100  # characters of a segment that is not remembered
+TOGETHER = 4_000  # new segments that the library encodes in one call
+# a segment ends before a single space or line feed between two other characters, and nowhere else
+_SEGMENT = re.compile(r"\s*\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\s+")
+_INNER = re.compile(r"[ \n]\S(?:.*\S)?", re.S)  # segments that others can follow and precede
 _open: dict[int, Encoder] = {}
 
 
@@ -30,23 +33,58 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.between, self.between_id = self._separator()
+
+    def _separator(self) -> tuple[str, int]:
+        """A rare word that is one token, to stand between new segments that are encoded together."""
+        words = ((n, re.fullmatch(r"(?:Ġ|▁)?([a-z]{5,12})(?:</w>)?", t)) for t, n in self.tokenizer.get_vocab().items())
+        for n, m in sorted(((n, m[1]) for n, m in words if m), reverse=True):
+            if self.tokenizer.encode(f" {m}", add_special_tokens=False).ids == [n]:
+                return m, n
+        raise ValueError("no word of this vocabulary is one token")
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new segments."""
+        inner = [p for p in parts if _INNER.fullmatch(p) and self.between not in p.lower()]
+        out: dict[str, bytes] = {}
+        for at in range(0, len(inner), TOGETHER):
+            some = inner[at : at + TOGETHER]
+            text = f" {self.between}".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = 4 * np.flatnonzero(ids == self.between_id)
+            if len(cuts) == len(some) - 1:
+                raw = ids.tobytes()
+                out.update((p, raw[b:e]) for p, b, e in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True))
+        rest = [p for p in parts if p not in out]
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            out.update((p, np.array(x.ids, dtype="<u4").tobytes()) for p, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the end id; null counts as empty."""
-        known = self.known
+        waiting: list[list[str]] = []
+        size = 0
         for text in texts:
-            parts = _CUT.split(text) if text else []
-            new = [p for p in set(parts) if p not in known]
-            rest: dict[str, bytes] = {}
-            if new:
-                if len(known) > CACHED:
-                    known.clear()
-                    new = list(set(parts))
-                for at in range(0, len(new), 512):
-                    some = new[at : at + 512]
-                    for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                        (known if len(part) <= LONG else rest)[part] = np.array(found.ids, dtype="<u4").tobytes()
-            yield b"".join([known[p] if p in known else rest[p] for p in parts] if rest else [known[p] for p in parts]) + self.end
+            waiting.append(_SEGMENT.findall(text) if text else [])
+            size += len(waiting[-1])
+            if size > 100_000:
+                yield from self._encoded(waiting)
+                waiting, size = [], 0
+        yield from self._encoded(waiting)
+
+    def _encoded(self, texts: list[list[str]]) -> Iterator[bytes]:
+        here = set().union(*texts)
+        new = here - self.known.keys()
+        if len(self.known) + len(new) > CACHED:  # what these texts use stays
+            self.known = {p: self.known[p] for p in here if p in self.known}
+        self.known.update(self._learn(list(new)))
+        of = self.known.__getitem__
+        for parts in texts:
+            yield b"".join(map(of, parts)) + self.end
+        for p in new:
+            if len(p) > LONG:
+                del self.known[p]
 
 
 def encoder(spec: str, end_id: int | None) -> Encoder:
