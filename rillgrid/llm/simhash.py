@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillgrid.llm import nearcopies
 from rillgrid.session import ship
 from rillgrid.staging import release, settle
 
@@ -158,11 +159,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest key, then the smallest hash of the row."""
+    """``docs`` with one row of each group of near copies (see ``nearcopies``): that with the smallest key, then the smallest hash of the row."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = settle(docs.select(docs[key].alias("_k"), row.alias("_r"), fingerprints(docs, text).alias("fp")), "prints")
+    marked = docs.select(docs[key].alias("_k"), row.alias("_r"), nearcopies.sketch(docs, text).alias("_s"))
+    marked = settle(marked.select("_k", "_r", "_s.node", "_s.keys"), "sketches")
     place = F.struct(F.col("_k").isNull().alias("_z"), "_k", "_r")
-    placed = _rooted(marked.groupBy("fp").agg(F.min(place).alias("place")), marked)
+    sets = settle(marked.groupBy("node").agg(F.min(place).alias("place"), F.any_value("keys").alias("keys")), "sets")
+    several = nearcopies.crowded(sets)
+    # texts of the nodes that share a band with another one
+    asked = several.select("node", F.col("place._k").alias("_k"), F.col("place._r").alias("_r")).distinct()
+    bodies = docs.select(F.col(f"`{key}`").alias("_key"), row.alias("_row"), F.col(f"`{text}`").alias("text"))
+    bodies = bodies.join(asked, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")))
+    texts = settle(bodies.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    roots = components(nearcopies.links(several, texts))
+    placed = sets.select("node", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = settle(placed.groupBy("root").agg(F.min("place").alias("place")).select("place._k", "place._r"), "kept")
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
     left = docs.withColumns({"_key": F.col(f"`{key}`"), "_row": row}).join(kept, same, "left_semi")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from rillgrid.llm import ann, simhash, tokenfile, tokens, urlfilter, warc
+from rillgrid.llm import ann, nearcopies, simhash, tokenfile, tokens, urlfilter, warc
 
 
 def digest(text):
@@ -151,6 +151,55 @@ def test_near_duplicates_and_one_of_each(docs, rows, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
 
 
+def edited(text: str, words: int, seed: int) -> str:
+    rng, out = random.Random(seed), text.split(" ")
+    for i in rng.sample(range(len(out)), words):
+        out[i] = f"changed{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def word_sets(text: str) -> set:
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_one_of_each_finds_edited_copies(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    bases = [text(387) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(bases)]
+    rows += [(1000 + 10 * i + k, edited(t, changed, 10 * i + k)) for i, t in enumerate(bases) for k, changed in enumerate((1, 2, 4, 6, 40))]
+    group = text(300)
+    rows += [(5000 + i, edited(group, 3, i)) for i in range(120)]  # a crowded band
+    notice = text(150)
+    rows += [(6000 + i, notice + " " + text(80)) for i in range(60)]  # much in common, but no copies
+    sets = [word_sets(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    want = sorted({rows[root(i)][0] for i in range(len(rows))})
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("doc_id").collect())
+    assert got == want and len(want) < len(rows) - 40 * 3
+
+
+def test_near_copy_sets_and_bands():
+    text = " ".join(f"w{i * i % 7919}" for i in range(9000))
+    a, b = nearcopies.shingles(text), nearcopies.shingles(edited(text, 100, 1))
+    x, y = word_sets(text), word_sets(edited(text, 100, 1))
+    assert nearcopies.similarity(a, b) == len(x & y) / len(x | y)
+    assert nearcopies.similarity(nearcopies.shingles("A  b"), nearcopies.shingles("a B")) == nearcopies.similarity(nearcopies.shingles(None), nearcopies.shingles(" ")) == 1
+    assert set(nearcopies.bands(a)) & set(nearcopies.bands(b)) and nearcopies.bands(nearcopies.shingles("")) == []
+
+
 def test_fingerprint_of_few_words():
     import xxhash
 
