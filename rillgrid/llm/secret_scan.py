@@ -44,6 +44,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),  # a run that is too short has no longer match inside
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# A key runs up to and including its END marker; without the marker, over its header lines and up to the last key line,
+# which may be short.  Line breaks may be escaped.  Java recurses in loops over groups, so lines are read by a loop over
+# characters; only lines that are indented or set apart by blanks need groups (240 of them, unless the marker follows).
+_END = r"[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_BREAK, _KEY = r"[\x20\t\r\nrn\\]+", r"[A-Za-z0-9+/]{16,}"
+_HEADERS = rf"(?:{_BREAK}[A-Z][A-Za-z-]{{1,30}}:\x20[^\r\n\\]*){{0,8}}"
+_LINES = rf"{_BREAK}{_KEY}(?:[A-Za-z0-9+/=\r\n\\]*(?:[\r\n]|\\n){_KEY})?={{0,2}}" + rf"(?:{_BREAK}{_KEY}={{0,2}}){{0,60}}" * 4
+_PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_END}|{_HEADERS}{_LINES}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{{1,15}}={{0,2}})?)?"
+
 # formats that providers publish for their keys
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -51,7 +60,7 @@ MORE = (
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{24,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
 )
 RULES = BASE + MORE
 
