@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgrid.llm import ann, langid, mixing, packing, quality, secret_scan, simhash, tokenfile, tokens, urlfilter, warc
-from rillgrid.llm.common import SPACE
+from rillgrid.llm import ann, langid, merkle, mixing, packing, quality, secret_scan, simhash, tokenfile, tokens, urlfilter, veccodes, warc
+from rillgrid.llm.common import SPACE, ascii_lower
 from rillgrid.staging import fresh_path
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -85,6 +85,16 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return veccodes.codes(_table(spark, folder, "embeddings"))
+
+
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    docs = _table(spark, folder, "documents")
+    return merkle.manifest(docs, {"text": F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))}).drop("lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
     "op2_warc": warc_round_trip,
@@ -96,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules,
     "op9_simhash": near_duplicates,
     "op10_token_files": token_files,
+    "op12_vector_codes": vector_codes,
+    "op13_merkle_manifest": merkle_manifest,
 }
 
 
@@ -175,4 +187,69 @@ def _quality_sql() -> str:
            NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
 
 
-SQL: dict[str, str] = {"op2_warc": _warc_sql(), "op3_url_rules": _url_sql(), "op5_secret_scan": _secret_sql(), "op8_quality_rules": _quality_sql()}
+def _codes_sql() -> str:
+    """Each round by all distances."""
+    parts = []
+    for r in range(veccodes.ROUNDS + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+            SELECT vec_id, label, x.p, x.v, b.e, list_sum([(x.v[i] - b.c[i]) * (x.v[i] - b.c[i]) FOR i IN range(1, len(x.v) + 1)])::BIGINT AS d FROM x JOIN b{r} b ON x.p = b.p) GROUP BY 1, 2, 3, 4)""")
+        if r < veccodes.ROUNDS:
+            parts.append(f"""m{r} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (
+                SELECT p, e, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+            parts.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m ON b.p = m.p AND b.e = m.e)")
+    last, n = veccodes.ROUNDS, veccodes.PARTS
+    return f"""
+    WITH k AS (SELECT vec_id, label, [floor(1024 * y::DOUBLE)::BIGINT FOR y IN embedding] AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len([1 FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+    x AS (SELECT vec_id, label, p, v[p * len(v) // {n} + 1 : (p + 1) * len(v) // {n}] AS v FROM k, range({n}) AS r(p)),
+    b0 AS (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1)::INT AS e, v AS c FROM x QUALIFY e < {veccodes.ENTRIES}),
+    {", ".join(parts)},
+    s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM b{last}),
+    o AS (SELECT vec_id, label, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY 1, 2)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM o, s"""
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Trees of up to 8 ** ``levels`` leaves, level by level."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = "flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {steps})::BIGINT[], lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295)"
+
+    def tree(name: str, nodes: str) -> list[str]:
+        """Tables name0, name1, ... (g, i, h, m): the nodes of each level and their number."""
+        out = [f"{name}0 AS MATERIALIZED (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS m FROM {nodes})"]
+        for k in range(levels):
+            out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS m FROM (
+                SELECT g, i // CASE WHEN m > 1 THEN 8 ELSE 1 END AS i, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, 2))""")
+        return out
+
+    def climb(name: str, start: str) -> list[str]:
+        """Tables name_0, name_1, ...: start (id, g, i, x, s) led up level by level, with siblings gathered in s and tampered hashes in x."""
+        out = [f"{name}_0 AS (SELECT * FROM {start})"]
+        for k in range(levels):
+            out.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT c.id, c.g, c.i // CASE WHEN any_value(n.m) > 1 THEN 8 ELSE 1 END AS i,
+                CASE WHEN any_value(n.m) > 1 THEN sha256(string_agg(CASE WHEN n.i = c.i THEN c.x ELSE n.h END, '' ORDER BY n.i)) ELSE c.x END AS x,
+                c.s || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i <> c.i), '') AS s
+                FROM {name}_{k} c JOIN {name}{k} n ON n.g IS NOT DISTINCT FROM c.g AND n.i // 8 = c.i // 8 GROUP BY c.id, c.g, c.i, c.x, c.s)""")
+        return out
+
+    return f"""
+    WITH d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(f"translate(text, '{upper}', '{lower}')")} ELSE {leaf("text")} END AS x FROM documents),
+    l AS (SELECT lang AS g, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, leaf AS h, x FROM d),
+    {", ".join(tree("t", "l"))},
+    o AS (SELECT NULL::INT AS g, t.g AS lang, row_number() OVER (ORDER BY t.g NULLS FIRST) - 1 AS i, t.h FROM t{levels} t),
+    {", ".join(tree("r", "o"))},
+    dd AS (SELECT doc_id AS id, g, i, x, '' AS s FROM l),
+    {", ".join(climb("t", "dd"))},
+    up AS (SELECT c.id, NULL::INT AS g, o.i, c.x, c.s FROM t_{levels} c JOIN o ON o.lang IS NOT DISTINCT FROM c.g),
+    {", ".join(climb("r", "up"))}
+    SELECT l.doc_id, l.h AS leaf, o.h AS subroot, r.h AS root, sha256(c.s) AS proof_sha256, c.x AS folded_root, c.x = r.h AS verified
+    FROM l JOIN r_{levels} c ON c.id = l.doc_id JOIN o ON o.lang IS NOT DISTINCT FROM l.g, r{levels} r"""
+
+
+SQL: dict[str, str] = {
+    "op2_warc": _warc_sql(), "op3_url_rules": _url_sql(), "op5_secret_scan": _secret_sql(), "op8_quality_rules": _quality_sql(),
+    "op12_vector_codes": _codes_sql(), "op13_merkle_manifest": _merkle_sql(),
+}
