@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgrid.llm import ann, langid, merkle, mixing, packing, quality, secret_scan, simhash, tokenfile, tokens, urlfilter, veccodes, warc
+from rillgrid.llm import ann, langid, merkle, minhash, mixing, packing, quality, secret_scan, simhash, tokenfile, tokens, urlfilter, veccodes, warc
 from rillgrid.llm.common import SPACE, ascii_lower
 from rillgrid.staging import fresh_path
 
@@ -85,6 +85,10 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return veccodes.codes(_table(spark, folder, "embeddings"))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules,
     "op9_simhash": near_duplicates,
     "op10_token_files": token_files,
+    "op11_minhash": near_copies,
     "op12_vector_codes": vector_codes,
     "op13_merkle_manifest": merkle_manifest,
 }
@@ -187,6 +192,22 @@ def _quality_sql() -> str:
            NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
 
 
+def _copies_sql() -> str:
+    """All pairs with a common shingle, and the closure of their links."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[{SPACE}]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS x FROM w),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 100 * both >= 85 * (m.n + k.n - both)),
+    l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN c ON a = doc_id LEFT JOIN n USING (doc_id)"""
+
+
 def _codes_sql() -> str:
     """Each round by all distances."""
     parts = []
@@ -251,5 +272,5 @@ def _merkle_sql(levels: int = 6) -> str:
 
 SQL: dict[str, str] = {
     "op2_warc": _warc_sql(), "op3_url_rules": _url_sql(), "op5_secret_scan": _secret_sql(), "op8_quality_rules": _quality_sql(),
-    "op12_vector_codes": _codes_sql(), "op13_merkle_manifest": _merkle_sql(),
+    "op11_minhash": _copies_sql(), "op12_vector_codes": _codes_sql(), "op13_merkle_manifest": _merkle_sql(),
 }

@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillgrid.llm import nearcopies
+from rillgrid.llm import minhash
+from rillgrid.llm.common import components
 from rillgrid.session import ship
-from rillgrid.staging import release, settle
+from rillgrid.staging import settle
 
 SHINGLE = 3
 SEED = 42
@@ -110,31 +111,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return twos.union(paired).union(starred).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of ``edges`` (u, v): the smallest node that can be reached."""
-    spark = edges.sparkSession
-    now = settle(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    while True:
-        # large star: neighbours above a node move to the smallest among its neighbours and itself
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        up = both.where("v > u").join(least, "u").select("v", "m").where("v <> m").distinct()
-        up = settle(up.withColumnRenamed("v", "u").withColumnRenamed("m", "v"), "stars")  # u > v
-        # small star: a node and its smaller neighbours move to the smallest of them
-        low = up.groupBy("u").agg(F.min("v").alias("m"))
-        down = up.join(low, "u")
-        moved = down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        new = settle(moved.distinct(), "edges")
-        same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(spark, up, now)
-        now = new
-        if tuple(same) == tuple(old):
-            break
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) for each row of ``docs``; the component's id is its smallest key."""
     marked = settle(docs.select(docs[key].alias("_k"), fingerprints(docs, text).alias("fp")), "prints")
@@ -159,25 +135,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies (see ``nearcopies``): that with the smallest key, then the smallest hash of the row."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.select(docs[key].alias("_k"), row.alias("_r"), nearcopies.sketch(docs, text).alias("_s"))
-    marked = settle(marked.select("_k", "_r", "_s.node", "_s.keys"), "sketches")
-    place = F.struct(F.col("_k").isNull().alias("_z"), "_k", "_r")
-    sets = settle(marked.groupBy("node").agg(F.min(place).alias("place"), F.any_value("keys").alias("keys")), "sets")
-    several = nearcopies.crowded(sets)
-    # texts of the nodes that share a band with another one
-    asked = several.select("node", F.col("place._k").alias("_k"), F.col("place._r").alias("_r")).distinct()
-    bodies = docs.select(F.col(f"`{key}`").alias("_key"), row.alias("_row"), F.col(f"`{text}`").alias("text"))
-    bodies = bodies.join(asked, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")))
-    texts = settle(bodies.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    roots = components(nearcopies.links(several, texts))
-    placed = sets.select("node", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = settle(placed.groupBy("root").agg(F.min("place").alias("place")).select("place._k", "place._r"), "kept")
-    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
-    left = docs.withColumns({"_key": F.col(f"`{key}`"), "_row": row}).join(kept, same, "left_semi")
+    """``docs`` with one row of each group of near copies (see ``minhash``): that with the smallest key, then the smallest hash of the row."""
+    found = minhash.copies(docs, minhash.SCHEMES["stage"], key, text)
+    placed = found.sets.select("node", "place").join(found.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = settle(placed.groupBy("root").agg(F.min("place").alias("place")).select("place.k", "place.r"), "kept")
+    own = F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"))
+    same = F.col("own.k").eqNullSafe(F.col("k")) & (F.col("own.r") == F.col("r"))
+    left = whole.join(kept, same, "left_semi")
     # rows alike in all columns share key and hash; one of them stays
-    again = settle(marked.groupBy("_k", "_r").count().where("count > 1").select("_k", "_r").join(kept, ["_k", "_r"], "left_semi"), "again")
+    again = settle(found.rows.groupBy("k", "r").count().where("count > 1").select("k", "r").join(kept, ["k", "r"], "left_semi"), "again")
     if again.take(1):
-        left = left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["_key", "_row"]))
-    return left.drop("_key", "_row")
+        left = left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["own"]))
+    return left.select("row.*")
