@@ -10,8 +10,11 @@ as reach ``goal`` of the true neighbours there.
 Parts are searched in blocks: a part with many vectors has many blocks, and the queries of a part are
 dealt to blocks too, so a vector that holds a third of the rows fills blocks, not one task.
 
-Edge cases: vectors that are null, empty or zero, that hold null or non-finite components, or that have
-another length than most take no part.  Rows with the query's id are its own and never its neighbours.
+A sample of ``FIT_ROWS`` carries ``FIT_ROWS`` / 32 parts at most; the number of parts grows with the rows up to there.  A query whose parts hold
+fewer than ``k`` rows goes on to its next ones.
+
+Edge cases: a row without an id takes no part, neither do vectors that are null, empty or zero, that hold null or non-finite components, or that have
+another length than most.  Rows with the query's id are its own and never its neighbours.
 Rows that share id and vector ask once.  Equal distances are ordered by id.  Fewer candidates than
 ``k`` give fewer rows; an empty table gives none.
 """
@@ -30,7 +33,7 @@ from rillgrid.session import ship
 from rillgrid.staging import settle
 
 FIT_ROWS = 6_000  # distinct vectors of the sample; bounds what the driver holds and does
-PARTS = 32
+PARTS, PART_ROWS = 32, 4_000  # parts of a small table; rows of a part beyond which there are more of them
 GRAPH = 12  # neighbours of a vector in the graph
 GOAL = 0.97
 BLOCK = 8_192  # vectors, or queries, that meet in one task
@@ -171,7 +174,7 @@ def _vectors(column: pd.Series) -> np.ndarray:
 def usable(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v) of the rows that take part, written once."""
     v = F.col(f"`{vector}`").cast("array<double>")
-    named = rows.select(F.col(f"`{key}`").alias("id"), v.alias("v"))
+    named = rows.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL")
     common = named.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return settle(named.where(valid(F.col("v"), common["n"] if common else 0)), "vectors")
 
@@ -183,6 +186,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, parts: int = PARTS, goal: flo
     if not n:
         return None
     chosen = distinct.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, fit_rows / n)) + 1)).orderBy("h").select("v").toPandas()
+    while parts * PART_ROWS < n:
+        parts *= 2
     return fit_sample(_vectors(chosen["v"]), parts=parts, goal=goal) if len(chosen) else None
 
 
@@ -198,13 +203,27 @@ def _routed(router: Router, rows: DataFrame, n: int) -> Column:
     return route(F.col("v"))
 
 
+def _visited(router: Router, counts: dict[int, int], k: int) -> Column:
+    """The first parts of ``ranked``: as many as the router asks for, and on until they hold ``k`` rows besides the query's ``own``."""
+    held = F.create_map(*[x for p in range(router.parts) for x in (F.lit(p), F.lit(counts.get(p, 0)))])
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("parts"))
+
+    def step(s: Column, p: Column) -> Column:
+        more = (F.size(s["parts"]) < router.probes) | (s["n"] < k + F.coalesce("own", F.lit(0)))
+        return F.when(more, F.struct((s["n"] + F.element_at(held, p)).alias("n"), F.concat(s["parts"], F.array(p)).alias("parts"))).otherwise(s)
+
+    return F.aggregate("ranked", start, step, lambda s: s["parts"])
+
+
 def search(rows: DataFrame, router: Router, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (id, v) among ``rows`` (id, v)."""
     indexed = settle(rows.select("id", "v", F.get(_routed(router, rows, 1), F.lit(0)).alias("part")), "indexed")
     asked = queries.groupBy("id", F.xxhash64("v").alias("h")).agg(F.first("v").alias("v"))
-    asked = settle(asked.select("id", "h", "v", F.explode(_routed(router, rows, router.probes)).alias("part")), "asked")
     # one row per part, of which there are router.parts
     counts = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
+    asked = settle(asked.select("id", "h", "v", _routed(router, rows, router.parts).alias("ranked")), "ranked")
+    own = rows.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    asked = settle(asked.join(own, "id", "left").select("id", "h", "v", F.explode(_visited(router, counts, k)).alias("part")), "asked")
     wanted = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
     cut = lambda c: F.coalesce(F.element_at(F.create_map(*[x for p in range(router.parts) for x in (F.lit(p), F.lit(-(-c.get(p, 0) // block)))]), F.col("part")), F.lit(0))
     of_all = lambda c: F.explode(F.when(cut(c) > 0, F.sequence(F.lit(0), cut(c) - 1)).otherwise(F.array().cast("array<int>")))

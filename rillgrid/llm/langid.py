@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillgrid.llm.common import free
 from rillgrid.session import ship
 from rillgrid.staging import settle
 
@@ -196,4 +197,5 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predicted(docs, model, text).alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
+    guess = free(docs, "guess")[0]
+    return docs.select(*kept, predicted(docs, model, text).alias(guess)).select(*kept, f"{guess}.lang_pred", f"{guess}.score")

@@ -140,9 +140,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """``docs`` with every row as often as the mix takes it."""
     taken = settle(copies(docs, key, text, source, weights, most).select(F.col("h").alias("_h"), F.col("id").alias("_id"), F.col("copies").alias("_n")), "copies")
     per_row = taken.groupBy("_h", "_id").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.withColumns({"_row": row, "_key": F.col(f"`{key}`")})
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*whole).alias("own"), F.xxhash64(*whole).alias("_row"), F.col(f"`{key}`").alias("_key"))
     met = named.join(per_row, (F.col("_row") == F.col("_h")) & F.col("_key").eqNullSafe(F.col("_id")))
     if taken.groupBy("_h", "_id").count().where("count > 1").take(1):  # rows alike in all columns share their copies
         met = met.where("_rows = 1").union(met.where("_rows > 1").dropDuplicates(["_h", "_id"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return met.select("own", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("own.*")

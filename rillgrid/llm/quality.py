@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillgrid.llm.common import SPACE, let, words_of
+from rillgrid.llm.common import SPACE, free, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 BULLET, ELLIPSIS, LETTER = r"^ *[-*•]", r"(\.\.\.|…) *\z", r"\p{L}"
@@ -74,10 +74,9 @@ def repeat_words(words: Column) -> Column:
     return let(words, counted)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The measures of a text, by the words in ``_w`` and the lines with a word in ``_l``."""
+def measures(text: Column, words: Column, lines: Column, repeated: Column) -> dict[str, Column]:
+    """The measures of a text, by its words, its lines with a word, and how many words are repeated."""
     body = F.coalesce(text, F.lit(""))
-    words, lines = F.col("_w"), F.col("_l")
     per_word = F.when(F.size(words) > 0, F.size(words))
     per_line = F.when(F.size(lines) > 0, F.size(lines))
     part = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -88,11 +87,11 @@ def measures(text: Column) -> dict[str, Column]:
         "word_chars": word_chars,
         "n_symbols": n_symbols,
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": F.col("_r"),
+        "n_repeat_words": repeated,
         "mean_word_length": part(word_chars, per_word),
         "symbol_word_ratio": part(n_symbols, per_word),
         "dup_line_ratio": part(F.size(lines) - F.size(F.array_distinct(lines)), per_line),
-        "repeat_word_ratio": part(F.col("_r"), per_word),
+        "repeat_word_ratio": part(repeated, per_word),
         "bullet_line_ratio": part(F.size(F.filter(lines, lambda x: x.rlike(BULLET))), per_line),
         "ellipsis_line_ratio": part(F.size(F.filter(lines, lambda x: x.rlike(ELLIPSIS))), per_line),
         "alpha_word_ratio": part(F.size(F.filter(words, lambda x: x.rlike(LETTER))), per_word),
@@ -104,9 +103,10 @@ def judged(docs: DataFrame, rules: tuple[tuple[str, float | None, float | None],
     """``docs`` with the measures and ``failed``, the names of the rules that a text does not meet."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     has_word = f"[^{SPACE}]"
-    split = docs.withColumns({"_w": words_of(F.col(f"`{text}`")), "_l": F.filter(F.split(body, "\n"), lambda x: x.rlike(has_word))})
-    found = measures(F.col(f"`{text}`"))
-    known = split.withColumn("_r", repeat_words(F.col("_w"))).withColumns(found)
+    w, l, r = free(docs, "words_", "lines_", "repeated_")
+    split = docs.withColumns({w: words_of(F.col(f"`{text}`")), l: F.filter(F.split(body, "\n"), lambda x: x.rlike(has_word))})
+    found = measures(F.col(f"`{text}`"), F.col(w), F.col(l), F.col(r))
+    known = split.withColumn(r, repeat_words(F.col(w))).withColumns(found)
     tests = []
     for name, least, greatest in rules:
         bad = F.lit(False)
@@ -115,4 +115,4 @@ def judged(docs: DataFrame, rules: tuple[tuple[str, float | None, float | None],
         if greatest is not None:
             bad = bad | (F.col(name) > F.lit(float(greatest)))
         tests.append(F.when(bad, F.lit(name)))
-    return known.withColumn("failed", F.array_compact(F.array(*tests))).drop("_w", "_l", "_r")
+    return known.withColumn("failed", F.array_compact(F.array(*tests))).drop(w, l, r)

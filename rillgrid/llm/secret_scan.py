@@ -44,14 +44,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),  # a run that is too short has no longer match inside
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-# A key runs up to and including its END marker; without the marker, over its header lines and up to the last key line,
-# which may be short.  Line breaks may be escaped.  Java recurses in loops over groups, so lines are read by a loop over
+# A key runs over its header lines and key lines, of which the last may be short, and the END marker that follows them; anything
+# else after the BEGIN marker is text and stays.  Line breaks may be escaped.  Java recurses in loops over groups, so lines are read by a loop over
 # characters; only lines that are indented or set apart by blanks need groups (240 of them, unless the marker follows).
-_END = r"[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----"
 _BREAK, _KEY = r"[\x20\t\r\nrn\\]+", r"[A-Za-z0-9+/]{16,}"
 _HEADERS = rf"(?:{_BREAK}[A-Z][A-Za-z-]{{1,30}}:\x20[^\r\n\\]*){{0,8}}"
 _LINES = rf"{_BREAK}{_KEY}(?:[A-Za-z0-9+/=\r\n\\]*(?:[\r\n]|\\n){_KEY})?={{0,2}}" + rf"(?:{_BREAK}{_KEY}={{0,2}}){{0,60}}" * 4
-_PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_END}|{_HEADERS}{_LINES}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{{1,15}}={{0,2}})?)?"
+_END = rf"{_BREAK}-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+_PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_HEADERS}{_LINES}(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}{_END}|{_END}|(?:\r?\n|\\n)[A-Za-z0-9+/]{{1,15}}={{0,2}})?)?"
 
 # formats that providers publish for their keys
 MORE = (
@@ -196,8 +196,8 @@ def matches(text: Column, rule: Rule) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` with the column ``out``: (start, end, kind) of all rules by start, then by the rule's place in the table."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    own = [c for c in docs.columns if c != out]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in own], body.alias("_body"), F.col(f"`{key}`").alias("_id"), F.xxhash64(body).alias("_h"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out])  # apart from the names used here
+    keyed = docs.select(own.alias("own"), body.alias("_body"), F.col(f"`{key}`").alias("_id"), F.xxhash64(body).alias("_h"))
     found = candidates(keyed.select("_id", "_h", ascii_lower(F.col("_body")).alias("_low")), rules)
     free = {r.kind for r in rules if frozenset() in trigram_query(r.pattern)}
     if found is not None:
@@ -211,7 +211,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     order = F.transform(F.flatten(F.array(*parts)), lambda s: F.struct(s["start"].alias("start"), F.element_at(place, s["kind"]).alias("o"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.array_sort(order), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return keyed.withColumn("_spans", spans).select(*[F.col(f"`{c}`") for c in own], F.col("_spans").alias(out))
+    return keyed.select("own", spans.alias("spans")).select("own.*", F.col("spans").alias(out))
 
 
 def joined(spans: Column) -> Column:

@@ -3,8 +3,12 @@
 The pre-tokenizers of the files used here never join what stands before a single space or line
 feed between two other characters with what stands after it.  Texts are therefore cut at these
 places, and the ids of a segment are looked up by the segment once the tokenizers library has
-encoded it; segments repeat, as words do.  The ids of the segments, one after the other, are those
-of the whole text, and no text is ever held as one list of tokens.
+encoded it; segments repeat, as words do.  Closing punctuation after a letter or digit is a token of its
+own for them, so a new segment is the known ids of its word and of what closes it.  The ids of the segments, one after the
+other, are those of the whole text.
+
+Texts that hold the string of an added token, such as ``<|endoftext|>``, in whatever case are encoded whole by the library, which
+gives these strings their own ids.
 """
 
 from __future__ import annotations
@@ -18,19 +22,20 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the work
 from tokenizers import Tokenizer  # noqa: E402
 
-CACHED = 500_000  # segments whose ids a worker remembers
+CACHED = 1_000_000  # segments whose ids a worker remembers
 LONG = 100  # characters of a segment that is not remembered
-TOGETHER = 4_000  # new segments that the library encodes in one call
+TOGETHER = 100  # new segments that the library encodes in one call
 # a segment ends before a single space or line feed between two other characters, and nowhere else
 _SEGMENT = re.compile(r"\s*\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\s+")
 _INNER = re.compile(r"[ \n]\S(?:.*\S)?", re.S)  # segments that others can follow and precede
+_CLOSING = ".,;:!?"
 _open: dict[int, Encoder] = {}
 
 
 class Encoder:
     def __init__(self, spec: str, end_id: int | None):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.casefold() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.between, self.between_id = self._separator()
@@ -66,6 +71,11 @@ class Encoder:
         waiting: list[list[str]] = []
         size = 0
         for text in texts:
+            if text and any(a in folded for folded in (text.casefold(),) for a in self.added):
+                yield from self._encoded(waiting)
+                waiting, size = [], 0
+                yield np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes() + self.end
+                continue
             waiting.append(_SEGMENT.findall(text) if text else [])
             size += len(waiting[-1])
             if size > 100_000:
@@ -78,7 +88,18 @@ class Encoder:
         new = here - self.known.keys()
         if len(self.known) + len(new) > CACHED:  # what these texts use stays
             self.known = {p: self.known[p] for p in here if p in self.known}
-        self.known.update(self._learn(list(new)))
+        whole, closed = [], []
+        for p in new:
+            stem = p.rstrip(_CLOSING)
+            if stem != p and stem[-1:].isalnum():
+                closed.append((p, stem, p[len(stem) :]))
+            else:
+                whole.append(p)
+        parts = {x for _, *both in closed for x in both}.difference(self.known, whole)
+        self.known.update(self._learn([*whole, *parts]))
+        for p, stem, tail in closed:
+            self.known[p] = self.known[stem] + self.known[tail]
+        new |= parts
         of = self.known.__getitem__
         for parts in texts:
             yield b"".join(map(of, parts)) + self.end

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillgrid.llm.common import ascii_lower, hinted, let
+from rillgrid.llm.common import ascii_lower, free, hinted, let
 
 DEFAULT = "allow"
 
@@ -67,6 +67,6 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     listed = listed.select("host", "path", F.sha2(F.concat("e.h", F.lit("\n"), "e.p"), 256).alias("digest")).withColumn("short", _short(F.col("digest")))
     hits = listed.join(hinted(known, shape["n"]), "short").where(F.col("digest") == F.col("r_digest"))
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("r_verdict") == "block")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("r_host", "r_path", "r_verdict"), rank).alias("r"))
-    met = parsed.join(best, ["host", "path"], "left")
-    return met.select(*[F.col(f"`{c}`") for c in own], "host", "path", F.concat("r.r_host", "r.r_path").alias("rule"), F.coalesce("r.r_verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("r_host", "r_path", "r_verdict"), rank).alias(free(pages, "best")[0]))
+    met, found = parsed.join(best, ["host", "path"], "left"), F.col(best.columns[-1])
+    return met.select(*[F.col(f"`{c}`") for c in own], "host", "path", F.concat(found["r_host"], found["r_path"]).alias("rule"), F.coalesce(found["r_verdict"], F.lit(default)).alias("verdict"))

@@ -96,7 +96,7 @@ def search_bounded(points: np.ndarray, centers: np.ndarray, entry: np.ndarray, n
     low = low.copy()
     low[:, :width] -= moves[near]
     low[:, width] -= moves.max(initial=0.0)
-    low -= np.abs(low) * MARGIN
+    low -= np.where(low < NOTHING, np.abs(low) * MARGIN, 0.0)
     best = ((points - centers[entry]) ** 2).sum(axis=1)
     upper = np.sqrt(best.astype(np.float64)) * (1 + MARGIN) + MARGIN
     depth = width + 1 - (np.minimum.accumulate(low[:, ::-1], axis=1) > upper[:, None]).sum(axis=1)  # bounds up to which entries may be closer or as close

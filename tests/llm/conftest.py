@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 # columns whose names the operators use themselves
-CLASHES = ["key", "row", "fp", "h", "id", "size", "ids", "spans", "root", "n", "word", "gram", "rule", "verdict", "_w", "score"]
+CLASHES = ["key", "row", "fp", "h", "id", "size", "ids", "spans", "root", "n", "word", "gram", "rule", "verdict", "_w", "score", "_l", "_r", "_id", "_h", "_body", "_kinds", "_spans", "_guess", "guess", "best", "r", "_key", "_k", "_n", "_row", "_copy", "own", "words_", "_i", "_j"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASHES]

@@ -264,6 +264,31 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert hits / total >= 0.9
 
 
+def test_null_and_large_ids_are_no_neighbours(spark):
+    rng = np.random.default_rng(5)
+    for base in (0, 10**18, 2**60):
+        table = [(base + i, rng.normal(size=8).tolist()) for i in range(60)]
+        df = spark.createDataFrame([*table, (None, [1.0] * 8)], "vec_id long, embedding array<double>")
+        rows = ann.usable(df)
+        out = ann.search(rows, ann.fit(rows), rows.where(F.col("id") < base + 3)).collect()
+        assert len(out) == 30
+        for q in range(3):
+            want = sorted((float(np.sqrt(((np.array(v) - np.array(table[q][1])) ** 2).sum())), i) for i, v in table if i != base + q)[:10]
+            assert [(r["vec_id"], r["rank"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == base + q] == [(i, n + 1) for n, (_, i) in enumerate(want)]
+
+
+def test_thin_parts_are_left_for_others(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(40, 8)) * 20
+    table = [(i, (centers[i % 40] + rng.normal(size=8) * 0.01).tolist()) for i in range(2000)]
+    rows = ann.usable(spark.createDataFrame(table, "vec_id long, embedding array<double>"))
+    router = ann.fit(rows)
+    router.probes = 1
+    few = rows.where("id < 160")  # parts with less than ten rows
+    out = ann.search(few, router, few.where("id % 16 = 0")).groupBy("query_id").count().collect()
+    assert {r["count"] for r in out} == {10} and len(out) == 10
+
+
 def test_nearest_of_few(spark):
     few = ann.usable(spark.createDataFrame([(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>"))
     out = ann.search(few, ann.fit(few), few.where("id % 100 = 0")).collect()

@@ -109,6 +109,30 @@ def test_quality_measures_equal_brute_force(docs, no_docs):
     assert set(docs.columns) - {"_w"} <= set(quality.judged(docs).columns)
 
 
+def test_extra_columns_keep_their_values(docs):
+    """Every name that an operator uses inside may be a column of the input."""
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    model = langid.fit(docs)
+    for out in (secret_scan.scan(docs, out="found"), langid.identify(docs, model), mixing.mixed(docs), quality.judged(docs), corpus_pipeline.language(None, docs, ""), corpus_pipeline.secrets(None, docs, "")):
+        kept = [c for c in own if c not in ("score", "n_words", "failed")]
+        assert set(kept) <= set(out.columns)
+        assert {tuple(r) for r in out.select(*kept).distinct().collect()} == {("x",) * len(kept)}
+
+
+def test_prose_between_key_markers_stays(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    prose = "The marker opens a file of this kind and what follows is told in many words. " * 150
+    lines = "\n".join("MIIEpAIBAAKCAQEA" + "aB3/" * 12 for _ in range(25))
+    texts = {
+        f"see {begin}\n{prose}\n{end} tail": f"see [SECRET]\n{prose}\n{end} tail", f"a {begin} and {end} b": f"a [SECRET] and {end} b",
+        f"k\n{begin}\n{lines}\nQUJD=\n{end}\nz": "k\n[SECRET]\nz", f"k {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n{lines}\n{end} z": "k [SECRET] z",
+        f"k {begin}\n{lines}\n\n{prose}": f"k [SECRET]\n\n{prose}",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secret_scan.scan(docs, out="s").select("text", secret_scan.masked(F.col("text"), F.col("s")).alias("m")).collect()
+    assert {r["text"]: r["m"] for r in found} == texts
+
+
 def test_quality_runs_without_python(docs):
     plan = quality.judged(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -160,8 +184,8 @@ def test_mix_in_many_levels(spark):
 def test_segments_give_the_ids_of_whole_texts(rows, name):
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     odd = ["a\u0301 \u0301b", "ΑΣ ΑΣ Σ", "x \n y", "tab\t z", " lead", "trail ", "a\r\nb", "don't 'll  we", "½ ² 12 3", "\x1c \x85 a", "I'M\n'S", "<|startoftext|> hi<|endoftext|>", "日本 語\u3000x"]
+    odd += ["a <|endoftext|> b <|startoftext|> c", "x <|EndOfText|>  y<|endoftext|>\n\n z", "it's!, 'tis. we'll?! a.b, c;; d'. 9. ½. é, ß!? _. a_, x\u0301, 12:30: \u00b2.", "end. ", "(one). two), three!!! ...", "don't. won't, 're. I'm!"]
     texts = [r[1] for r in rows] + odd
     got = list(tokens.Encoder(tokens.read_spec(path), 2).encode(texts))
     for text, ids in zip(texts, got, strict=True):
