@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgrid.operators.ordering import moments
+from rillgrid.session import ship
 from rillgrid.skew import salted_join
 from rillgrid.staging import release, settle
 
@@ -141,6 +144,116 @@ def flow_direction(px: DataFrame, value: str = "z", tile: int = TILE) -> DataFra
     )
 
 
+def steps_in_tile(cells: list, halo: list, top: int, left: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps to the nearest outlet, and the next pixel on the way, for the flat pixels of a tile.
+
+    ``cells`` are (row, col, z, out_row, out_col), with the draining pixel of the same height beside it where there is one; ``halo`` are
+    (row, col, z, steps) of pixels around the tile.  Steps are infinite where no way is known yet.
+    """
+    level, steps = np.full((size + 2, size + 2), np.nan), np.full((size + 2, size + 2), np.inf)
+    at = lambda rows, name: np.array([x[name] for x in rows], dtype=np.float64)
+    hr, hc = at(halo, "row").astype(int) - top + 1, at(halo, "col").astype(int) - left + 1
+    level[hr, hc], steps[hr, hc] = at(halo, "z"), at(halo, "steps")
+    r, c = at(cells, "row").astype(int) - top + 1, at(cells, "col").astype(int) - left + 1
+    out_row, out_col = (np.array([-1 if x[n] is None else x[n] for x in cells], dtype=np.int64) for n in ("out_row", "out_col"))
+    level[r, c], steps[r, c] = at(cells, "z"), np.where(out_row >= 0, 1.0, np.inf)
+    inner = slice(1, size + 1)
+    beside = [(slice(1 + dr, size + 1 + dr), slice(1 + dc, size + 1 + dc)) for dr, dc in SIDES.values()]
+    joined = [level[inner, inner] == level[b] for b in beside]  # a missing level equals nothing
+    while True:
+        best = steps[inner, inner]
+        for near, b in zip(joined, beside, strict=True):
+            best = np.where(near, np.minimum(best, steps[b] + 1), best)
+        if (best == steps[inner, inner]).all():
+            break
+        steps[inner, inner] = best
+    own = steps[r, c]
+    to_row, to_col = np.where(own == 1, out_row, -1), np.where(own == 1, out_col, -1)
+    for dr, dc in SIDES.values():  # from the upper left on: equal ways go to the lower row, then the lower column
+        take = (to_row < 0) & (level[r + dr, c + dc] == level[r, c]) & (steps[r + dr, c + dc] == own - 1) & (own > 1) & np.isfinite(own)
+        to_row, to_col = np.where(take, r + dr + top - 1, to_row), np.where(take, c + dc + left - 1, to_col)
+    return own, to_row, to_col
+
+
+def _solved(tiles: DataFrame, halo: DataFrame | None, tile: int) -> DataFrame:
+    """(row, col, z, steps, to_row, to_col) for the flat pixels of ``tiles`` (tr, tc, cells) for which a way is known."""
+
+    @F.pandas_udf("array<struct<row:long,col:long,z:double,steps:long,to_row:long,to_col:long>>")
+    def solve(tr: pd.Series, tc: pd.Series, cells: pd.Series, around: pd.Series) -> pd.Series:
+        out = []
+        for a, b, own, near in zip(tr, tc, cells, around, strict=True):
+            steps, to_row, to_col = steps_in_tile(own, [] if near is None else near, int(a) * tile, int(b) * tile, tile)
+            out.append([
+                {"row": x["row"], "col": x["col"], "z": x["z"], "steps": int(s), "to_row": int(p), "to_col": int(q)}
+                for x, s, p, q in zip(own, steps, to_row, to_col, strict=True) if np.isfinite(s)
+            ])
+        return pd.Series(out)
+
+    ship(tiles.sparkSession)
+    if halo is None:
+        near = tiles.withColumn("halo", F.lit(None).cast("array<struct<row:long,col:long,z:double,steps:long>>"))
+    else:
+        lists = _around_tiles(halo, tile).groupBy("tr", "tc").agg(F.collect_list(F.struct("row", "col", "z", "steps")).alias("halo"))
+        near = tiles.join(lists, ["tr", "tc"], "left")
+    return near.select(F.explode(solve("tr", "tc", "cells", "halo")).alias("x")).select("x.*")
+
+
+def _around_tiles(edge: DataFrame, tile: int) -> DataFrame:
+    """Pixels at the edge of a tile, listed under the tiles they touch."""
+    def touched(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))
+
+    listed = edge.withColumn("tr", F.explode(touched("row"))).withColumn("tc", F.explode(touched("col")))
+    return listed.where((F.col("tr") != F.floor(F.col("row") / tile)) | (F.col("tc") != F.floor(F.col("col") / tile)))
+
+
+def flow_over_flats(px: DataFrame, value: str = "z", tile: int = TILE) -> DataFrame:
+    """``flow_direction`` of a surface without pits, with a way out of every flat: its columns and ``steps``.
+
+    A pixel without a lower neighbour that is not at the border goes to a neighbour of its own height that is nearer, in steps
+    over pixels of that height, to one that drains (0 steps: it drains by itself).  Tiles are solved side by side; then only the steps of pixels at
+    tile edges are exchanged, and only tiles beside a pixel that came nearer are solved again, so a lake takes as many
+    rounds as it is tiles wide.  Equal ways go to the lower row, then the lower column.
+    """
+    spark = px.sparkSession
+    flow = settle(flow_direction(px, value, tile), "flow")
+    drains = F.col("ptr").isNotNull() | F.col("border")
+    v = F.struct(F.col(value).cast("double").alias("z"), drains.alias("drains"))
+    around = neighbourhood(flow.select("row", "col", v.alias("v")), "v", tile).where(~F.col("v.drains"))
+    outs = F.array(*[
+        F.when((F.col(s)["z"] == F.col("v.z")) & F.col(s)["drains"], F.struct((F.col("row") + dr).cast("long").alias("r"), (F.col("col") + dc).cast("long").alias("c"))) for s, (dr, dc) in SIDES.items()
+    ])
+    cell = F.struct(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("v.z").alias("z"), F.col("out.r").alias("out_row"), F.col("out.c").alias("out_col"))
+    flats = around.withColumn("out", F.array_min(F.array_compact(outs)))
+    tiles = settle(flats.groupBy(F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc")).agg(F.collect_list(cell).alias("cells")), "flats")
+    at_edge = F.lit(False)
+    for c in ("row", "col"):
+        at_edge = at_edge | (F.pmod(c, F.lit(tile)) == 0) | (F.pmod(c, F.lit(tile)) == tile - 1)
+    edge, active = None, tiles
+    while True:
+        found = _solved(active, edge, tile).where(at_edge).select("row", "col", "z", "steps")
+        if edge is not None:
+            known = edge.select("row", "col", F.col("steps").alias("before"))
+            found = found.join(known, ["row", "col"], "left").where(F.coalesce(F.col("steps") < F.col("before"), F.lit(True))).drop("before")
+        nearer = settle(found, "nearer")
+        if not nearer.take(1):
+            break
+        whole = nearer if edge is None else edge.union(nearer).groupBy("row", "col").agg(F.first("z").alias("z"), F.min("steps").alias("steps"))
+        fresh = settle(whole, "edge")
+        if edge is not None:
+            release(spark, edge)
+        edge = fresh
+        active = tiles.join(_around_tiles(nearer, tile).select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+    ways = _solved(tiles, edge, tile).select(pixel_id().alias("id"), "steps", "to_row", "to_col")
+    both = flow.join(ways, "id", "left")
+    row, col = F.coalesce("down_row", "to_row"), F.coalesce("down_col", "to_col")
+    names = [c for c in flow.columns if c not in ("down_row", "down_col", "ptr", "border")]
+    return both.select(
+        *names, row.cast(flow.schema["down_row"].dataType).alias("down_row"), col.cast(flow.schema["down_col"].dataType).alias("down_col"),
+        pixel_id(row, col).alias("ptr"), "border", F.coalesce("steps", F.when(drains, F.lit(0).cast("long"))).alias("steps"),
+    )
+
+
 def flow_accumulation(flow: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Pixels upstream of each pixel, itself included: ``(id, upstream)``.
 
@@ -190,11 +303,11 @@ def follow_to_root(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("pointers form a loop")
 
 
-def wetness(px: DataFrame, pixel: float = 1.0, floor: float = 0.001, tile: int = TILE) -> DataFrame:
-    """``ln(upstream area / max(tan slope, floor))`` per pixel."""
+def wetness(px: DataFrame, pixel: float = 1.0, floor: float = 0.001, tile: int = TILE, flow: DataFrame | None = None) -> DataFrame:
+    """``ln(upstream area / max(tan slope, floor))`` per pixel, along ``flow`` if it is given."""
     from rillgrid.functions.scores import wetness_index
 
-    upstream = flow_accumulation(flow_direction(px, tile=tile))
+    upstream = flow_accumulation(flow_direction(px, tile=tile) if flow is None else flow)
     slope = slope_degrees(px, pixel, tile).withColumn("id", pixel_id())
     return slope.join(upstream, "id").select(
         "row", "col", "upstream", "tan_slope",
@@ -202,9 +315,9 @@ def wetness(px: DataFrame, pixel: float = 1.0, floor: float = 0.001, tile: int =
     )
 
 
-def height_above_channel(px: DataFrame, threshold: int, tile: int = TILE) -> DataFrame:
-    """Height above the first channel pixel downstream; null where the path meets none."""
-    flow = settle(flow_direction(px, tile=tile), "flow")
+def height_above_channel(px: DataFrame, threshold: int, tile: int = TILE, flow: DataFrame | None = None) -> DataFrame:
+    """Height above the first channel pixel downstream, along ``flow`` if it is given; null where the path meets none."""
+    flow = settle(flow_direction(px, tile=tile), "flow") if flow is None else flow
     upstream = flow_accumulation(flow)
     marked = settle(
         flow.join(upstream, "id").select("id", "row", "col", "z", "ptr", (F.col("upstream") >= threshold).alias("channel")),
