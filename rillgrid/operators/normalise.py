@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillgrid.operators.ordering import moments, quantile_values
+from rillgrid.staging import release, settle
 
 
 def _scaled(c: str, s: Mapping[str, float | None]) -> Column:
@@ -59,27 +60,27 @@ def zscore(df: DataFrame, columns: Mapping[str, str], signs: Mapping[str, int] |
     return df.withColumns({out: z(c) for c, out in columns.items()})
 
 
-def jenks_breaks(df: DataFrame, column: str, classes: int = 4, bins: int = 256) -> list[float]:
-    """Upper bounds of all natural classes but the last.
+BINS = 512  # rows of a summary before its cuts are refined
+SPLIT = 16  # parts of a bin that is split
 
-    Spark reduces the column to ``bins`` equal-width bins at most, each a row of count, sum and
-    square sum; the Fisher recurrence runs on that bounded summary, so breaks lie between bins.
-    Values that are farther apart than a bin keep a bin each.  A constant column has no breaks.
-    """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    m = moments(values, ["v"])
-    if m["v_min"] is None or m["v_max"] <= m["v_min"]:
-        return []
-    b = F.least(F.floor((F.col("v") - F.lit(m["v_min"])) / F.lit(m["v_max"] - m["v_min"]) * bins), F.lit(bins - 1))
-    rows = (
-        values.groupBy(b.alias("b"))
-        .agg(F.min("v").alias("v"), F.max("v").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-        .collect()
+
+def _summary(values: DataFrame, edges: list[float], center: float) -> list:
+    """A row per bin of ``values`` (v, n) between ``edges``: greatest value, distinct values, sums around ``center``, and values that split it."""
+    number = F.lit(0)
+    if edges:
+        table = F.lit(edges)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+        number = F.aggregate(steps, number, lambda at, step: at + F.when(F.get(table, at + step - 1) < F.col("v"), step).otherwise(0))
+    off = F.col("v") - F.lit(center)
+    found = values.groupBy(number.alias("b")).agg(
+        F.max("v").alias("top"), F.count(F.lit(1)).alias("d"), F.sum("n").alias("n"), F.sum(F.col("n") * off).alias("s"), F.sum(F.col("n") * off * off).alias("q"),
+        F.percentile_approx("v", [k / SPLIT for k in range(1, SPLIT)], 1000).alias("parts"),
     )
-    rows = sorted(rows, key=lambda r: r["v"])
-    k = min(classes, len(rows))
-    if k < 2:
-        return []
+    return sorted(found.collect(), key=lambda r: r["top"])  # at most as many rows as edges, and one
+
+
+def _cuts(rows: list, k: int) -> list[int]:
+    """The last row of all classes but the greatest, for the ``k`` classes of the least squared deviation (Fisher's recurrence)."""
     n, s, q = (np.concatenate([[0.0], np.cumsum([float(r[f]) for r in rows])]) for f in ("n", "s", "q"))
 
     def spread(i, j):
@@ -88,7 +89,7 @@ def jenks_breaks(df: DataFrame, column: str, classes: int = 4, bins: int = 256)
 
     size = len(rows)
     cost = np.array([np.inf] + [spread(0, j) for j in range(1, size + 1)])
-    cuts = []
+    chosen = []
     for part in range(2, k + 1):
         best, where = np.full(size + 1, np.inf), np.zeros(size + 1, dtype=int)
         for j in range(part, size + 1):
@@ -97,9 +98,43 @@ def jenks_breaks(df: DataFrame, column: str, classes: int = 4, bins: int = 256)
             pick = int(np.argmin(total))
             best[j], where[j] = total[pick], i[pick]
         cost = best
-        cuts.append(where)
-    breaks, j = [], size
-    for where in reversed(cuts):
-        j = where[j]
-        breaks.append(float(rows[j - 1]["top"]))
-    return sorted(breaks)
+        chosen.append(where)
+    out, j = [], size
+    for where in reversed(chosen):
+        j = int(where[j])
+        out.append(j - 1)
+    return out[::-1]
+
+
+def jenks_breaks(df: DataFrame, column: str, classes: int = 4) -> list[float]:
+    """Upper bounds of all natural classes but the last.
+
+    Equal values are counted, and Spark reduces them to bins.  A bin is split at quantiles of its distinct values, those of the greatest
+    squared deviation first, until each holds one value or there are ``BINS``; so neither a far value nor a long tail
+    merges the others.  Fisher's recurrence runs on the bins, those on both sides of its breaks are split
+    further, and it runs again, until single values lie there.  Up to ``BINS`` distinct values the breaks are exact however they are
+    spread; beyond, they are exact but for breaks elsewhere that are as good within the width of a bin.  Nulls and NaN
+    do not count.  A constant or empty column has no breaks.
+    """
+    v = F.col(column).cast("double")
+    values = settle(df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v)).groupBy("v").agg(F.count(F.lit(1)).alias("n")), "values")
+    spark, total = df.sparkSession, values.agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s")).first()
+    if not total["n"]:
+        release(spark, values)
+        return []
+    edges, center = [], total["s"] / total["n"]
+    while True:
+        rows = _summary(values, edges, center)
+        k = min(classes, len(rows))
+        mixed = [r for r in rows if r["d"] > 1]
+        if mixed and len(rows) < BINS:
+            mixed.sort(key=lambda r: (r["s"] ** 2 / r["n"] - r["q"], r["top"]))
+            mixed = mixed[: max(1, (BINS - len(rows)) // (SPLIT - 1))]
+        else:
+            cuts = _cuts(rows, k) if k > 1 else []
+            mixed = [rows[i] for i in sorted({x for c in cuts for x in (c, c + 1)}) if rows[i]["d"] > 1]
+            if not mixed:
+                release(spark, values)
+                return [float(rows[c]["top"]) for c in cuts]
+        tops = {r["top"] for r in rows[:-1]}
+        edges = sorted(tops.union(p for r in mixed for p in r["parts"] if p < r["top"]))

@@ -101,13 +101,12 @@ def _(r):
 
 
 def jenks_sql(tag: str, source: str, column: str, k: int) -> str:
-    """The Fisher recurrence over at most 256 bins as common table expressions ending in ``<tag>_cuts``."""
+    """The Fisher recurrence over all distinct values as common table expressions ending in ``<tag>_cuts``."""
     t = tag
-    bounds = f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {source}) b"
-    bin_ = f"least(floor(({column} - lo) / (hi - lo) * 256), 255)"
     parts = [
-        f"{t}_h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min({column})) AS p, max({column}) AS top, count(*) AS n, sum({column}) AS s, sum({column} * {column}) AS q "
-        f"FROM {source} CROSS JOIN {bounds} WHERE {column} IS NOT NULL GROUP BY {bin_})",
+        f"{t}_v AS MATERIALIZED (SELECT {column} AS v, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1)",
+        f"{t}_h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v) AS p, v AS top, n, n * (v - m) AS s, n * (v - m) * (v - m) AS q "
+        f"FROM {t}_v CROSS JOIN (SELECT sum(v * n) / sum(n) AS m FROM {t}_v))",
         f"{t}_c AS MATERIALIZED (SELECT p, top, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM {t}_h WINDOW w AS (ORDER BY p) UNION ALL SELECT 0, NULL, 0, 0, 0)",
         f"{t}_1 AS MATERIALIZED (SELECT p, q - s * s / n AS cost FROM {t}_c WHERE p > 0)",
     ]
@@ -131,7 +130,7 @@ def jenks_sql(tag: str, source: str, column: str, k: int) -> str:
         SELECT CAST(1 + (SELECT count(*) FROM k_cuts WHERE o_totalprice > top) AS INTEGER) AS class, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1""",
 )
 def _(r):
-    """Five natural classes of a column with many distinct values."""
+    """Five natural classes of a column with many distinct values, against the recurrence over all of them."""
     o = r.table("orders").select("o_totalprice")
     coded = o.withColumn("class", class_code("o_totalprice", normalise.jenks_breaks(o, "o_totalprice", 5)))
     return coded.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
@@ -173,7 +172,7 @@ def _(r):
 @query("sc5_layer1", f"SELECT grid_id, {R('z_exposure')} AS z_exposure, {R('z_sensitivity')} AS z_sensitivity, {R('l1')} AS l1 FROM std_1")
 def _(r):
     g = settle(risk.std_features(r), "std")
-    return index.layer1(g, risk.EXPOSURE, risk.SENSITIVITY).select("grid_id", "z_exposure", "z_sensitivity", "l1")
+    return index.layer1(g, risk.EXPOSURE, risk.SENSITIVITY, grades=False).select("grid_id", "z_exposure", "z_sensitivity", "l1")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,40 @@ def test_jenks_on_clear_groups(spark):
     assert normalise.jenks_breaks(df, "v", 4) == [1.2, 5.1, 9.2]
 
 
+def exact_breaks(values, k):
+    """Fisher's recurrence over all distinct values."""
+    v, n = np.unique(np.array(values), return_counts=True)
+    c = v - np.average(v, weights=n)
+    cn, cs, cq = (np.concatenate(([0.0], np.cumsum(x))) for x in (n, n * c, n * c * c))
+    spread = lambda i, j: (cq[j] - cq[i]) - (cs[j] - cs[i]) ** 2 / (cn[j] - cn[i])
+    cost, cuts = np.array([np.inf] + [spread(0, j) for j in range(1, len(v) + 1)]), []
+    for part in range(2, k + 1):
+        best, where = np.full(len(v) + 1, np.inf), np.zeros(len(v) + 1, dtype=int)
+        for j in range(part, len(v) + 1):
+            i = np.arange(part - 1, j)
+            total = cost[i] + spread(i, j)
+            best[j], where[j] = total.min(), i[total.argmin()]
+        cost = best
+        cuts.append(where)
+    out, j = [], len(v)
+    for where in reversed(cuts):
+        j = where[j]
+        out.append(float(v[j - 1]))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("tail", [[], [1e6], [1e6] * 30, [1e3, 1e6, 1e9]])
+def test_jenks_under_a_heavy_tail(spark, tail):
+    """A far value takes a class of its own and merges no others."""
+    rng = np.random.default_rng(3)
+    groups = [float(x) for lo in (0, 30, 60, 100) for x in rng.integers(0, 200, 60) / 100 + lo]
+    many = [float(x) for lo in (0, 30, 60, 100) for x in rng.normal(lo, 2, 900)]
+    for values in (groups, many):
+        df = spark.createDataFrame([(v,) for v in values + tail] + [(None,), (float("nan"),)], "v double").repartition(4)
+        assert normalise.jenks_breaks(df, "v", 4 + len(set(tail))) == exact_breaks(values + tail, 4 + len(set(tail)))
+    assert normalise.jenks_breaks(df.limit(0), "v") == [] and normalise.jenks_breaks(spark.createDataFrame([(1.0,)] * 3, "v double"), "v") == []
+
+
 def test_jenks_bins_beat_plain_splits(spark):
     df = spark.range(4000).select((F.pow(F.rand(7), 3) * 100).alias("v")).cache()
     breaks = normalise.jenks_breaks(df, "v", 5)
