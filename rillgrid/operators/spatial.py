@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,44 +111,60 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, key: str, identity: Se
     return met.where(_crossings(F.col("x").cast("double"), F.col("y").cast("double")) % 2 == 1).drop("edges", "i", "j")
 
 
-@F.pandas_udf(T.DoubleType())
-def _clipped_area(ring: pd.Series, x0: pd.Series, y0: pd.Series, size: pd.Series) -> pd.Series:
-    """Area of a ring inside the square at (x0, y0): clip by its four sides, then shoelace."""
-
-    def clip(pts, axis, limit, keep_below):
-        out = []
-        for k, b in enumerate(pts):
-            a = pts[k - 1]
-            in_a = a[axis] <= limit if keep_below else a[axis] >= limit
-            in_b = b[axis] <= limit if keep_below else b[axis] >= limit
-            if in_a != in_b:
-                t = (limit - a[axis]) / (b[axis] - a[axis])
-                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-            if in_b:
-                out.append(b)
-        return out
-
-    areas = []
-    for r, left, low, s in zip(ring, x0, y0, size):
-        pts = [(float(p["x"]), float(p["y"])) for p in r]
-        for axis, limit, below in ((0, left, False), (0, left + s, True), (1, low, False), (1, low + s, True)):
-            pts = clip(pts, axis, limit, below)
-        areas.append(abs(sum(pts[k - 1][0] * p[1] - p[0] * pts[k - 1][1] for k, p in enumerate(pts))) / 2)
-    return pd.Series(areas, dtype="float64")
-
-
-def cell_polygon_overlap(rings: DataFrame, key: str, size: int = CELL) -> DataFrame:
-    """``(i, j, key, area)`` for every cell a simple ring overlaps."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxes = rings.select(
-        key,
-        F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring"),
-        F.sequence(cell_index(F.array_min(xs), size), cell_index(F.array_max(xs), size)).alias("is"),
-        F.sequence(cell_index(F.array_min(ys), size), cell_index(F.array_max(ys), size)).alias("js"),
+def _signed_edges(rings: DataFrame, keys: list[str], hole: str | None) -> DataFrame:
+    """Edges (k, x1, y1, x2, y2, sign) of closed rings, with their keys in ``k``; ``sign`` makes the area of an outline positive and that of a hole negative."""
+    pts = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    nxt = F.concat(F.slice(pts, F.lit(2), F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, 1, 1))
+    sides = F.arrays_zip(pts.alias("a"), nxt.alias("b"))
+    # the first corner as origin, as coordinates are large beside the ring; it goes along in the state, where it is evaluated once
+    start = F.struct(F.lit(0.0).alias("s"), F.get("sides", F.lit(0))["a"]["y"].alias("y"))
+    add = lambda s, e: F.struct((s["s"] + (e["a"]["x"] - e["b"]["x"]) * (e["a"]["y"] + e["b"]["y"] - 2 * s["y"])).alias("s"), s["y"].alias("y"))
+    turn = F.aggregate("sides", start, add, lambda s: s["s"])
+    wanted = F.lit(1.0) if hole is None else F.when(F.coalesce(F.col(hole), F.lit(False)), -1.0).otherwise(1.0)
+    signed = rings.where(F.size("ring") > 2).select(F.struct(*keys).alias("k"), wanted.alias("wanted"), sides.alias("sides")).withColumn("sign", F.signum(turn) * F.col("wanted"))
+    each = signed.select("k", "sign", F.explode("sides").alias("e")).where("sign <> 0")
+    return each.select("k", "sign", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+
+def cell_polygon_overlap(rings: DataFrame, key: str | Sequence[str], size: int = CELL, hole: str | None = None) -> DataFrame:
+    """``(i, j, key, area)`` for every cell that the polygon of a ``key`` overlaps.
+
+    A polygon is all rings of its key: any number of parts, which do not overlap, and of holes, which the boolean column ``hole`` marks;
+    the direction of a ring does not matter.  ``key`` may name further columns that go with a polygon.  Each edge is cut at cell borders.
+    A piece adds, with its sign, the area between itself and the right side of its cell, and its height counts in full for all
+    cells to the right; a prefix sum along the row of cells gives the rest.  So rings are never copied to cells, the edges of one
+    polygon spread over many tasks, and a task sums one row of cells, with a row of input per cell that an edge touches.
+
+    Rings of fewer than three corners or without area are ignored.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    s, tiny = F.lit(float(size)), 1e-9 * size * size
+    edges = _signed_edges(rings, keys, hole).where("y1 <> y2")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("j", F.explode(F.sequence(cell_index(low, size), cell_index(high, size))))
+    at = lambda y: F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    bottom, top = F.greatest(low, F.col("j") * s), F.least(high, (F.col("j") + 1) * s)
+    up = F.when(F.col("y2") > F.col("y1"), -F.col("sign")).otherwise(F.col("sign"))  # the inside lies to the right of edges that go down
+    # exact ends where the edge itself ends
+    end = lambda y: F.when(y == F.col("y1"), F.col("x1")).when(y == F.col("y2"), F.col("x2")).otherwise(at(y))
+    pieces = rows.select("k", "j", up.alias("up"), bottom.alias("bottom"), top.alias("top"), end(bottom).alias("xa"), end(top).alias("xb")).where("top > bottom")
+    left, right = F.least("xa", "xb"), F.greatest("xa", "xb")
+    cells = pieces.withColumn("i", F.explode(F.sequence(cell_index(left, size), cell_index(right, size))))
+    from_, to = F.greatest(left, F.col("i") * s), F.least(right, (F.col("i") + 1) * s)
+    part = F.when(right > left, (to - from_) / (right - left)).otherwise(1.0)
+    height = (F.col("top") - F.col("bottom")) * part * F.col("up")
+    cells = cells.select("k", "i", "j", height.alias("height"), (height * ((F.col("i") + 1) * s - (from_ + to) / 2)).alias("own"))
+    sums = cells.groupBy("k", "i", "j").agg(F.sum("height").alias("height"), F.sum("own").alias("own"))
+    along = Window.partitionBy("k", "j").orderBy("i")
+    carried = sums.select(
+        "k", "i", "j", "own", "height", F.lead("i").over(along).alias("next"), F.coalesce(F.sum("height").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("cover"),
+    )
+    inside = (F.col("cover") + F.col("height")) * s
+    between = F.when((F.col("next") > F.col("i") + 1) & (inside > tiny), F.sequence(F.col("i") + 1, F.col("next") - 1)).otherwise(F.array().cast("array<bigint>"))
+    found = F.concat(
+        F.array(F.struct(F.col("i").alias("i"), (F.col("own") + F.col("cover") * s).alias("area"))), F.transform(between, lambda i: F.struct(i.alias("i"), inside.alias("area"))),
     )
-    cells = boxes.select(key, "ring", F.explode("is").alias("i"), "js").select(key, "ring", "i", F.explode("js").alias("j"))
-    area = _clipped_area("ring", (F.col("i") * size).cast("double"), (F.col("j") * size).cast("double"), F.lit(float(size)))
-    return cells.withColumn("area", area).drop("ring").where(F.col("area") > 0)
+    return carried.select("k", "j", F.explode(found).alias("c")).select("c.i", "j", "k.*", "c.area").where(F.col("area") > tiny)
 
 
 # -- distances --------------------------------------------------------------------------------

@@ -81,9 +81,8 @@ def _(r):
 def _(r):
     """Area-weighted flood depth of every cell a depth polygon touches."""
     labels = F.array(*[F.lit(v) for v in ("~0.5", "0.5~1.0", "1.0~1.5", "1.5~2.0", "2.0~3.0", "3.0~")])
-    parts = spatial.cell_polygon_overlap(r.diamond, "poly_id").join(
-        r.diamond.select("poly_id", depth_mid(F.element_at(labels, (F.col("depth_no") + 1).cast("int"))).alias("mid")), "poly_id"
-    )
+    deep = r.diamond.withColumn("mid", depth_mid(F.element_at(labels, (F.col("depth_no") + 1).cast("int"))))
+    parts = spatial.cell_polygon_overlap(deep, ["poly_id", "mid"])
     return agg.area_weighted_mean(parts, ["i", "j"], "mid", "area", "depth")
 
 
@@ -93,8 +92,7 @@ def _(r):
         CAST(max((cover = '710')::INT) AS INTEGER) AS inland_water FROM pieces p JOIN diamond d ON d.poly_id = p.poly_id WHERE area > 0 GROUP BY 1, 2""",
 )
 def _(r):
-    pieces = spatial.cell_polygon_overlap(r.diamond, "poly_id").join(r.diamond.select("poly_id", "cover"), "poly_id")
-    return agg.land_cover_share(pieces, "cover")
+    return agg.land_cover_share(spatial.cell_polygon_overlap(r.diamond, ["poly_id", "cover"]), "cover")
 
 
 @query(
@@ -104,8 +102,7 @@ def _(r):
 )
 def _(r):
     """Built-up shares of all cells add up to the built-up area in cells."""
-    pieces = spatial.cell_polygon_overlap(r.diamond, "poly_id").join(r.diamond.select("poly_id", "cover"), "poly_id")
-    shares = agg.land_cover_share(pieces, "cover")
+    shares = agg.land_cover_share(spatial.cell_polygon_overlap(r.diamond, ["poly_id", "cover"]), "cover")
     water = r.diamond.where("cover = '710'").agg(F.count(F.lit(1)).alias("n")).scalar()
     return shares.agg(F.sum("impervious").alias("built_cells"), F.max(water).alias("water_polygons"))
 

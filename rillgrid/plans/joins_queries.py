@@ -69,6 +69,33 @@ def _(r):
     return spatial.cell_polygon_overlap(r.diamond, "poly_id")
 
 
+# An outline with a hole of a third of its size, and a second part beside it.
+def _pieces_of(h: str, shift: int) -> str:
+    whole = PIECES_SQL.replace("FROM diamond", f"FROM (SELECT poly_id, x + {shift} AS x, y, CAST({h} AS BIGINT) AS h FROM diamond)")
+    return f"SELECT poly_id, i, j, area FROM ({whole})"
+
+
+def _rings_with_holes(r):
+    pt = lambda p, k, shift: F.struct((F.col("c.x") + (p["x"] - F.col("c.x")) * k + shift).alias("x"), (F.col("c.y") + (p["y"] - F.col("c.y")) * k).alias("y"))
+    centre = F.struct(((F.col("ring")[0]["x"] + F.col("ring")[2]["x"]) / 2).alias("x"), F.col("ring")[0]["y"].alias("y"))
+    base = r.diamond.select("poly_id", "ring", centre.alias("c"), (F.col("ring")[0]["x"] - F.col("ring")[2]["x"]).alias("d"))
+    ring = lambda k, shift: F.transform("ring", lambda p: pt(p, k, shift))
+    third = F.floor(F.col("d") / 6) / (F.col("d") / 2)
+    parts = [(ring(F.lit(1.0), 0), False), (F.reverse(ring(third, 0)), True), (ring(third, 700), False)]
+    return base.select("poly_id", F.explode(F.array(*[F.struct(p.alias("ring"), F.lit(h).alias("hole")) for p, h in parts])).alias("p")).select("poly_id", "p.ring", "p.hole")
+
+
+@query(
+    "jn4_overlap_with_holes",
+    f"""WITH p AS ({PIECES_SQL}), q AS ({_pieces_of("h // 3", 0)}), t AS ({_pieces_of("h // 3", 700)}),
+        a AS (SELECT poly_id, i, j, area FROM p WHERE area > 0 UNION ALL SELECT poly_id, i, j, -area FROM q UNION ALL SELECT poly_id, i, j, area FROM t)
+        SELECT poly_id, i, j, {R('sum(area)')} AS area FROM a GROUP BY 1, 2, 3 HAVING sum(area) > 0.00001""",
+)
+def _(r):
+    """Cells of polygons with a hole and a second part."""
+    return spatial.cell_polygon_overlap(_rings_with_holes(r), "poly_id", hole="hole")
+
+
 def _centres(r):
     return r.grid.select("grid_id", (F.col("i") * 100 + 50).alias("x"), (F.col("j") * 100 + 50).alias("y"))
 

@@ -1,6 +1,7 @@
 """The paths that only large or skewed tables take, forced on small ones and compared with brute force."""
 
 import heapq
+import math
 import random
 
 import numpy as np
@@ -78,6 +79,60 @@ def test_polygon_with_hole_and_concave_ring(spark):
     assert area[0] == pytest.approx(400 * 400 - 0.5 * 400 * 300) and area[1] <= 10_000 + 1e-6
 
 
+def clipped_area(ring, x0, y0, size):
+    """Clip a ring by the four sides of a square, then the shoelace sum."""
+    pts = ring
+    for axis, limit, sign in ((0, x0, 1), (0, x0 + size, -1), (1, y0, 1), (1, y0 + size, -1)):
+        out = []
+        for k, b in enumerate(pts):
+            a = pts[k - 1]
+            in_a, in_b = sign * (a[axis] - limit) >= 0, sign * (b[axis] - limit) >= 0
+            if in_a != in_b:
+                t = (limit - a[axis]) / (b[axis] - a[axis])
+                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+            if in_b:
+                out.append(b)
+        pts = out
+    return abs(sum(pts[k - 1][0] * p[1] - p[0] * pts[k - 1][1] for k, p in enumerate(pts))) / 2
+
+
+def test_overlap_of_parts_and_holes_equals_clipping(spark):
+    rng = random.Random(4)
+
+    def star(cx, cy, r, n):
+        far = [r * rng.uniform(0.3, 1) for _ in range(n)]
+        return [(cx + d * math.cos(2 * math.pi * k / n), cy + d * math.sin(2 * math.pi * k / n)) for k, d in enumerate(far)]
+
+    polygons = {p: [(star(rng.uniform(-500, 500), rng.uniform(-500, 500), 700, 40), False)] for p in range(6)}
+    polygons[6] = [([(0.0, 0.0), (1000.0, 0.0), (1000.0, 800.0), (0.0, 800.0)], False), (star(500, 400, 250, 9), True), (star(3000, 100, 300, 12), False)]
+    polygons[7] = [([(-300.0, -300.0), (-300.0, 300.0), (300.0, 300.0), (300.0, -300.0)], False), ([(-100.0, -100.0), (100.0, -100.0), (100.0, 100.0), (-100.0, 100.0)], True)]
+    polygons[8] = [([(0.0, 0.0), (1.0, 1.0)], False), ([(0.0, 0.0), (5.0, 5.0), (9.0, 9.0)], False), ([(50.0, 50.0), (60.0, 50.0), (55.0, 1e5)], False)]
+    rows = [(p, [{"x": x, "y": y} for x, y in (ring[::-1] if k % 2 else ring)], hole) for p, rings in polygons.items() for k, (ring, hole) in enumerate(rings)]
+    df = spark.createDataFrame(rows, "pid int, ring array<struct<x: double, y: double>>, hole boolean").repartition(5)
+    got = {(r["pid"], r["i"], r["j"]): r["area"] for r in spatial.cell_polygon_overlap(df, "pid", 100, "hole").collect()}
+    want = {}
+    for p, rings in polygons.items():
+        for ring, hole in rings:
+            if len(ring) < 3:
+                continue
+            for i in range(math.floor(min(x for x, _ in ring) / 100), math.floor(max(x for x, _ in ring) / 100) + 1):
+                for j in range(math.floor(min(y for _, y in ring) / 100), math.floor(max(y for _, y in ring) / 100) + 1):
+                    want[p, i, j] = want.get((p, i, j), 0.0) + (-1 if hole else 1) * clipped_area(ring, i * 100.0, j * 100.0, 100.0)
+    want = {k: v for k, v in want.items() if v > 1e-4}
+    assert {k for k, v in got.items() if v > 1e-4} == set(want)
+    assert all(got[k] == pytest.approx(v, abs=1e-3) for k, v in want.items())
+
+
+def test_overlap_of_a_long_outline(spark):
+    """A ring of 40,000 corners: its cells and its area."""
+    n = 20_000
+    lower = [(k / 100.0, (k % 2) * 10.0) for k in range(n)]
+    ring = lower + [(x, y + 100.0) for x, y in reversed(lower)]
+    df = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ring])], "pid int, ring array<struct<x: double, y: double>>")
+    cells = spatial.cell_polygon_overlap(df, "pid").agg(F.count("area"), F.sum("area"), F.max("area")).first()
+    assert cells[0] == 4 and cells[1] == pytest.approx((n - 1) / 100.0 * 100.0) and cells[2] <= 10_000
+
+
 def test_idw_exact_at_a_station_and_flag_far_cells(spark):
     st = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 100.0, 0.0, 9.0)], "sid int, x double, y double, v double")
     cells = spark.createDataFrame([("a", 0.0, 0.0), ("b", 50.0, 0.0), ("c", 5000.0, 0.0)], "gid string, x double, y double")
