@@ -114,8 +114,13 @@ def layer2_rules(df: DataFrame, columns: Sequence[str], eps: float = 0.05) -> Da
     return minmax(raw, {"_g": "l2", "_a": "l2_additive"}).drop("_g", "_a", *[f"_m_{c}" for c in columns])
 
 
-def layer3(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
-    return minmax(sums_of_z(df, {"_z": columns}, winsor=False), {"_z": "l3"}).drop("_z")
+def layer3(df: DataFrame, columns: Mapping[str, int], classes: int | None = None) -> DataFrame:
+    """Vulnerability ``l3`` and, with ``classes``, its natural class ``l3_grade`` (1 = least vulnerable)."""
+    scaled = minmax(sums_of_z(df, {"_z": columns}, winsor=False), {"_z": "l3"}).drop("_z")
+    if classes is None:
+        return scaled
+    scaled = settle(scaled, "layer3")
+    return scaled.withColumn("l3_grade", class_code("l3", jenks_breaks(scaled, "l3", classes)))
 
 
 def hazard(df: DataFrame) -> DataFrame:

@@ -193,6 +193,21 @@ def _(r):
     return index.layer2_rules(g, risk.RULES).select("grid_id", "l2", "l2_additive")
 
 
+@query(
+    "sc7_layer3_grades",
+    f"""WITH n AS MATERIALIZED (SELECT g.grid_id, least(min({_DIST}), 2000) / 2000 AS shelter FROM grid g CROSS JOIN site s GROUP BY 1),
+        o AS (SELECT sum(elderly) * 1.0 / sum(people) AS pe, sum(single_ratio * people) / sum(people) AS ps FROM features),
+        w AS MATERIALIZED (SELECT f.grid_id, (coalesce(elderly, 0) + 20 * pe) / (coalesce(people, 0) + 20) AS elderly_share,
+          (coalesce(single_ratio * people, 0) + 20 * ps) / (coalesce(people, 0) + 20) AS single_share, old_building_ratio, CAST(coalesce(basements, 0) AS DOUBLE) AS basements, shelter
+          FROM features f JOIN n ON n.grid_id = f.grid_id CROSS JOIN o),
+        z AS MATERIALIZED ({risk.zsum_sql("w", risk.VULNERABLE, "z3", False)}), l AS MATERIALIZED (SELECT *, {risk.mm_sql("z3", "z")} AS l3 FROM z), {jenks_sql("c", "l", "l3", 4)}
+        SELECT grid_id, {R("elderly_share")} AS elderly_share, {R("shelter")} AS shelter, {R("l3")} AS l3, CAST(1 + (SELECT count(*) FROM c_cuts WHERE l3 > top) AS INTEGER) AS l3_grade FROM l""",
+)
+def _(r):
+    """The full third layer: shrunk shares, old buildings, basements and the way to a shelter, in four natural classes."""
+    return index.layer3(risk.vulnerable_features(r), risk.VULNERABLE, 4).select("grid_id", "elderly_share", "shelter", "l3", "l3_grade")
+
+
 @query("sc7_layer3", f"SELECT grid_id, {R('l3')} AS l3 FROM std_h")
 def _(r):
     return index.layer3(settle(risk.std_features(r), "std"), risk.PEOPLE).select("grid_id", "l3")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillgrid.operators import aggregates, index, terrain
+from rillgrid.functions.geo import capped_distance
+from rillgrid.functions.scores import bayes_shrink
+from rillgrid.operators import aggregates, index, spatial, terrain
 from rillgrid.operators.spatial import attach, with_cell
 from rillgrid.sources.roles import Roles
 from rillgrid.staging import settle
@@ -114,6 +116,8 @@ EXPOSURE = {"mean_rain": 1}
 SENSITIVITY = {"pipe_density": 1, "mean_elev": -1, "old_pipe_ratio": 1}
 RULES = ("combined_share", "pipe_density", "complaints")
 PEOPLE = {"elderly_ratio": 1, "single_ratio": 1, "old_building_ratio": 1}
+# the full third layer: shares of small cells pulled towards the overall share, basements, and the way to the nearest shelter
+VULNERABLE = {"elderly_share": 1, "single_share": 1, "old_building_ratio": 1, "basements": 1, "shelter": 1}
 
 
 def std_features(r: Roles) -> DataFrame:
@@ -132,6 +136,19 @@ def std_features(r: Roles) -> DataFrame:
     )
 
 
+def vulnerable_features(r: Roles) -> DataFrame:
+    """Cells with the inputs of the full third layer."""
+    g = settle(grid_features(r).withColumn("single", F.col("single_ratio") * F.col("people")), "people")
+    t = g.agg(F.sum("people").alias("n"), F.sum("elderly").alias("elderly"), F.sum("single").alias("single")).first()
+    share = lambda c: bayes_shrink(F.coalesce(c, F.lit(0)), F.coalesce("people", F.lit(0)), F.lit((t[c] or 0) / (t["n"] or 1)))
+    centres = g.select("grid_id", (F.col("i") * 100 + 50).alias("x"), (F.col("j") * 100 + 50).alias("y"))
+    near = spatial.k_nearest(centres, r.site.select("site_id", "x", "y"), "grid_id", "site_id", 1).select("grid_id", capped_distance("d").alias("shelter"))
+    return g.join(near, "grid_id", "left").select(
+        "grid_id", share("elderly").alias("elderly_share"), share("single").alias("single_share"), F.coalesce("old_building_ratio", F.lit(0.0)).alias("old_building_ratio"),
+        F.coalesce("basements", F.lit(0)).cast("double").alias("basements"), F.coalesce("shelter", F.lit(1.0)).alias("shelter"),
+    )
+
+
 def scored_std(r: Roles) -> DataFrame:
     """Layers 1 to 3, hazard, exposure and the composite index; written where it is read again."""
     g = settle(std_features(r), "std")

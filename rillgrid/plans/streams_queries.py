@@ -41,6 +41,17 @@ def _(r):
     return _local(streams.drained(streams.rolling_rain, _stream(r), _batch(r), "rolling", span_hours=3), "start", "end")
 
 
+@query(
+    "st2_rolling_rain_24h",
+    f"""SELECT station, s AS start, s + INTERVAL 24 HOUR AS "end", {R('sum(mm)')} AS mm FROM (SELECT station, mm, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) AS s
+        FROM rain CROSS JOIN (SELECT unnest(range(24)) AS k) x) GROUP BY 1, 2""",
+)
+def _(r):
+    """Sums over a day that move on by one hour."""
+    day = lambda rain: streams.rolling_rain(rain, 24)
+    return _local(streams.drained(day, _stream(r), _batch(r), "rolling-day", span_hours=24), "start", "end")
+
+
 @query(
     "st3_rain_sessions",
     f"""WITH a AS (SELECT station, ts, mm, lag(ts) OVER (PARTITION BY station ORDER BY ts) AS prev FROM rain),
