@@ -123,8 +123,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def _rooted(rows: DataFrame, marked: DataFrame) -> DataFrame:
     """``rows`` with the root of their fingerprint's component among all fingerprints of ``marked``."""
-    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = marked.select("fp").repartition(parts, "fp").distinct()
+    distinct = marked.select("fp").distinct()  # equal ones meet before the shuffle
     roots = components(links(distinct)).withColumnRenamed("node", "fp")
     return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
