@@ -10,10 +10,11 @@ whole sets, so links are exact.
 Groups of near copies and texts around one common passage would make the lists quadratic.  Three things prevent that, none of which loses a link:
 
 * Texts with equal sets are one node.
-* A linked text shares at least ``percent`` of its shingles with another one, so nodes that share fewer with all other listed
-  nodes together leave before pairs are made.  The count is an aggregation by shingle.
+* Sets of n and m shingles that are linked share at least (n + m) * percent / (100 + percent) of them, and none of those that a set has alone among all listed
+  nodes (an aggregation by shingle).  A node that cannot share that much with any set, or with the smallest of a list, leaves before pairs are made,
+  and pairs are made under this condition and the triangle inequality: 1 - similarity is a distance, and that from a list's head is known.
 * Only whether texts are connected is asked.  In each list all nodes are held against the one with the fewest own
-  shingles first.  As long as a list holds several components, some nodes outside its largest one (about ``WIDER`` times as many
+  shingles first.  As long as a list holds several components, some nodes outside its largest one (about ``WIDER`` ** 2, then ``WIDER`` times as many
   in each round) are held against all nodes of other components there and leave the list.  Nodes that are linked already are not compared, and a node that
   matched stays in its lists, so members that only reach others through it are found.
 
@@ -126,14 +127,26 @@ def _several(listed: DataFrame) -> DataFrame:
 
 
 def _supported(listed: DataFrame, whole: DataFrame, scheme: Scheme) -> DataFrame:
-    """``listed`` (key, node) without the nodes that cannot link, and with each node's share of own shingles."""
+    """``listed`` (key, node) without the nodes that cannot link in a list, with each node's ``n`` and ``own``, its shingles that no other listed node has."""
     # one of a shingle's nodes stands for it; where it is the only one, that is its own
     name = [F.xxhash64("node").alias("a"), F.hash("node").alias("b")]
-    seen = whole.select(*name, F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    alone = seen.where("n = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
+    seen = whole.select(*name, F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
+    alone = seen.where("c = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
     known = whole.select("node", "n", *name).join(alone, ["a", "b"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    kept = known.where(100 * (F.col("n") - F.col("own")) >= scheme.percent * F.col("n")).select("node", (F.col("own") / F.col("n")).alias("own"))
-    return _several(settle(listed.join(settle(kept, "kept"), "node").select("key", "node", "own"), "supported"))
+    kept = settle(known.where(100 * (F.col("n") - F.col("own")) >= scheme.percent * F.col("n")).select("node", "n", "own"), "kept")
+    several = _several(listed.join(kept, "node").select("key", "node", "n", "own"))
+    least = several.groupBy("key").agg(F.min("n").alias("least"))
+    # what a node shares at most is too little for the smallest set of the list, so for every one
+    enough = (100 + scheme.percent) * (F.col("n") - F.col("own")) >= scheme.percent * (F.col("n") + F.col("least"))
+    return _several(several.join(least.hint("merge"), "key").where(enough).drop("least"))
+
+
+def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) with their sizes, how many places differ, and the size of what they share."""
+    u, v = (whole.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "hashes")]) for x in "uv")
+    met = pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u")
+    apart = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda x, y: x != y), lambda x: x))
+    return settle(met.select("u", "v", "n_u", "n_v", apart.alias("apart"), F.size(F.array_intersect("hashes_u", "hashes_v")).alias("both")), "compared")
 
 
 def _matching(pairs: DataFrame, whole: DataFrame, scheme: Scheme) -> DataFrame:
@@ -160,29 +173,49 @@ def links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Sche
     bodies = bodies.groupBy("node").agg(F.first("hashes").alias("hashes"))
     whole = settle(bodies.join(sets.select("node", "n", "sig"), "node"), "whole")
     rest = _supported(listed, whole, scheme)
-    release(spark, listed)
-    heads = rest.groupBy("key").agg(F.min(F.struct("own", "node"))["node"].alias("head"))
-    tested = settle(rest.join(heads.hint("merge"), "key").where("node <> head").select(*_pairs(F.col("node"), F.col("head"))).distinct(), "pairs")
-    found, wide = _matching(tested, whole, scheme), 1
+    # once more, as what a node shares with those that left is its own now
+    rest = _supported(rest.select("key", "node"), whole.join(rest.select("node").distinct(), "node", "left_semi"), scheme)
+    heads = rest.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), "node"))["node"].alias("head"))
+    headed = settle(rest.join(heads.hint("merge"), "key"), "headed")
+    compared = _compared(headed.where("node <> head").select(*_pairs(F.col("node"), F.col("head"))).distinct(), whole)
+    tested, union = compared.select("u", "v"), F.col("n_u") + F.col("n_v") - F.col("both")
+    found, wide = settle(compared.where((F.col("apart") <= scheme.limit) & (100 * F.col("both") >= scheme.percent * union)).select("u", "v"), "matching"), WIDER * WIDER
+    # 1 - similarity is a distance: two sets whose distances from their list's head differ by more than a link allows are not linked
+    far = compared.select("u", "v", (1 - F.col("both") / union).alias("far"))
+    near_head = headed.join(far.hint("merge"), (F.least("node", "head") == F.col("u")) & (F.greatest("node", "head") == F.col("v")), "left")
+    before, rest = rest, settle(near_head.select("key", "node", "n", "own", F.coalesce("far", F.lit(0.0)).alias("far")), "rest")
+    release(spark, listed, headed, before)
     while True:
-        roots = settle(components(found), "roots")
-        placed = settle(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-        inside = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        open_ = inside.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        open_ = settle(open_.select("key", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("others")), "open")
+        placed, open_ = _open(rest, found)
+        release(spark, rest)
         if not open_.take(1):
             return found
         rest = settle(placed.join(open_.hint("merge"), "key"), "rest")
         chosen = F.pmod(F.xxhash64("key", "node"), F.col("others")) < wide
-        pivots = settle(rest.where((F.col("root") != F.col("main")) & chosen).select("key", F.col("node").alias("pivot"), F.col("root").alias("of")), "pivots")
-        new = rest.join(pivots.hint("merge"), "key").where("root <> of").select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
+        pivots = rest.where((F.col("root") != F.col("main")) & chosen).select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "n", "own", "far")])
+        pivots = settle(pivots, "pivots")
+        # both sets share at most what they have in common with any other
+        shared = F.least(F.col("n") - F.col("own"), F.col("n_") - F.col("own_"))
+        met = (F.col("root") != F.col("root_")) & (F.abs(F.col("far") - F.col("far_")) <= 1 - scheme.percent / 100 + 1e-9) & ((100 + scheme.percent) * shared >= scheme.percent * (F.col("n") + F.col("n_")))
+        new = rest.join(pivots.withColumnRenamed("key", "key_").hint("merge"), (F.col("key") == F.col("key_")) & met).select(*_pairs(F.col("node"), F.col("node_"))).distinct()
         new = settle(new.join(tested, ["u", "v"], "left_anti"), "pairs")
-        found = settle(found.union(_matching(new, whole, scheme)), "matching")
-        tested = settle(tested.union(new), "pairs")
-        rest = rest.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        matching, before = _matching(new, whole, scheme), [placed, open_, rest, pivots, new, tested, found]
+        found, tested = settle(found.union(matching), "matching"), settle(tested.union(new), "pairs")
+        rest = settle(rest.join(pivots.select("key", F.col("node_").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "own", "far"), "rest")
+        release(spark, matching, *before)
         wide *= WIDER
 
 
+def _open(rest: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rest`` (key, node, n, own, far) with the nodes' roots, and (key, main, others) of the lists with several: the most frequent root, and how many nodes have another."""
+    roots = settle(components(found), "roots")
+    placed = settle(rest.join(roots, "node", "left").select("key", "node", "n", "own", "far", F.coalesce("root", "node").alias("root")), "placed")
+    inside = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    lists_ = inside.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    release(rest.sparkSession, roots)
+    return placed, settle(lists_.select("key", F.col("top.root").alias("main"), (F.col("c") - F.col("top.c")).alias("others")), "open")
+
+
 class Copies(NamedTuple):
     """``rows`` (k, r, node, n) of a table, k its key and r a hash of the whole row; ``sets`` (node, place, n, sig); ``roots`` (node, root) of linked nodes."""
 
