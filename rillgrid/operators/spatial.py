@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillgrid.functions.geo import CELL, cell_id, cell_index, distance
-from rillgrid.skew import salted_join
+from rillgrid.skew import heavy_keys, salted_join
 from rillgrid.staging import settle
 
 
@@ -74,41 +74,80 @@ def ring_edges(rings: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     )
 
 
-def polygon_cells(edges: DataFrame, key: str, size: float = CELL) -> DataFrame:
-    """Index of polygons by cell: ``(i, j, key, edges)``.
+EDGES = 64  # edges that a row of the index holds on average at most
 
-    A point needs only the edges whose height range meets its own row of cells, so a cell holds
-    the edges of its row band and not the whole outline of a long polygon.
-    """
-    band = edges.withColumn(
-        "j",
-        F.explode(F.sequence(cell_index(F.least("y1", "y2"), size), cell_index(F.greatest("y1", "y2"), size))),
-    )
-    rows = band.groupBy(key, "j").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-        F.min(F.least("x1", "x2")).alias("lo"),
-        F.max(F.greatest("x1", "x2")).alias("hi"),
-    )
-    return rows.withColumn("i", F.explode(F.sequence(cell_index("lo", size), cell_index("hi", size)))).drop("lo", "hi")
 
+def _at(h):
+    """Where an edge meets the height ``h``, kept between its ends whatever rounding does."""
+    x = F.col("x1") + (h - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")).otherwise(1.0)
+    return F.greatest(F.least(x, F.greatest("x1", "x2")), F.least("x1", "x2"))
 
-def _crossings(x, y):
-    """Edges crossed by the ray from (x, y) to the right; odd means inside."""
+
+def polygon_cover(edges: DataFrame, key: str, size: float = CELL) -> tuple[DataFrame, DataFrame]:
+    """Index of polygons by cell: the cells wholly inside, ``(i, j, key)``, and the cells on borders, ``(i, j, key, chunks, base, edges)``.
+
+    A border cell lists only the edges that pass through it, in ``chunks`` rows of some ``EDGES`` each, so no row grows with an outline.
+    A path leads from a point to the right side of its cell, up that side, and on to the right from the upper corner.  What its last
+    part crosses is counted once per cell, by a sum along the row of cells; ``base`` is that count without the edges listed for the cell.
+    """
+    pad = size * 1e-6  # an edge along a border counts for the cells on both sides; edges too many change nothing
+    top, right = (F.col("j") + 1) * F.lit(float(size)), (F.col("i") + 1) * F.lit(float(size))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    banded = edges.withColumn("j", F.explode(F.sequence(cell_index(low - pad, size), cell_index(high + pad, size))))
+    ends = [_at(F.greatest(low, F.col("j") * F.lit(float(size)) - pad)), _at(F.least(high, top + pad))]
+    flat = F.col("y1") == F.col("y2")
+    lo, hi = F.when(flat, F.least("x1", "x2")).otherwise(F.least(*ends)), F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(*ends))
+    over = (F.col("y1") > top) != (F.col("y2") > top)
+    listed = banded.withColumn("i", F.explode(F.sequence(cell_index(lo - pad, size), cell_index(hi + pad, size)))).withColumn("r", (over & (right < _at(top))).cast("long"))
+    # the last cell whose right side an edge passes on the right at the top of its row
+    met = banded.where(over).select(key, "j", _at(top).alias("at")).withColumn("i", F.ceil(F.col("at") / size) - 2)
+    met = met.withColumn("i", F.when((F.col("i") + 2) * F.lit(float(size)) < F.col("at"), F.col("i") + 1).when(right < F.col("at"), F.col("i")).otherwise(F.col("i") - 1))
+    cells = listed.groupBy(key, "j", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"))
+    steps = met.groupBy(key, "j", "i").agg(F.count(F.lit(1)).alias("t"))
+    rows = cells.unionByName(steps, allowMissingColumns=True).groupBy(key, "j", "i").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "r", "t")])
+    along = Window.partitionBy(key, "j").orderBy(F.desc("i"))
+    rows = rows.withColumns({"beyond": F.sum("t").over(along.rowsBetween(Window.unboundedPreceding, 0)), "lower": F.lead("i").over(along)})
+    first = F.coalesce(F.col("lower") + 1, F.col("i"))
+    last = F.when(F.col("n") > 0, F.col("i") - 1).otherwise(F.col("i"))
+    inner = rows.where((F.col("beyond") % 2 == 1) & (first <= last)).select(F.explode(F.sequence(first, last)).alias("i"), "j", key)
+    border = rows.where("n > 0").select(key, "j", "i", F.ceil(F.col("n") / EDGES).alias("chunks"), ((F.col("beyond") + F.col("r")) % 2).alias("base"))
+    chunk = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.col("chunks"))
+    sides = listed.join(border, [key, "j", "i"]).groupBy("i", "j", key, "chunks", "base", chunk.alias("chunk"))
+    return inner, sides.agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+
+
+def _passed(x, y, size: float):
+    """How often the path from (x, y) to the upper right corner of its cell passes the ``edges``, but for a count that is the same for the whole cell."""
+    right, top = (F.col("i") + 1) * F.lit(float(size)), (F.col("j") + 1) * F.lit(float(size))
 
     def step(acc, e):
-        spans = (e["y1"] > y) != (e["y2"] > y)
         at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.when(e["y1"] != e["y2"], e["y2"] - e["y1"]).otherwise(1.0)
-        return acc + F.when(spans & (x < at), 1).otherwise(0)
+        at = F.greatest(F.least(at, F.greatest(e["x1"], e["x2"])), F.least(e["x1"], e["x2"]))
+        ahead = ((e["y1"] > y) != (e["y2"] > y)) & (x < at)
+        beside = [(e["x" + k] > right) & (e["y" + k] > y) & (e["y" + k] <= top) for k in "12"]
+        return acc + ahead.cast("long") + beside[0].cast("long") + beside[1].cast("long")
 
-    return F.aggregate("edges", F.lit(0), step)
+    return F.aggregate("edges", F.lit(0).cast("long"), step)
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, key: str, identity: Sequence[str], size: float = CELL) -> DataFrame:
-    """Pairs of points and the polygons that contain them (holes are further rings)."""
+    """Pairs of points and the polygons that contain them (holes are further rings); repeated points give repeated pairs.
+
+    Points in cells wholly inside need no test; in border cells they are held against the edges of the cell.  Where these
+    take several rows of the index, the counts of the rows are added up by point.
+    """
     located = with_cell(points, size=size)
-    index = polygon_cells(edges, key, size)
-    met = salted_join(located, index, ["i", "j"], identity)
-    return met.where(_crossings(F.col("x").cast("double"), F.col("y").cast("double")) % 2 == 1).drop("edges", "i", "j")
+    inner, border = polygon_cover(edges.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL"), key, size)
+    heavy = heavy_keys(located, ["i", "j"])
+    join = lambda index: salted_join(located, index, ["i", "j"], identity, heavy=heavy, rows=0)
+    passed = _passed(F.col("x").cast("double"), F.col("y").cast("double"), size)
+    wanted = [*[c for c in points.columns if c not in ("i", "j")], key]
+    tested = join(border).select(*wanted, "chunks", "chunk", "base", passed.alias("passed"))
+    one = tested.where((F.col("chunks") == 1) & ((F.col("base") + F.col("passed")) % 2 == 1)).select(*wanted)
+    copies = F.count(F.lit(1)) / F.countDistinct("chunk")
+    added = tested.where("chunks > 1").groupBy(*wanted, "base").agg((F.sum("passed") / copies).cast("long").alias("passed"), copies.cast("int").alias("copies"))
+    added = added.where((F.col("base") + F.col("passed")) % 2 == 1).select(*wanted, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*wanted)
+    return join(inner).select(*wanted).unionByName(one).unionByName(added)
 
 
 def _signed_edges(rings: DataFrame, keys: list[str], hole: str | None) -> DataFrame:

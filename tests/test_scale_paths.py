@@ -79,6 +79,62 @@ def test_polygon_with_hole_and_concave_ring(spark):
     assert area[0] == pytest.approx(400 * 400 - 0.5 * 400 * 300) and area[1] <= 10_000 + 1e-6
 
 
+def inside(x, y, rings):
+    """Whether a ray to the right passes an odd number of edges of the rings."""
+    odd = False
+    for ring in rings:
+        for k, (x2, y2) in enumerate(ring):
+            x1, y1 = ring[k - 1]
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                odd = not odd
+    return odd
+
+
+def contained(spark, shapes, points):
+    """Pairs (polygon, point) by the operator."""
+    rows = [(p, [{"x": float(x), "y": float(y)} for x, y in ring]) for p, rings in shapes.items() for ring in rings]
+    rings = spark.createDataFrame(rows, "pid int, ring array<struct<x: double, y: double>>")
+    pts = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "id int, x double, y double")
+    return sorted((r["pid"], r["id"]) for r in spatial.point_in_polygon(pts, spatial.ring_edges(rings, "pid"), "pid", ["id"]).collect())
+
+
+def test_polygons_with_corners_on_cell_borders(spark):
+    rng = random.Random(11)
+    step = lambda n: (rng.randrange(-n, n) * 50, rng.randrange(-n, n) * 50)
+    # rings that cross themselves, run along borders of cells and repeat corners; the rule of odd counts holds for them too
+    shapes = {p: [[step(4 + p % 9) for _ in range(rng.randrange(3, 9))] for _ in range(rng.randrange(1, 4))] for p in range(60)}
+    shapes[60] = [[(0, 0), (1000, 0), (1000, 1000), (0, 1000)], [(300, 300), (700, 300), (700, 700), (300, 700)]]
+    points = [(rng.randrange(-700, 700) + 0.37, rng.randrange(-700, 700) + 0.11) for _ in range(500)]
+    want = sorted((p, k) for p, rings in shapes.items() for k, (x, y) in enumerate(points) if inside(x, y, rings))
+    assert contained(spark, shapes, points) == want
+
+
+def test_many_edges_of_one_polygon_in_one_cell(spark):
+    comb = [(10 + 0.02 * k, 20 if k % 2 else 80) for k in range(4000)] + [(90, 5), (10, 5)]
+    points = [(11.013 + k * 0.731, 7.0 + k * 0.83) for k in range(100)] + [(50.003, 50.0)] * 3
+    want = sorted((1, k) for k, (x, y) in enumerate(points) if inside(x, y, [comb]))
+    assert contained(spark, {1: [comb]}, points) == want and 20 < len(want) < 103
+    rings = spark.createDataFrame([(1, [{"x": float(x), "y": float(y)} for x, y in comb])], "pid int, ring array<struct<x: double, y: double>>")
+    _, border = spatial.polygon_cover(spatial.ring_edges(rings, "pid"), "pid")
+    assert border.agg(F.max(F.size("edges"))).first()[0] <= 2 * spatial.EDGES
+    alike = spark.createDataFrame([(7, 50.003, 15.0)] * 3, "id int, x double, y double")
+    assert spatial.point_in_polygon(alike, spatial.ring_edges(rings, "pid"), "pid", ["id"]).count() == 3
+
+
+def test_many_layers_over_one_cell(spark):
+    n = 5000
+    shapes = {p: [[(50 - p % 60 - 1, 10), (160 + p % 7, 10), (160, 190), (20, 95 + p % 3)]] for p in range(n)}
+    points = [(55.5, 50.25), (5.5, 50.25), (250.0, 50.0)]
+    want = sorted((p, k) for p, rings in shapes.items() for k, (x, y) in enumerate(points) if inside(x, y, rings))
+    assert contained(spark, shapes, points) == want
+
+
+def test_cells_wholly_inside_carry_no_edges(spark):
+    square = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ((50.0, 50.0), (5050.0, 50.0), (5050.0, 5050.0), (50.0, 5050.0))])], "pid int, ring array<struct<x: double, y: double>>")
+    inner, border = spatial.polygon_cover(spatial.ring_edges(square, "pid"), "pid")
+    assert inner.count() == inner.distinct().count() == 49 * 49 and border.count() == 4 * 50
+
+
 def clipped_area(ring, x0, y0, size):
     """Clip a ring by the four sides of a square, then the shoelace sum."""
     pts = ring
