@@ -138,16 +138,20 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, key: str, identity: Se
     """
     located = with_cell(points, size=size)
     inner, border = polygon_cover(edges.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL"), key, size)
+    # inside a cell that is wholly inside, the path passes an odd number of edges elsewhere and none here
+    without = inner.withColumns({"chunks": F.lit(1).cast("long"), "chunk": F.lit(0).cast("long"), "base": F.lit(1).cast("long")})
+    index = settle(border.unionByName(without, allowMissingColumns=True), "cover")
     heavy = heavy_keys(located, ["i", "j"])
-    join = lambda index: salted_join(located, index, ["i", "j"], identity, heavy=heavy, rows=0)
-    passed = _passed(F.col("x").cast("double"), F.col("y").cast("double"), size)
+    passed = F.coalesce(_passed(F.col("x").cast("double"), F.col("y").cast("double"), size), F.lit(0))
     wanted = [*[c for c in points.columns if c not in ("i", "j")], key]
-    tested = join(border).select(*wanted, "chunks", "chunk", "base", passed.alias("passed"))
-    one = tested.where((F.col("chunks") == 1) & ((F.col("base") + F.col("passed")) % 2 == 1)).select(*wanted)
+    met = lambda part: salted_join(located, index.where(part), ["i", "j"], identity, heavy=heavy, rows=0).withColumn("passed", passed)
+    odd = (F.col("base") + F.col("passed")) % 2 == 1
+    out = met("chunks = 1").where(odd).select(*wanted)
+    if index.where("chunks > 1").isEmpty():
+        return out
     copies = F.count(F.lit(1)) / F.countDistinct("chunk")
-    added = tested.where("chunks > 1").groupBy(*wanted, "base").agg((F.sum("passed") / copies).cast("long").alias("passed"), copies.cast("int").alias("copies"))
-    added = added.where((F.col("base") + F.col("passed")) % 2 == 1).select(*wanted, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*wanted)
-    return join(inner).select(*wanted).unionByName(one).unionByName(added)
+    added = met("chunks > 1").groupBy(*wanted, "base").agg((F.sum("passed") / copies).cast("long").alias("passed"), copies.cast("int").alias("copies"))
+    return out.unionByName(added.where(odd).select(*wanted, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*wanted))
 
 
 def _signed_edges(rings: DataFrame, keys: list[str], hole: str | None) -> DataFrame:
