@@ -27,12 +27,19 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     Works on counts per distinct score: no row is ranked and no pair is formed.
     """
     c = cumulate(df.where(F.col(label).isNotNull()), score, _labels(label))
+    return c.agg(_auc(), F.max("pos_all").alias("positives"), F.max("n_all").alias("n"))
+
+
+def _auc():
     good = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2)
-    return c.agg(
-        F.try_divide(F.sum(good), F.max(F.col("pos_all").cast("double") * F.col("neg_all"))).alias("auc"),
-        F.max("pos_all").alias("positives"),
-        F.max("n_all").alias("n"),
-    )
+    return F.try_divide(F.sum(good), F.max(F.col("pos_all").cast("double") * F.col("neg_all"))).alias("auc")
+
+
+def roc_auc_of(df: DataFrame, label: str, score: str, part: str, parts: Sequence) -> DataFrame:
+    """``(part, auc)`` for each of a few ``parts`` of a table, all in one pass; a part with one class only has none."""
+    named = df.where(F.col(label).isNotNull()).withColumn(part, F.col(part).cast("string"))
+    c = cumulate(named, score, _labels(label), by=[part], variables=[str(p) for p in parts])
+    return c.groupBy(part).agg(_auc()).select(F.col(part).cast(df.schema[part].dataType).alias(part), "auc")
 
 
 def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -92,7 +92,7 @@ def _(r):
 def _(r):
     g = labelled_cells(r)
     features = model.available(g, FEATURES)
-    fitted = model.fit_weighted(model.baseline_logistic(features), g)
+    fitted = model.fit_weighted(_trees(features), g)
     return model.permutation_importance(fitted, g, features, "grid_id")
 
 

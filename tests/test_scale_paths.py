@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillgrid.operators import index, interpolate, model, ordering, rain, spatial, terrain, topk
+from rillgrid.operators import index, interpolate, model, ordering, rain, spatial, terrain, topk, validate
 from rillgrid.skew import heavy_keys, salted_join
 from rillgrid.staging import settle, shared_dir
 
@@ -324,6 +324,11 @@ def test_boosted_trees_with_a_separate_validation_part(spark):
     assert importance["a"] > 0.9
     drop = {r["feature"]: r["auc_drop"] for r in model.permutation_importance(fitted, df, ["a", "b"], "id").collect()}
     assert drop["a"] > 0.2 > abs(drop["b"])
+    again = model.permutation_importance(fitted, df.repartition(5), ["b", "a"], "id").collect()
+    assert [r["feature"] for r in again] == ["a", "b"] and {r["feature"]: r["auc_drop"] for r in again} == pytest.approx(drop)
+    parts = df.select("label", "b", (F.col("id") % 3).cast("int").alias("part"))
+    each = {r["part"]: r["auc"] for r in validate.roc_auc_of(parts, "label", "b", "part", range(3)).collect()}
+    assert each == pytest.approx({k: validate.roc_auc(parts.where(F.col("part") == k), "label", "b").first()["auc"] for k in range(3)})
 
 
 def test_out_of_fold_covers_every_row_once(spark):
