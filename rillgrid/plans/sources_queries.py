@@ -73,6 +73,30 @@ def _(r):
     return got.groupBy(F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("mm").alias("mm"), F.count("_corrupt").alias("corrupt"))
 
 
+@query(
+    "src5_broken_rows",
+    f"""SELECT year(ts) AS year, count(*) AS n, {R('sum(mm) FILTER (WHERE station % 7 <> 3)')} AS mm, count(*) FILTER (WHERE station % 7 = 3) AS corrupt
+        FROM rain_years GROUP BY 1""",
+)
+def _(r):
+    """Some stations write a word where their rain should stand."""
+    path = fresh_path(r.spark, "years")
+    mm = F.when(F.col("station") % 7 == 3, F.lit("none")).otherwise(F.col("mm").cast("string"))
+    r.rain_years.select("station", "ts", mm.alias("mm"), F.year("ts").alias("y")).write.partitionBy("y").option("header", True).csv(path)
+    got = raw.load_years(r.spark, f"{path}/y=*", "station bigint, ts timestamp_ntz, mm double")
+    return got.groupBy(F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("mm").alias("mm"), F.count("_corrupt").alias("corrupt"))
+
+
+@query("src5_file_status", "SELECT CAST(station % 16 AS BIGINT) AS part, 'ok' AS status, count(*) AS lines FROM rain_years GROUP BY 1")
+def _(r):
+    """Archives of some stations each, in several files a part; every line of every file is read."""
+    path = fresh_path(r.spark, "archives")
+    part = (F.col("station") % 16).cast("long")
+    r.rain_years.select(F.to_csv(F.struct("station", "ts", "mm")).alias("value"), part.alias("part")).write.partitionBy("part").option("compression", "gzip").text(path)
+    found = raw.file_status(r.spark, f"{path}/part=*/*")
+    return found.groupBy(F.regexp_extract("path", r"/part=(\d+)/", 1).cast("long").alias("part"), "status").agg(F.sum("lines").alias("lines"))
+
+
 def _features(r):
     """One FeatureCollection text per 50 polygons."""
     p = lambda k: F.array(F.col("ring")[k]["x"], F.col("ring")[k]["y"])

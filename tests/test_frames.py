@@ -262,3 +262,21 @@ def test_a_broken_file_stops_no_other(spark, tmp_path):
     assert {(r["file"], r["k"]) for r in rows if r["file"] != "b.csv.gz"} == {("a.csv", 1), ("c.csv", 5)}
     assert [r["_corrupt"] for r in rows if r["file"] == "c.csv"] == ["5,x"]
     assert raw.broken_files(spark, str(tmp_path / "*")) == ["b.csv.gz"]
+
+
+def test_status_of_files(spark, tmp_path):
+    import bz2
+    import gzip
+
+    body = b"k,v\n" + b"3,4\n" * 5000
+    files = {
+        "whole.csv": body, "open_end.csv": body[:-1], "none.csv": b"", "whole.csv.gz": gzip.compress(body), "two.csv.gz": gzip.compress(body) + gzip.compress(body),
+        "whole.csv.bz2": bz2.compress(body), "cut.csv.gz": gzip.compress(body)[:-9], "cut.csv.bz2": bz2.compress(body)[:40], "text.csv.gz": body, "none.csv.gz": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {r["file"]: r for r in raw.file_status(spark, str(tmp_path / "*")).collect()}
+    assert {f: r["bytes"] for f, r in rows.items()} == {f: len(data) for f, data in files.items() if data}
+    assert {f for f, r in rows.items() if r["status"] == "broken"} == {"cut.csv.gz", "cut.csv.bz2", "text.csv.gz"} == set(raw.broken_files(spark, str(tmp_path / "*")))
+    lines = {f: r["lines"] for f, r in rows.items() if r["status"] == "ok"}
+    assert lines == {"whole.csv": 5001, "open_end.csv": 5001, "whole.csv.gz": 5001, "two.csv.gz": 10002, "whole.csv.bz2": 5001}
