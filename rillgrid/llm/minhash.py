@@ -164,8 +164,11 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
-    """Pairs (u, v) of linked nodes of ``sets`` (node, n, sig) that connect whatever is linked; ``texts`` gives (node, text) for a table of nodes."""
+def links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Scheme, proposed: DataFrame | None = None) -> DataFrame:
+    """Pairs (u, v) of linked nodes of ``sets`` (node, n, sig) that connect whatever is linked; ``texts`` gives (node, text) for a table of nodes.
+
+    Pairs that another method has ``proposed`` are verified first, with those of the lists' heads; what they link is not compared again.
+    """
     spark = sets.sparkSession
     listed = lists(sets.where("n > 0"), scheme)
     bodies = texts(listed.select("node").distinct()).select("node", _whole("text", scheme.shingle).alias("hashes"))
@@ -177,7 +180,8 @@ def links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Sche
     rest = _supported(rest.select("key", "node"), whole.join(rest.select("node").distinct(), "node", "left_semi"), scheme)
     heads = rest.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), "node"))["node"].alias("head"))
     headed = settle(rest.join(heads.hint("merge"), "key"), "headed")
-    compared = _compared(headed.where("node <> head").select(*_pairs(F.col("node"), F.col("head"))).distinct(), whole)
+    first = headed.where("node <> head").select(*_pairs(F.col("node"), F.col("head")))
+    compared = _compared((first if proposed is None else first.union(proposed.select(*_pairs(F.col("u"), F.col("v"))))).distinct(), whole)
     tested, union = compared.select("u", "v"), F.col("n_u") + F.col("n_v") - F.col("both")
     found, wide = settle(compared.where((F.col("apart") <= scheme.limit) & (100 * F.col("both") >= scheme.percent * union)).select("u", "v"), "matching"), WIDER * WIDER
     # 1 - similarity is a distance: two sets whose distances from their list's head differ by more than a link allows are not linked
@@ -224,13 +228,15 @@ class Copies(NamedTuple):
     roots: DataFrame
 
 
-def copies(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> Copies:
-    """The components of near copies among ``docs``."""
+def copies(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text", mark: Column | None = None, propose: Callable[[DataFrame], DataFrame] | None = None) -> Copies:
+    """The components of near copies among ``docs``; ``propose`` may give pairs (u, v) to be verified from (node, mark), the ``mark`` of each text."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    found = docs.select(F.col(f"`{key}`").alias("k"), row.alias("r"), sketch(docs, scheme.shingle, text).alias("s"))
-    rows = settle(found.select("k", "r", "s.node", "s.n", "s.sig"), "sketches")
+    found = docs.select(F.col(f"`{key}`").alias("k"), row.alias("r"), sketch(docs, scheme.shingle, text).alias("s"), (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
+    rows = settle(found.select("k", "r", "s.node", "s.n", "s.sig", "mark"), "sketches")
     place = F.struct(F.col("k").isNull().alias("none"), "k", "r")
     sets = settle(rows.groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    # texts with one set may have several marks
+    proposed = None if propose is None else propose(rows.where("n > 0").select("node", "mark").distinct())
     # the texts are read again, for those that are asked for only
     bodies = docs.select(F.col(f"`{key}`").alias("k_"), row.alias("r_"), F.col(f"`{text}`").alias("text"))
 
@@ -238,7 +244,7 @@ def copies(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "te
         first = settle(sets.select("node", "place.k", "place.r").join(asked, "node"), "first")
         return bodies.join(hinted(first, first.count()), F.col("k_").eqNullSafe(F.col("k")) & (F.col("r_") == F.col("r"))).select("node", "text")
 
-    return Copies(rows, sets, settle(components(links(sets, texts, scheme)), "roots"))
+    return Copies(rows, sets, settle(components(links(sets, texts, scheme, proposed)), "roots"))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = SCHEMES["op11"], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> Column:
+def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Column:
     """The fingerprint as a signed 64-bit column."""
 
     ship(docs.sparkSession)
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> Column:
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([x - (1 << 64) if (x := fingerprint(t)) >> 63 else x for t in batch], dtype="int64")
+            yield pd.Series([x - (1 << 64) if (x := fingerprint(t, size)) >> 63 else x for t in batch], dtype="int64")
 
     return of(F.col(f"`{text}`"))
 
@@ -133,9 +133,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return grouped(docs, key, text).select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def proposed(marked: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes of ``marked`` (node, mark) that SimHash takes for near copies, as few as connect them.
+
+    Nodes of one fingerprint meet its smallest node, and of linked fingerprints the smallest nodes meet.
+    """
+    prints = settle(marked.select("node", F.col("mark").alias("fp")), "prints")
+    heads = settle(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    linked = links(heads.select("fp"))
+    for x in "uv":
+        linked = linked.join(heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")), x)
+    return settle(equal.union(linked.where("head_u <> head_v").select("head_u", "head_v")), "proposed")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies (see ``minhash``): that with the smallest key, then the smallest hash of the row."""
-    found = minhash.copies(docs, minhash.SCHEMES["stage"], key, text)
+    """``docs`` with one row of each group of near copies: that with the smallest key, then the smallest hash of the row.
+
+    SimHash over the stage's shingles proposes pairs, which are verified on the whole sets; the rest of the copies, whose fingerprints differ in
+    more bits, are found by ``minhash``, whose links decide what a copy is.
+    """
+    scheme = minhash.SCHEMES["stage"]
+    found = minhash.copies(docs, scheme, key, text, fingerprints(docs, text, scheme.shingle), proposed)
     placed = found.sets.select("node", "place").join(found.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = settle(placed.groupBy("root").agg(F.min("place").alias("place")).select("place.k", "place.r"), "kept")
     own = F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))

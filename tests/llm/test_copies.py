@@ -119,3 +119,25 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], COLUMNS)
     assert minhash.near_duplicates(none).columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert minhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
+
+
+def test_the_stage_verifies_what_simhash_proposes(spark, monkeypatch):
+    rows = [r for r in tables()["copies"] if r[0] < 5000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = lambda d: {frozenset((bytes(r["u"]), bytes(r["v"]))) for r in d.select("u", "v").collect()}
+    made, compared, of, inner = [], [], simhash.proposed, minhash._compared
+
+    def propose(marked):
+        found = of(marked)
+        made.append(pairs(found))
+        return found
+
+    def compare(asked, whole):
+        compared.append(pairs(asked))
+        return inner(asked, whole)
+
+    monkeypatch.setattr(simhash, "proposed", propose)
+    monkeypatch.setattr(minhash, "_compared", compare)
+    _, roots = brute(rows, SCHEMES["stage"])
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted({rows[c][0] for c in roots})
+    assert made[0] and made[0] <= compared[0]
