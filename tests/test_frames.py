@@ -82,6 +82,32 @@ def test_extracted_fields(spark):
     assert (row["location_text"], row["type"], row["rain_related"], row["urgency"], row["precision"]) == ("중앙로 12", "역류", True, 3, "road")
 
 
+def test_fields_equal_the_plain_patterns(spark):
+    parts = ["중앙로 12", "가길3", "로", "길 7", "성산", "12-3번지", "1-2-3", "45번지", "번지", "9", "-", "동", "리 ", "면1", "읍\n", "a", "Z9", " ", "\t", "아파트", "urgent", "비", "역류", "\u2028", "😀", "."]
+    draw = np.random.default_rng(5)
+    rows = [(i, "".join(draw.choice(parts, draw.integers(0, 7)))) for i in range(4000)] + [(4000, None)]
+    t, lot, road = F.coalesce("t", F.lit("")), r"\d+(-\d+)?번지|\d+-\d+", r"[가-힣A-Za-z0-9]+(로|길)\s?\d+"
+    place, district = F.regexp_extract(t, f"({road}|{lot})", 1), F.regexp_extract("t", r"(\S+?[동읍면리가])(?:\s|$|\d)", 1)
+    sort = F.when(t.rlike(lot), "lot").when(t.rlike(road), "road").when(t.rlike(text.BUILDING), "building").when(F.coalesce(district, F.lit("")) != "", "district")
+    out = spark.createDataFrame(rows, "k int, t string").select(
+        "k", "t", text.extract_fields("t").alias("f"), text.district_of("t").alias("d"), F.when(place != "", place).alias("place"), F.when(district != "", district).alias("district"),
+        F.coalesce(sort, F.lit("unknown")).alias("sort"), t.rlike(text.RAIN_WORDS).alias("rain"), t.rlike(text.URGENT_WORDS).alias("urgent"),
+    ).collect()
+    assert len({r["sort"] for r in out}) == 5
+    for r in out:
+        assert (r["f"]["location_text"], r["f"]["precision"], r["d"], r["f"]["rain_related"], r["f"]["urgency"] == 3) == (r["place"], r["sort"], r["district"], r["rain"], r["urgent"]), r["t"]
+
+
+def test_fields_of_a_long_word_cost_its_length(spark):
+    import time
+
+    rows = [(k, c * 400_000) for k, c in enumerate(("a", "7", "가"))]
+    frame = spark.createDataFrame(rows, "k int, t string").select(text.extract_fields("t").alias("f"), text.district_of("t").alias("d"))
+    start = time.time()
+    assert [(r["f"]["precision"], r["d"] is None) for r in frame.collect()][:2] == [("unknown", True)] * 2
+    assert time.time() - start < 20  # each word was tried again from each of its characters
+
+
 def test_catalog_errors(spark, tmp_path):
     with pytest.raises(KeyError):
         catalog.load_dataset(spark, str(tmp_path), "nothing")
