@@ -1,6 +1,7 @@
 """Language ID, secret scan, quality rules, mixing, packing and pipeline on small tables with odd rows."""
 
 import hashlib
+import json
 import re
 from collections import Counter
 
@@ -192,6 +193,28 @@ def test_segments_give_the_ids_of_whole_texts(rows, name):
         assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids + [2], text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_go_straight_to_the_model(name):
+    path = public_tokenizers.path(name)
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(tokens.read_spec(path), None)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100), 0x152, 0x153] if chr(c).isalpha()]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    draw = np.random.default_rng(8)
+    parts = ["".join(draw.choice(letters, draw.integers(1, 9))) + "".join(draw.choice(marks, draw.integers(0, 4))) for _ in range(3000)]
+    parts += [*letters, *(f"{a}{m}" for a in ("we", "\u00c9t\u00e9") for m in marks)]
+    own.tokenizer = None  # what is left for the library's whole way would fail
+    for p, ids in own._learn([q for p in parts for q in (p, f" {p}")]).items():
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(p, add_special_tokens=False).ids, p
+
+
+def test_files_of_other_kinds_take_the_whole_way():
+    spec = json.loads(tokens.read_spec(public_tokenizers.path("byte_bpe_50k.json")))
+    spec["normalizer"] = {"type": "Lowercase"}
+    own, whole = tokens.Encoder(json.dumps(spec), None), Tokenizer.from_str(json.dumps(spec))
+    assert own.plain is None
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encode(["One TWO, three."])] == [whole.encode("One TWO, three.", add_special_tokens=False).ids]
+
+
 def test_best_fit_is_the_tightest_bin():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 500)
