@@ -4,19 +4,20 @@ A signature holds ``PLACES`` minima of the set under as many permutations, ``16`
 1 - s, so signatures of linked texts lie within a Hamming distance (differing places) of ``limit`` but for a share given in ``SCHEMES``.
 The join is a multi-index: a signature is cut into c chunks, and of two signatures at a distance of at most ``limit`` = 2c - 1 some
 chunk differs in at most one place (pigeonhole).  Each chunk is therefore listed once for each of its places, with that place
-left out, and equal lists meet: no pair within the limit is lost.  What meets is held against the limit, and then verified on the
-whole sets, so links are exact.
+left out, and equal lists meet: no pair within the limit is lost.  What meets is verified on the whole sets, so links are exact.
 
 Groups of near copies and texts around one common passage would make the lists quadratic.  Three things prevent that, none of which loses a link:
 
 * Texts with equal sets are one node.
 * Sets of n and m shingles that are linked share at least (n + m) * percent / (100 + percent) of them, and none of those that a set has alone among all listed
   nodes (an aggregation by shingle).  A node that cannot share that much with any set, or with the smallest of a list, leaves before pairs are made,
-  and pairs are made under this condition and the triangle inequality: 1 - similarity is a distance, and that from a list's head is known.
-* Only whether texts are connected is asked.  In each list all nodes are held against the one with the fewest own
-  shingles first.  As long as a list holds several components, some nodes outside its largest one (about ``WIDER`` ** 2, then ``WIDER`` times as many
-  in each round) are held against all nodes of other components there and leave the list.  Nodes that are linked already are not compared, and a node that
-  matched stays in its lists, so members that only reach others through it are found.
+  and pairs are made under this condition.
+* Only whether texts are connected is asked.  In each list all nodes are held against its head, the one with the fewest own shingles.  Lists with one head
+  are one group from there on, whose nodes are known by the shingles in which they differ from the head.  As long as a group holds several components, some
+  nodes outside its largest one (about ``WIDER`` ** 2, then ``WIDER`` times as many in each round) are held against the nodes of other components there and
+  leave the group.  Pairs are made by common shingles of the differences, and only of those that come early enough (``_unlike``): nodes that merely resemble
+  the head share few of them.  Nodes that are linked already are not compared, and a node that matched stays in its other groups, so members that only reach
+  others through it are found.
 
 Edge cases: words are separated by ASCII white space and A-Z is lower-cased; fewer words than a shingle make one
 shingle of all words; null and blank texts have the empty set, which is linked with nothing.  Repeated rows share a set.  A null id is no component's smallest
@@ -142,22 +143,51 @@ def _supported(listed: DataFrame, whole: DataFrame, scheme: Scheme) -> DataFrame
 
 
 def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with their sizes, how many places differ, and the size of what they share."""
-    u, v = (whole.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "hashes")]) for x in "uv")
+    """``pairs`` (u, v) with their sizes and the size of what they share."""
+    u, v = (whole.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "hashes")]) for x in "uv")
+    # by merging: a node that many are compared with is then dealt anew as a skewed key
     met = pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u")
-    apart = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda x, y: x != y), lambda x: x))
-    return settle(met.select("u", "v", "n_u", "n_v", apart.alias("apart"), F.size(F.array_intersect("hashes_u", "hashes_v")).alias("both")), "compared")
+    return met.select("u", "v", "n_u", "n_v", F.size(F.array_intersect("hashes_u", "hashes_v")).alias("both"))
 
 
 def _matching(pairs: DataFrame, whole: DataFrame, scheme: Scheme) -> DataFrame:
-    """The ``pairs`` (u, v) within the limit whose sets are similar enough."""
-    u, v = (whole.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "hashes")]) for x in "uv")
-    # by merging: a node that many are compared with is then dealt anew as a skewed key
-    met = pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u")
-    sized = 100 * F.least("n_u", "n_v") >= scheme.percent * F.greatest("n_u", "n_v")
-    apart = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda x, y: x != y), lambda x: x))
-    both = F.size(F.array_intersect("hashes_u", "hashes_v"))
-    return settle(met.where(sized).where(apart <= scheme.limit).where(100 * both >= scheme.percent * (F.col("n_u") + F.col("n_v") - both)).select("u", "v"), "matching")
+    """The ``pairs`` (u, v) whose sets are similar enough."""
+    enough = 100 * F.col("both") >= scheme.percent * (F.col("n_u") + F.col("n_v") - F.col("both"))
+    return settle(_compared(pairs, whole).where(enough).select("u", "v"), "matching")
+
+
+def _unlike(rest: DataFrame, whole: DataFrame, scheme: Scheme) -> DataFrame:
+    """``rest`` with each node's ``n``, the number ``m`` of shingles that either it or its group's head has, and ``diff``, those of them by which it can be found.
+
+    Of two nodes x and y, those in which they differ are just those that one of the two differences holds and the other does not, so a link asks that the
+    differences have (more * (m_x + m_y) - less * (n_x + n_y)) / (2 * more) shingles in common.  In one order of all shingles the first one they share has
+    that many places from its own to the end, in both.  Where x and y have different roots, one of them is not linked with the head, and the number is at
+    least 1; ``diff`` is cut where it is for every such partner.  Shingles that the head lacks come first, as they are rarer.
+    """
+    more, less = 100 + scheme.percent, 100 - scheme.percent
+    heads = whole.select(F.col("node").alias("key"), F.col("n").alias("n_"), F.col("hashes").alias("hashes_"))
+    met = rest.join(whole.select("node", "n", "hashes").hint("merge"), "node").join(heads.hint("merge"), "key")
+    diff = F.concat(F.array_except("hashes", "hashes_"), F.array_except("hashes_", "hashes"))
+    sized = met.select(*rest.columns, "n", "n_", diff.alias("diff")).withColumn("m", F.size("diff").cast("long"))
+    m, n, n_ = F.col("m"), F.col("n"), F.col("n_")
+    beyond = more * m - less * (n + n_)  # positive where the node is not linked with the head
+    least = F.ceil(F.when(beyond > 0, beyond / (more + less)).otherwise((more * m + less * (n_ - n) + 1) / (2 * more)))
+    return sized.select(*rest.columns, "n", "m", F.slice("diff", F.lit(1), (m - least + 1).cast("int")).alias("diff"))
+
+
+def _meeting(rest: DataFrame, pivots: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (u, v) of a node of ``pivots`` and one of ``rest`` in the same group with another root, as far as their differences from the head and their own shingles allow a link."""
+    more, less = 100 + scheme.percent, 100 - scheme.percent
+    spread = lambda x: x.select("key", "node", "root", "own", "n", "m", F.posexplode("diff").alias("at", "h"))
+    a, b = spread(rest), spread(pivots)
+    b = b.select(*[F.col(c).alias(f"{c}_") for c in b.columns])
+    left = F.least(F.col("m") - F.col("at"), F.col("m_") - F.col("at_"))
+    enough = 2 * more * left >= more * (F.col("m") + F.col("m_")) - less * (F.col("n") + F.col("n_"))
+    # both sets share at most what they have in common with any other
+    shared = F.least(F.col("n") - F.col("own"), F.col("n_") - F.col("own_"))
+    enough = enough & (more * shared >= scheme.percent * (F.col("n") + F.col("n_")))
+    met = (F.col("key") == F.col("key_")) & (F.col("h") == F.col("h_")) & (F.col("root") != F.col("root_")) & enough
+    return settle(a.join(b.hint("merge"), met).select(*_pairs(F.col("node"), F.col("node_"))).distinct(), "pairs")
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -174,50 +204,40 @@ def links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Sche
     bodies = texts(listed.select("node").distinct()).select("node", _whole("text", scheme.shingle).alias("hashes"))
     # rows alike in all columns have the same text
     bodies = bodies.groupBy("node").agg(F.first("hashes").alias("hashes"))
-    whole = settle(bodies.join(sets.select("node", "n", "sig"), "node"), "whole")
+    whole = settle(bodies.join(sets.select("node", "n"), "node"), "whole")
     rest = _supported(listed, whole, scheme)
     # once more, as what a node shares with those that left is its own now
     rest = _supported(rest.select("key", "node"), whole.join(rest.select("node").distinct(), "node", "left_semi"), scheme)
     heads = rest.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), "node"))["node"].alias("head"))
     headed = settle(rest.join(heads.hint("merge"), "key"), "headed")
     first = headed.where("node <> head").select(*_pairs(F.col("node"), F.col("head")))
-    compared = _compared((first if proposed is None else first.union(proposed.select(*_pairs(F.col("u"), F.col("v"))))).distinct(), whole)
-    tested, union = compared.select("u", "v"), F.col("n_u") + F.col("n_v") - F.col("both")
-    found, wide = settle(compared.where((F.col("apart") <= scheme.limit) & (100 * F.col("both") >= scheme.percent * union)).select("u", "v"), "matching"), WIDER * WIDER
-    # 1 - similarity is a distance: two sets whose distances from their list's head differ by more than a link allows are not linked
-    far = compared.select("u", "v", (1 - F.col("both") / union).alias("far"))
-    near_head = headed.join(far.hint("merge"), (F.least("node", "head") == F.col("u")) & (F.greatest("node", "head") == F.col("v")), "left")
-    before, rest = rest, settle(near_head.select("key", "node", "n", "own", F.coalesce("far", F.lit(0.0)).alias("far")), "rest")
+    found = _matching((first if proposed is None else first.union(proposed.select(*_pairs(F.col("u"), F.col("v"))))).distinct(), whole, scheme)
+    before, rest, wide = rest, settle(headed.select(F.col("head").alias("key"), "node", "own").distinct(), "rest"), WIDER * WIDER
     release(spark, listed, headed, before)
     while True:
         placed, open_ = _open(rest, found)
         release(spark, rest)
         if not open_.take(1):
             return found
-        rest = settle(placed.join(open_.hint("merge"), "key"), "rest")
-        chosen = F.pmod(F.xxhash64("key", "node"), F.col("others")) < wide
-        pivots = rest.where((F.col("root") != F.col("main")) & chosen).select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "n", "own", "far")])
-        pivots = settle(pivots, "pivots")
-        # both sets share at most what they have in common with any other
-        shared = F.least(F.col("n") - F.col("own"), F.col("n_") - F.col("own_"))
-        met = (F.col("root") != F.col("root_")) & (F.abs(F.col("far") - F.col("far_")) <= 1 - scheme.percent / 100 + 1e-9) & ((100 + scheme.percent) * shared >= scheme.percent * (F.col("n") + F.col("n_")))
-        new = rest.join(pivots.withColumnRenamed("key", "key_").hint("merge"), (F.col("key") == F.col("key_")) & met).select(*_pairs(F.col("node"), F.col("node_"))).distinct()
-        new = settle(new.join(tested, ["u", "v"], "left_anti"), "pairs")
-        matching, before = _matching(new, whole, scheme), [placed, open_, rest, pivots, new, tested, found]
-        found, tested = settle(found.union(matching), "matching"), settle(tested.union(new), "pairs")
-        rest = settle(rest.join(pivots.select("key", F.col("node_").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "own", "far"), "rest")
+        inside = placed.join(open_.hint("merge"), "key")
+        rest = settle(inside if "diff" in inside.columns else _unlike(inside, whole, scheme), "rest")
+        pivots = rest.where((F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("key", "node"), F.col("others")) < wide))
+        new = _meeting(rest, pivots, scheme)
+        matching, before = _matching(new, whole, scheme), [placed, open_, rest, new, found]
+        found = settle(found.union(matching), "matching")
+        rest = settle(rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "own", "n", "m", "diff"), "rest")
         release(spark, matching, *before)
         wide *= WIDER
 
 
 def _open(rest: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rest`` (key, node, n, own, far) with the nodes' roots, and (key, main, others) of the lists with several: the most frequent root, and how many nodes have another."""
+    """``rest`` (key, node, ...) with the nodes' roots, and (key, main, others) of the groups with several: the most frequent root, and how many nodes have another."""
     roots = settle(components(found), "roots")
-    placed = settle(rest.join(roots, "node", "left").select("key", "node", "n", "own", "far", F.coalesce("root", "node").alias("root")), "placed")
+    placed = settle(rest.join(roots, "node", "left").select(*rest.columns, F.coalesce("root", "node").alias("root")), "placed")
     inside = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    lists_ = inside.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    groups = inside.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     release(rest.sparkSession, roots)
-    return placed, settle(lists_.select("key", F.col("top.root").alias("main"), (F.col("c") - F.col("top.c")).alias("others")), "open")
+    return placed, settle(groups.select("key", F.col("top.root").alias("main"), (F.col("c") - F.col("top.c")).alias("others")), "open")
 
 
 class Copies(NamedTuple):

@@ -141,3 +141,28 @@ def test_the_stage_verifies_what_simhash_proposes(spark, monkeypatch):
     _, roots = brute(rows, SCHEMES["stage"])
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted({rows[c][0] for c in roots})
     assert made[0] and made[0] <= compared[0]
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Texts that resemble the head of their group, but not each other; where words are left out, own shingles do not tell them apart."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        words = list(base)
+        for at in rng.sample(range(150), 1 + i % 6):
+            words[at] = None if rng.random() < 0.05 else f"new{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w for w in words if w)))
+    sets, roots = brute(rows, SCHEMES["op11"])
+    assert len(set(roots)) > 5
+    made, inner = [], minhash.settle
+
+    def count(df, name="table"):
+        out = inner(df, name)
+        made.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(minhash, "settle", count)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter(map(tuple, got.collect())) == Counter((r[0], len(s), rows[c][0], r[0] == rows[c][0]) for r, s, c in zip(rows, sets, roots, strict=True))
+    assert sum(made) < len(rows)
