@@ -71,13 +71,13 @@ def _(r):
 def _(r):
     flow = terrain.flow_direction(r.dem, tile=TILE)
     up = terrain.flow_accumulation(flow)
-    return flow.join(up, "id").select("row", "col", "upstream")
+    return flow.join(up.hint("merge"), "id").select("row", "col", "upstream")
 
 
 @query("tr5_flow_accumulation_rough", f"WITH RECURSIVE {_upstream('rough_dem')} SELECT row, col, upstream FROM up")
 def _(r):
     flow = terrain.flow_direction(r.rough_dem, tile=TILE)
-    return flow.join(terrain.flow_accumulation(flow), "id").select("row", "col", "upstream")
+    return flow.join(terrain.flow_accumulation(flow).hint("merge"), "id").select("row", "col", "upstream")
 
 
 @query(
@@ -138,7 +138,7 @@ def _(r):
 @query("tr5_flow_accumulation_filled", f"{_LAKES_UP} SELECT row, col, upstream FROM up")
 def _(r):
     flow = _lakes(r)[1]
-    return flow.join(terrain.flow_accumulation(flow), "id").select("row", "col", "upstream")
+    return flow.join(terrain.flow_accumulation(flow).hint("merge"), "id").select("row", "col", "upstream")
 
 
 @query(
@@ -149,7 +149,7 @@ def _(r):
 def _(r):
     """All pixels arrive at the border: what its end pixels gather is the number of pixels, and no other pixel is an end."""
     flow = _lakes(r)[1]
-    ends = flow.join(terrain.flow_accumulation(flow), "id")
+    ends = flow.join(terrain.flow_accumulation(flow).hint("merge"), "id")
     last = F.col("ptr").isNull()
     return ends.agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.when(last & F.col("border"), F.col("upstream"))).alias("drained"), F.count(F.when(last & ~F.col("border"), 1)).alias("stuck"))
 

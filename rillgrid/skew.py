@@ -39,6 +39,7 @@ def salted_join(
     least: int | None = None,
     rows: int | None = None,
     heavy: DataFrame | None = None,
+    large: bool = False,
 ) -> DataFrame:
     """Equi-join ``many`` with ``few``; keys that hold too many rows of ``many`` are salted.
 
@@ -47,14 +48,16 @@ def salted_join(
     apart, so a retried task picks the same salt) and the rows of ``few`` are repeated per salt for
     heavy keys only.  Rows without a key match nothing and are spread too.  ``how`` may be any type
     that keeps ``many`` on the left.  Where the caller knows that ``many`` has at most ``rows`` rows,
-    or already has its ``heavy`` keys (as from ``heavy_keys``), nothing is counted.
+    or already has its ``heavy`` keys (as from ``heavy_keys``), nothing is counted.  With ``large`` both
+    tables are shuffled: the optimizer's size checks go by compressed files, of which a few megabytes
+    can hold more rows than a broadcast bears.
     """
     keys = list(keys)
     least = HEAVY_ROWS if least is None else least
     if heavy is None and (rows is None or rows >= least):
         heavy = heavy_keys(many, keys, share, least)
     if heavy is None:
-        return many.join(few, keys, how)
+        return many.join(few.hint("merge") if large else few, keys, how)
     heavy = F.broadcast(heavy)
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salt = F.pmod(F.xxhash64(*identity), F.lit(salts)).cast("int")
@@ -63,4 +66,4 @@ def salted_join(
     right = few.join(heavy, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_heavy"), every).otherwise(F.array(F.lit(0))))
     ).drop("_heavy")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge") if large else right, [*keys, "_salt"], how).drop("_salt")

@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillgrid.operators import terrain
+from rillgrid.plans import load_all, terrain_queries
+from rillgrid.plans.registry import QUERIES
+from rillgrid.staging import settle
 
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
@@ -148,3 +151,22 @@ def test_rounds_bring_back_the_edges_of_tiles_only(spark):
     edges = {(r["row"], r["col"]): r["steps"] for r in terrain._solved(tiles, None, 8, edges=True).collect()}
     assert whole == {(r, c): max(r, c - 8) + 1 for r in range(8) for c in range(8, 16)}
     assert edges == {p: s for p, s in whole.items() if p[0] in (0, 7) or p[1] in (8, 15)} and len(edges) == 28
+
+
+@pytest.mark.parametrize("name", ["tr6_wetness_filled", "tr7_height_above_channel_filled"])
+def test_no_pixels_or_tile_edges_are_broadcast(spark, monkeypatch, name):
+    """Written pixels compress so well that the size of their files lets the optimizer broadcast millions of them."""
+    load_all()
+    plans = []
+
+    def noted(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, *rest)
+
+    monkeypatch.setattr(terrain, "settle", noted)
+    monkeypatch.setattr(terrain_queries, "settle", noted)
+    monkeypatch.setattr(terrain, "HEAVY_ROWS", 0, raising=False)
+    noted(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in j for j in joins) > 10
+    assert not [j for j in joins if "Broadcast" in j and "LeftSemi" not in j]  # the numbers of tiles are few

@@ -25,6 +25,17 @@ def test_salted_join_equals_plain_join(spark):
         assert sorted(map(str, plain)) == sorted(map(str, salted))
 
 
+@pytest.mark.parametrize("least", [10, 10_000])
+def test_large_salted_join_broadcasts_heavy_keys_only(spark, least):
+    many = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
+    few = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        joined = salted_join(many, few, ["k"], ["id"], how, salts=8, share=0.1, least=least, large=True)
+        broadcast = [line for line in joined._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        assert len(broadcast) == (2 if least == 10 else 0) and all("LeftOuter" in line for line in broadcast)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, many.join(few, "k", how).collect()))
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_cumulate_in_ranges_equals_one_scan(spark, descending):
     df = spark.range(5000).select(
